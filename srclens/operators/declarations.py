@@ -1,15 +1,15 @@
 """Declaration extraction: Java text to packages, imports, types, methods, fields.
 
-The unit of work is the *statement*: the run of text up to the next ``{``, ``}`` or
-``;`` outside comments and literals. Running sums over the statements of a file give
-the brace depth, the enclosing block and the declaration each statement belongs to,
-so a file is segmented by windows alone, without a grammar.
+The unit of work is the *run*: the text up to the next brace outside comments and
+literals. Running sums over the runs of a file give the brace depth and the enclosing
+block; runs in type bodies are then cut at ``;`` into declarations. A file is thus
+segmented by windows alone, without a grammar.
 
 One shuffle: the comment-free text is hash-partitioned by path before it is exploded.
 Every window and aggregate below has ``path`` as its first key, so all later steps
 stay in that partitioning. Method bodies are reduced to a running decision count in
 the first window and dropped right after the second one; only declarations and block
-ends go on. A file is one input value, so its statements always fit where it did.
+ends go on. A file is one input value, so its runs fit where it did.
 
 Semantics fixed here
   * classes and interfaces anywhere in a file are found, nested and local ones too;
@@ -53,7 +53,7 @@ COMMENT_OR_LITERAL = (
     r'|"[^"\\\r\n]*+(?:\\.[^"\\\r\n]*+)*+"'
     r"|'[^'\\\r\n]*+(?:\\.[^'\\\r\n]*+)*+'"
 )
-STATEMENT = r"[^{};]++[{};]?|[{};]"
+RUN = r"[^{}]++[{}]?|[{}]"
 
 _WORD = r"[A-Za-z_$\p{L}][\w$\p{L}]*"
 _MODS = "|".join(MODIFIERS)
@@ -95,29 +95,28 @@ def clean_files(files: DataFrame) -> DataFrame:
     )
 
 
-def statements(files: DataFrame) -> DataFrame:
-    """One row per statement of every file whose brackets balance."""
+def brace_runs(files: DataFrame) -> DataFrame:
+    """One row per run of text up to the next brace, placed in its block.
+
+    Only files whose brackets balance; ``blk`` is the position of the first run of the
+    enclosing block (its ``{`` ends the run before), ``bkind`` what that block is.
+    """
+    # The number is set outright: merging by size would judge by the packed text, while
+    # each partition goes on to hold many times that as rows.
+    partitions = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # An unusable text becomes null and explodes to nothing: a filter here would be
     # pushed below and run the expression above once more for each mention of it.
     exploded = (
         clean_files(files)
         .select("path", F.when(F.col("usable"), F.col("code")).alias("code"))
-        .repartition("path")
-        .select("path", F.posexplode(F.regexp_extract_all("code", F.lit(STATEMENT), F.lit(0))).alias("pos", "seg"))
+        .repartition(partitions, "path")
+        .select("path", F.posexplode(F.regexp_extract_all("code", F.lit(RUN), F.lit(0))).alias("pos", "seg"))
     )
-    last = F.right("seg", F.lit(1))
-    rows = exploded.select(
-        "path",
-        "pos",
-        "seg",
-        F.when(last.isin("{", "}", ";"), last).otherwise("").alias("delim"),
-        (_count(F.col("seg"), "(") - _count(F.col("seg"), ")")).alias("par"),
-        F.regexp_count("seg", F.lit(_DECISION)).alias("dec"),
-    )
-    opens = F.col("delim") == "{"
-    head = F.col("seg")
+    brace = F.right("seg", F.lit(1))
+    # the part after the last ';' is what a '{' belongs to
+    head = F.substring_index("seg", ";", -1)
     kind = (
-        F.when(~opens, None)
+        F.when(brace != "{", None)
         .when(head.rlike(r"@\s*interface\s+" + _WORD), "annotation")
         .when(head.rlike(r"(?:^|[^\w$.])interface\s+" + _WORD), "interface")
         .when(head.rlike(r"(?:^|[^\w$.])class\s+" + _WORD), "class")
@@ -130,41 +129,46 @@ def statements(files: DataFrame) -> DataFrame:
         )
         .otherwise("other")
     )
-    in_file = Window.partitionBy("path").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    brace = F.when(opens, 1).when(F.col("delim") == "}", -1).otherwise(0)
-    placed = rows.withColumn("kind", kind).select(
+    rows = exploded.select(
+        "path",
+        "pos",
+        "seg",
+        F.when(brace.isin("{", "}"), brace).otherwise("").alias("brace"),
+        (_count(F.col("seg"), "(") - _count(F.col("seg"), ")")).alias("par"),
+        F.regexp_count("seg", F.lit(_DECISION)).alias("dec"),
+        kind.alias("kind"),
+    )
+    file_order = Window.partitionBy("path").orderBy("pos")
+    in_file = file_order.rowsBetween(Window.unboundedPreceding, 0)
+    step = F.when(F.col("brace") == "{", 1).when(F.col("brace") == "}", -1).otherwise(0)
+    placed = rows.select(
         "*",
         F.sum("par").over(in_file).alias("cpar"),
         F.sum("dec").over(in_file).alias("cdec"),
-        # depth of the block the statement sits in, not of the one it opens
-        (F.sum(brace).over(in_file) - brace).alias("depth"),
-        F.lag("kind").over(Window.partitionBy("path").orderBy("pos")).alias("before"),
+        # depth of the block the run sits in, not of the one it opens
+        (F.sum(step).over(in_file) - step).alias("depth"),
+        F.lag("kind").over(file_order).alias("before"),
     )
     # Blocks of one depth follow each other, each ended by its own '}' row.
     at_depth = Window.partitionBy("path", "depth").orderBy("pos")
     so_far = at_depth.rowsBetween(Window.unboundedPreceding, 0)
     fresh = F.col("prev").isNull() | (F.col("prev") == "}")
-    blocked = placed.withColumn("prev", F.lag("delim").over(at_depth)).select(
-        "path", "pos", "seg", "delim", "kind", "depth", "cdec", "cpar",
-        F.last(F.when(fresh, F.col("pos")), ignorenulls=True).over(so_far).alias("blk"),
-        F.last(F.when(fresh, F.coalesce("before", F.lit("file"))), ignorenulls=True).over(so_far).alias("bkind"),
-        (F.col("cpar") - F.last(F.when(fresh, F.col("cpar") - F.col("par")), ignorenulls=True).over(so_far)).alias("rel"),
-    )
-    # A declaration ends at ';' or at the '{' of its body; the '{' of an initialiser
-    # (an '=' before it) does not end it.
-    ends = (F.col("rel") == 0) & (
-        (F.col("delim") == ";")
-        | ((F.col("delim") == "{") & ~(F.contains("seg", F.lit("=")) & F.contains(_without_parens(F.col("seg")), F.lit("="))))
+    start = F.struct(
+        F.col("pos").alias("blk"),
+        F.coalesce("before", F.lit("file")).alias("bkind"),
+        (F.col("cpar") - F.col("par")).alias("base"),
     )
     return (
-        blocked.withColumn("ends", ends)
-        .withColumn(
-            "mem",
-            F.coalesce(
-                F.sum(F.col("ends").cast("int")).over(at_depth.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-            ),
+        placed.withColumn("prev", F.lag("brace").over(at_depth))
+        .select(
+            "path", "pos", "seg", "brace", "kind", "depth", "cdec", "cpar",
+            F.last(F.when(fresh, start), ignorenulls=True).over(so_far).alias("block"),
+        )
+        .select(
+            "path", "pos", "seg", "brace", "kind", "cdec", "block.blk", "block.bkind",
+            (F.col("cpar") - F.col("block.base")).alias("rel"),
+            ((F.col("cpar") < 0) | ((F.col("brace") == "}") & (F.col("depth") < 1))).alias("misplaced"),
         )
-        .withColumn("misplaced", (F.col("cpar") < 0) | ((F.col("delim") == "}") & (F.col("depth") < 1)))
     )
 
 
@@ -237,18 +241,41 @@ def _parameters(text: Column) -> Column:
 
 def _blocks_and_members(files: DataFrame) -> DataFrame:
     """One row per declaration or block end, with the text of declarations."""
-    declared = F.col("bkind").isin("file", *BODY_KINDS) | F.col("kind").isin(TYPE_KINDS)
+    in_body = F.col("bkind").isin("file", *BODY_KINDS)
+    is_type = F.col("kind").isin(TYPE_KINDS)
+    # Only type bodies are cut at ';'. Elsewhere a type is the last piece of its run,
+    # and a block end needs no text.
+    pieces = (
+        F.when(in_body, F.regexp_extract_all("seg", F.lit(r"[^;]++;?|;"), F.lit(0)))
+        .when(is_type, F.array(F.substring_index("seg", ";", -1)))
+        .otherwise(F.array(F.lit("")))
+    )
+    cut = (
+        brace_runs(files)
+        .filter(in_body | is_type | (F.col("brace") == "}") | F.col("misplaced"))
+        .select("*", pieces.alias("pieces"))
+        .select("*", F.posexplode("pieces").alias("sub", "piece"))
+        .withColumn("last", F.col("sub") == F.size("pieces") - 1)
+        .drop("seg", "pieces")
+    )
+    piece = F.col("piece")
+    opens = F.col("last") & (F.col("brace") == "{")
+    # A declaration ends at ';' or at the '{' of its body; the '{' of an initialiser
+    # (an '=' before it) or within parentheses does not end it.
+    initialiser = F.contains(piece, F.lit("=")) & F.contains(_without_parens(piece), F.lit("="))
+    ends = F.when(opens, (F.col("rel") == 0) & ~initialiser).otherwise(F.endswith(piece, F.lit(";")))
+    before = Window.partitionBy("path", "blk").orderBy("pos", "sub").rowsBetween(Window.unboundedPreceding, -1)
     return (
-        statements(files)
-        .filter(declared | (F.col("delim") == "}") | F.col("misplaced"))
+        cut.withColumn("ends", ends)
+        .withColumn("mem", F.coalesce(F.sum(F.col("ends").cast("int")).over(before), F.lit(0)))
         .groupBy("path", "blk", "mem")
         .agg(
             F.first("bkind").alias("bkind"),
-            F.max(F.when(F.col("kind").isin(TYPE_KINDS), F.col("kind"))).alias("tkind"),
-            F.array_sort(F.collect_list(F.when(declared, F.struct("pos", "seg")))).alias("segs"),
-            F.max("pos").alias("pos"),
-            F.max(F.when(F.col("ends") & (F.col("delim") == "{"), F.struct("pos", "cdec"))).alias("opened"),
-            F.max(F.when(F.col("delim") == "}", F.col("cdec"))).alias("cdec_end"),
+            F.max(F.when(opens & is_type, F.col("kind"))).alias("tkind"),
+            F.array_sort(F.collect_list(F.when(F.length(piece) > 0, F.struct("pos", "sub", "piece")))).alias("segs"),
+            F.max(F.struct("pos", "sub")).alias("at"),
+            F.max(F.when(F.col("ends") & opens, F.struct("pos", "cdec"))).alias("opened"),
+            F.max(F.when(F.col("last") & (F.col("brace") == "}"), F.col("cdec"))).alias("cdec_end"),
             F.max("misplaced").alias("misplaced"),
         )
     )
@@ -264,16 +291,16 @@ def declarations(files: DataFrame) -> DataFrame:
     groups = _blocks_and_members(files)
     is_end = F.col("cdec_end").isNotNull()
     # An opener and the end of its block become neighbours under the opener's position.
-    key = F.when(is_end, F.col("blk") - 1).otherwise(F.coalesce("opened.pos", "pos"))
-    pairs = Window.partitionBy("path").orderBy("key", "is_end")
+    key = F.when(is_end, F.col("blk") - 1).otherwise(F.coalesce("opened.pos", "at.pos"))
+    pairs = Window.partitionBy("path").orderBy("key", "is_end", "at.sub")
     closed = groups.withColumn("key", key).withColumn("is_end", is_end).select(
-        "path", "bkind", "tkind", "segs", "pos", "key", "is_end", "opened", "misplaced",
+        "path", "bkind", "tkind", "segs", "at", "key", "is_end", "misplaced",
         F.when(
             F.col("opened").isNotNull() & (F.lead("key").over(pairs) == F.col("key")),
             F.lead("cdec_end").over(pairs) - F.col("opened.cdec"),
         ).alias("dec"),
     )
-    text = F.array_join(F.transform("segs", lambda s: s["seg"]), "")
+    text = F.array_join(F.transform("segs", lambda s: s["piece"]), "")
     in_body = F.col("bkind").isin(BODY_KINDS)
     head = F.col("head")
     named = (
@@ -303,7 +330,8 @@ def declarations(files: DataFrame) -> DataFrame:
     step = F.when(kind.isin("class", "interface"), 1).when(kind == "end", -1).otherwise(0)
     parsed = named.select(
         "path",
-        F.when(F.col("is_end"), F.col("pos")).otherwise(F.col("key")).alias("pos"),
+        # two declarations can share a run: its position is told apart by the cut
+        (F.col("at.pos").cast("long") * 2**31 + F.col("at.sub")).alias("pos"),
         "kind",
         "bkind",
         F.when(kind == "package", _group("head", _PACKAGE, 1))
@@ -482,7 +510,7 @@ def rejects(files: DataFrame) -> DataFrame:
     """Files whose brackets or literals do not close, with the reason."""
     bad = F.when(~F.col("usable"), F.array(F.lit("unbalanced")))
     counted = clean_files(files).select("path", F.explode(bad).alias("reason"))
-    misplaced = statements(files).filter("misplaced").groupBy("path").agg(F.lit("unbalanced").alias("reason"))
+    misplaced = brace_runs(files).filter("misplaced").groupBy("path").agg(F.lit("unbalanced").alias("reason"))
     return counted.unionByName(misplaced)
 
 

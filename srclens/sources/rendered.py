@@ -62,6 +62,8 @@ def supplier_files(supplier: DataFrame) -> DataFrame:
 
 def rendered_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``path, content`` for all orders and suppliers."""
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    # A text is some fifty times its row: spread the narrow rows before rendering.
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey").repartition(tasks)
     supplier = spark.read.parquet(f"{sf_dir}/supplier.parquet")
     return order_files(orders).unionByName(supplier_files(supplier))
