@@ -172,37 +172,39 @@ def brace_runs(files: DataFrame) -> DataFrame:
     )
 
 
-def _flat_header(text: Column) -> Column:
-    """One line without braces, nested parentheses, annotations or type arguments."""
-    line = F.trim(F.regexp_replace(F.regexp_replace(text, r"[{};]", " "), r"\s+", " "))
+def _with_flat_header(df: DataFrame, text: Column) -> DataFrame:
+    """Add ``head``: one line without braces, nested parentheses, annotations, type arguments.
+
+    Step by step, so that each step is computed once.
+    """
+    head = F.col("head")
+    starts = lambda p, c: F.startswith(p, F.lit(c))
     # keep parentheses of the first level, drop what is nested deeper
-    parts = F.split(line, r"(?=[()])")
     folded = F.aggregate(
-        parts,
+        F.split(head, r"(?=[()])"),
         F.struct(F.lit(0).alias("d"), F.lit("").alias("s")),
         lambda acc, p: F.struct(
-            (acc["d"] + F.when(F.startswith(p, F.lit("(")), 1).when(F.startswith(p, F.lit(")")), -1).otherwise(0)).alias("d"),
-            F.when(F.startswith(p, F.lit("(")), F.when(acc["d"] == 0, F.concat(acc["s"], p)).otherwise(acc["s"]))
-            .when(
-                F.startswith(p, F.lit(")")),
-                F.when(acc["d"] == 1, F.concat(acc["s"], p))
-                .when(acc["d"] == 2, F.concat(acc["s"], F.substr(p, F.lit(2))))
-                .otherwise(acc["s"]),
-            )
+            (acc["d"] + F.when(starts(p, "("), 1).when(starts(p, ")"), -1).otherwise(0)).alias("d"),
+            F.when(starts(p, "(") & (acc["d"] > 0), acc["s"])
+            .when(starts(p, ")") & (acc["d"] > 2), acc["s"])
+            .when(starts(p, ")") & (acc["d"] == 2), F.concat(acc["s"], F.substr(p, F.lit(2))))
             .otherwise(F.concat(acc["s"], p))
             .alias("s"),
         ),
     )["s"]
-    one_level = F.when(_count(line, "(") > 1, folded).otherwise(line)
-    bare = F.regexp_replace(one_level, r"@(?! ?interface\b) ?[\w$.]+( ?\([^()]*\))?", " ")
-    args = r"<[\w\s.,?&\[\]$\p{L}]*>"
-    no_args = _repeat(_count(bare, "<").cast("int"), bare, lambda t: F.regexp_replace(t, args, " "))
-    tidy = F.regexp_replace(F.regexp_replace(no_args, r"\.\.\.", " [] "), r" ?\. ?", ".")
-    return F.trim(F.regexp_replace(tidy, r"\s+", " "))
-
-
-def _group(col: str | Column, pattern: str, index: int) -> Column:
-    return F.regexp_extract(col, pattern, index)
+    arguments = r"<[\w\s.,?&\[\]$\p{L}]*>"
+    for step in (
+        F.trim(F.regexp_replace(text, r"[{};\s]+", " ")),
+        F.when(_count(head, "(") > 1, folded).otherwise(head),
+        F.when(
+            F.contains(head, F.lit("@")), F.regexp_replace(head, r"@(?! ?interface\b) ?[\w$.]+( ?\([^()]*\))?", " ")
+        ).otherwise(head),
+        _repeat(_count(head, "<").cast("int"), head, lambda t: F.regexp_replace(t, arguments, " ")),
+        F.replace(head, F.lit("..."), F.lit(" [] ")),
+        F.trim(F.regexp_replace(F.regexp_replace(head, r" ?\. ?", "."), r" {2,}", " ")),
+    ):
+        df = df.withColumn("head", step)
+    return df
 
 
 def _bare(col: Column) -> Column:
@@ -219,12 +221,14 @@ def _mods(prefix: Column) -> Column:
     return F.filter(F.split(F.trim(prefix), " "), lambda w: w.isin(MODIFIERS))
 
 
-_TYPE = r"^(.*?)(?:^|(?<=[^\w$.]))(class|interface|enum|record) (" + _WORD + r")(.*)$"
-_LEAD = rf"^((?:(?:{_MODS}) )*)(?!(?:{_MODS}|{'|'.join(NOT_A_TYPE)})\b)([\w$.\p{{L}}]+)((?: ?\[ ?\])*) ({_WORD})"
-_METHOD = _LEAD + r" ?\(([^()]*)\)"
-_FIELD = _LEAD + r"(?: ?\[ ?\])* ?(?:[=,].*)?$"
-_PACKAGE = r"^package ([\w$.\p{L}]+)$"
-_IMPORT = r"^import (?:static )?([\w$.\p{L}]+?)(?:\.\*)?$"
+# Each pattern covers a whole header; its groups are read as fields parted by ';'.
+_TYPE = r"^(.*?)(?:^|(?<=[^\w$.]))(?:class|interface|enum|record) (" + _WORD + r")(.*)$"
+_FILE_LEVEL = r"^(package|import) (?:static )?([\w$.\p{L}]+?)(?:\.\*)?$"
+_MEMBER = (
+    rf"^((?:(?:{_MODS}) )*)(?!(?:{_MODS}|{'|'.join(NOT_A_TYPE)})\b)([\w$.\p{{L}}]+)(?: ?\[ ?\])* ({_WORD})"
+    r" ?(\([^()]*\))?(.*)$"
+)
+_FIELD_REST = r"^(?: ?\[ ?\])* ?(?:[=,].*)?$"
 
 
 def _parameters(text: Column) -> Column:
@@ -300,29 +304,38 @@ def declarations(files: DataFrame) -> DataFrame:
             F.lead("cdec_end").over(pairs) - F.col("opened.cdec"),
         ).alias("dec"),
     )
-    text = F.array_join(F.transform("segs", lambda s: s["piece"]), "")
     in_body = F.col("bkind").isin(BODY_KINDS)
+    of_type = F.col("tkind").isNotNull()
+    candidates = closed.filter(
+        ~F.col("is_end") & (F.size("segs") > 0) | F.col("bkind").isin("class", "interface") | F.col("misplaced")
+    )
     head = F.col("head")
+    fields_of = (
+        F.when(F.col("is_end"), None)
+        .when(of_type, F.regexp_replace(head, _TYPE, "$1;$2;$3"))
+        .when(F.col("bkind") == "file", F.regexp_replace(head, _FILE_LEVEL, "$1;$2"))
+        .when(in_body, F.regexp_replace(head, _MEMBER, "$1;$2;$3;$4;$5"))
+    )
+    text = F.when(~F.col("is_end"), F.array_join(F.transform("segs", lambda s: s["piece"]), ""))
+    part = F.col("part")
     named = (
-        closed.filter(
-            ~F.col("is_end") & (F.size("segs") > 0) | F.col("bkind").isin("class", "interface") | F.col("misplaced")
-        )
-        .withColumn("head", F.when(~F.col("is_end"), _flat_header(text)))
+        _with_flat_header(candidates, text)
+        .withColumn("part", F.split(fields_of, ";", -1))
         .withColumn(
             "kind",
             F.when(F.col("is_end"), F.when(F.col("bkind").isin("class", "interface"), "end"))
-            .when(F.col("tkind").isNotNull(), F.col("tkind"))
-            .when((F.col("bkind") == "file") & head.rlike(_PACKAGE), "package")
-            .when((F.col("bkind") == "file") & head.rlike(_IMPORT), "import")
-            .when(in_body & head.rlike(_METHOD), "method")
-            .when(in_body & head.rlike(_FIELD), "field"),
+            .when(of_type, F.col("tkind"))
+            .when((F.col("bkind") == "file") & (F.size(part) == 2), part[0])
+            .when(in_body & (F.size(part) == 5) & (part[3] != ""), "method")
+            .when(in_body & (F.size(part) == 5) & part[4].rlike(_FIELD_REST), "field"),
         )
     )
     kind = F.col("kind")
-    tail = _group("head", _TYPE, 4)
-    rest = F.regexp_replace(_group("head", _LEAD + r"(.*)$", 5), r"\([^()]*\)", " ")
+    tail = part[2]
+    # initialisers go, then every declarator after the first begins at a comma
+    rest = F.split(F.regexp_replace(part[4], r"\([^()]*\)", " "), ",")
     others = F.transform(
-        F.slice(F.split(rest, ","), F.lit(2), F.greatest(F.size(F.split(rest, ",")) - 1, F.lit(0))),
+        F.slice(rest, F.lit(2), F.greatest(F.size(rest) - 1, F.lit(0))),
         lambda d: F.regexp_extract(d, rf"^ ?({_WORD})", 1),
     )
     whole = Window.partitionBy("path")
@@ -334,23 +347,17 @@ def declarations(files: DataFrame) -> DataFrame:
         (F.col("at.pos").cast("long") * 2**31 + F.col("at.sub")).alias("pos"),
         "kind",
         "bkind",
-        F.when(kind == "package", _group("head", _PACKAGE, 1))
-        .when(kind == "import", _group("head", _IMPORT, 1))
-        .when(kind.isin("class", "interface"), _group("head", _TYPE, 3))
-        .when(kind.isin("method", "field"), _group("head", _LEAD, 4))
+        F.when(kind.isin("package", "import", "class", "interface"), part[1])
+        .when(kind.isin("method", "field"), part[2])
         .alias("name"),
-        F.when(kind.isin("class", "interface"), _mods(_group("head", _TYPE, 1)))
-        .when(kind.isin("method", "field"), _mods(_group("head", _LEAD, 1)))
-        .alias("modifiers"),
-        F.when(kind == "class", _names(_group(tail, r"\bextends ([\w$.\p{L}]+)", 1)))
-        .when(kind == "interface", _names(_group(tail, r"\bextends (.*?)(?: permits .*)?$", 1)))
+        F.when(kind.isin("class", "interface", "method", "field"), _mods(part[0])).alias("modifiers"),
+        F.when(kind == "class", _names(F.regexp_extract(tail, r"\bextends ([\w$.\p{L}]+)", 1)))
+        .when(kind == "interface", _names(F.regexp_extract(tail, r"\bextends (.*?)(?: permits .*)?$", 1)))
         .alias("extends"),
-        F.when(kind == "class", _names(_group(tail, r"\bimplements (.*?)(?: permits .*)?$", 1))).alias("implements"),
-        F.when(kind.isin("method", "field"), _bare(_group("head", _LEAD, 2))).alias("type"),
-        F.when(kind == "method", _parameters(_group("head", _METHOD, 5))).alias("parameters"),
-        F.when(kind == "field", F.filter(F.concat(F.array(_group("head", _LEAD, 4)), others), lambda n: n != "")).alias(
-            "declarators"
-        ),
+        F.when(kind == "class", _names(F.regexp_extract(tail, r"\bimplements (.*?)(?: permits .*)?$", 1))).alias("implements"),
+        F.when(kind.isin("method", "field"), _bare(part[1])).alias("type"),
+        F.when(kind == "method", _parameters(F.translate(part[3], "()", ""))).alias("parameters"),
+        F.when(kind == "field", F.filter(F.concat(F.array(part[2]), others), lambda n: n != "")).alias("declarators"),
         F.when(kind == "method", 1 + F.coalesce("dec", F.lit(0))).alias("complexity"),
         "misplaced",
     )
