@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_LOCAL_ROOTS: dict[str, str] = {}
+
 
 def local_session(cpus: str = "8", app: str = "srclens") -> SparkSession:
     """Session for tests and the bench; on a cluster the caller brings its own."""
@@ -36,9 +38,10 @@ def shared_root(spark: SparkSession) -> str:
         return root.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    root = tempfile.mkdtemp(prefix="srclens-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL_ROOTS:
+        _LOCAL_ROOTS[app] = tempfile.mkdtemp(prefix="srclens-")
+    return _LOCAL_ROOTS[app]
 
 
 def new_path(spark: SparkSession, name: str) -> str:

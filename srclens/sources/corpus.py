@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,18 +15,35 @@ from srclens.functions.text import has_suffix
 EXTENSIONS = [".java"]
 
 
-def hidden_entries(spark: SparkSession, root: str) -> list[str]:
-    """Files and directories below ``root`` whose names Spark's listing skips.
+def hidden_entries(spark: SparkSession, root: str) -> tuple[list[str], list[tuple[str, int]]]:
+    """Directories and files below ``root`` whose names Spark's listing skips.
 
     One glob per directory level; only the hidden entries come to Python.
     """
     to_path = spark._jvm.org.apache.hadoop.fs.Path
     fs = to_path(root).getFileSystem(spark._jsc.hadoopConfiguration())
-    found, level = [], root.rstrip("/")
+    dirs, files, level = [], [], root.rstrip("/")
     while len(fs.globStatus(to_path(level + "/*")) or []):
-        found += [s.getPath().toString() for s in fs.globStatus(to_path(level + "/{.*,_*}"))]
+        for status in fs.globStatus(to_path(level + "/{.*,_*}")):
+            path = status.getPath().toString()
+            if status.isDirectory():
+                dirs.append(path)
+            else:
+                files.append((path, status.getLen()))
         level += "/*"
-    return found
+    return dirs, files
+
+
+def _read_bytes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    from pyarrow import fs
+
+    for batch in batches:
+        data = []
+        for path in batch["path"]:
+            system, name = fs.FileSystem.from_uri(re.sub(r"^file:/(?!/)", "file:///", path))
+            with system.open_input_stream(name) as stream:
+                data.append(stream.read())
+        yield batch.assign(content=data)
 
 
 def corpus_files(spark: SparkSession, root: str, extensions: list[str] | None = None) -> DataFrame:
@@ -30,12 +51,17 @@ def corpus_files(spark: SparkSession, root: str, extensions: list[str] | None =
 
     ``content`` is read only where it is selected. One extension is pruned while
     listing; a list of them is a filter on the path. Spark skips hidden names while it
-    descends but reads them as roots, so each hidden entry is a root of its own.
+    descends but reads hidden directories as roots, so each is a root of its own. A
+    file whose own name is hidden it never reads; those few are read in tasks.
     """
+    dirs, hidden = hidden_entries(spark, root)
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if extensions and len(extensions) == 1:
         reader = reader.option("pathGlobFilter", "*" + extensions[0])
-    files = reader.load([root, *hidden_entries(spark, root)]).select("path", "length", "content")
+    files = reader.load([root, *dirs]).select("path", "length", "content")
+    if hidden:
+        listed = spark.createDataFrame(hidden, "path string, length long").repartition(min(len(hidden), 64))
+        files = files.unionByName(listed.mapInPandas(_read_bytes, "path string, length long, content binary"))
     return files.filter(has_suffix(F.col("path"), extensions)) if extensions else files
 
 
