@@ -57,7 +57,6 @@ RUN = r"[^{}]++[{}]?|[{}]"
 
 _WORD = r"[A-Za-z_$\p{L}][\w$\p{L}]*"
 _MODS = "|".join(MODIFIERS)
-_DECISION = r"(?i)\b(?:" + "|".join(DECISION_WORDS) + r")\b|&&|\|\||\?"
 
 
 def _count(col: Column, char: str) -> Column:
@@ -114,28 +113,46 @@ def brace_runs(files: DataFrame) -> DataFrame:
     )
     brace = F.right("seg", F.lit(1))
     # the part after the last ';' is what a '{' belongs to
-    head = F.substring_index("seg", ";", -1)
+    pieces = exploded.select(
+        "path",
+        "pos",
+        "seg",
+        F.when(brace.isin("{", "}"), brace).otherwise("").alias("brace"),
+        F.when(brace == "{", F.substring_index("seg", ";", -1)).alias("head"),
+        F.lower("seg").alias("low"),
+    )
+    head = F.col("head")
+
+    def named(word: str, pattern: str) -> Column:
+        # a plain substring test spares most runs the regular expression
+        return F.contains(head, F.lit(word)) & head.rlike(pattern)
+
     kind = (
-        F.when(brace != "{", None)
-        .when(head.rlike(r"@\s*interface\s+" + _WORD), "annotation")
-        .when(head.rlike(r"(?:^|[^\w$.])interface\s+" + _WORD), "interface")
-        .when(head.rlike(r"(?:^|[^\w$.])class\s+" + _WORD), "class")
-        .when(head.rlike(r"(?:^|[^\w$.])enum\s+" + _WORD), "enum")
-        .when(head.rlike(r"(?:^|[^\w$.])record\s+" + _WORD + r"\s*(?:<[^{};()]*>)?\s*\("), "record")
+        F.when(head.isNull(), None)
+        .when(named("interface", r"@\s*interface\s+" + _WORD), "annotation")
+        .when(named("interface", r"(?:^|[^\w$.])interface\s+" + _WORD), "interface")
+        .when(named("class", r"(?:^|[^\w$.])class\s+" + _WORD), "class")
+        .when(named("enum", r"(?:^|[^\w$.])enum\s+" + _WORD), "enum")
+        .when(named("record", r"(?:^|[^\w$.])record\s+" + _WORD + r"\s*(?:<[^{};()]*>)?\s*\("), "record")
         .when(
-            head.rlike(r"\bnew\b[\s\S]*\)\s*\{$")
+            named("new", r"\bnew\b[\s\S]*\)\s*\{$")
             & _folded(head).rlike(r"(?:^|[^\w$.])new\s+[\w$.\p{L}]+\s*(?:<[\s\S]*>)?\s*#\s*\{$"),
             "anonymous",
         )
         .otherwise("other")
     )
-    rows = exploded.select(
+    low = F.col("low")
+    decisions = [
+        F.when(F.contains(low, F.lit(w)), F.regexp_count(low, F.lit(rf"{w}(?<![\w$]{w})(?![\w$])"))).otherwise(0)
+        for w in DECISION_WORDS
+    ] + [F.when(F.contains(low, F.lit(w)), (_count(low, w) / len(w)).cast("int")).otherwise(0) for w in DECISION_OPERATORS]
+    rows = pieces.select(
         "path",
         "pos",
         "seg",
-        F.when(brace.isin("{", "}"), brace).otherwise("").alias("brace"),
+        "brace",
         (_count(F.col("seg"), "(") - _count(F.col("seg"), ")")).alias("par"),
-        F.regexp_count("seg", F.lit(_DECISION)).alias("dec"),
+        sum(decisions[1:], decisions[0]).alias("dec"),
         kind.alias("kind"),
     )
     file_order = Window.partitionBy("path").orderBy("pos")
@@ -149,26 +166,21 @@ def brace_runs(files: DataFrame) -> DataFrame:
         (F.sum(step).over(in_file) - step).alias("depth"),
         F.lag("kind").over(file_order).alias("before"),
     )
-    # Blocks of one depth follow each other, each ended by its own '}' row.
-    at_depth = Window.partitionBy("path", "depth").orderBy("pos")
-    so_far = at_depth.rowsBetween(Window.unboundedPreceding, 0)
-    fresh = F.col("prev").isNull() | (F.col("prev") == "}")
+    # Blocks of one depth follow each other; each begins right after the run with its '{'.
+    so_far = Window.partitionBy("path", "depth").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    fresh = F.col("before").isNotNull() | (F.col("pos") == 0)
     start = F.struct(
         F.col("pos").alias("blk"),
         F.coalesce("before", F.lit("file")).alias("bkind"),
         (F.col("cpar") - F.col("par")).alias("base"),
     )
-    return (
-        placed.withColumn("prev", F.lag("brace").over(at_depth))
-        .select(
-            "path", "pos", "seg", "brace", "kind", "depth", "cdec", "cpar",
-            F.last(F.when(fresh, start), ignorenulls=True).over(so_far).alias("block"),
-        )
-        .select(
-            "path", "pos", "seg", "brace", "kind", "cdec", "block.blk", "block.bkind",
-            (F.col("cpar") - F.col("block.base")).alias("rel"),
-            ((F.col("cpar") < 0) | ((F.col("brace") == "}") & (F.col("depth") < 1))).alias("misplaced"),
-        )
+    return placed.select(
+        "path", "pos", "seg", "brace", "kind", "depth", "cdec", "cpar",
+        F.last(F.when(fresh, start), ignorenulls=True).over(so_far).alias("block"),
+    ).select(
+        "path", "pos", "seg", "brace", "kind", "cdec", "block.blk", "block.bkind",
+        (F.col("cpar") - F.col("block.base")).alias("rel"),
+        ((F.col("cpar") < 0) | ((F.col("brace") == "}") & (F.col("depth") < 1))).alias("misplaced"),
     )
 
 
@@ -269,18 +281,20 @@ def _blocks_and_members(files: DataFrame) -> DataFrame:
     initialiser = F.contains(piece, F.lit("=")) & F.contains(_without_parens(piece), F.lit("="))
     ends = F.when(opens, (F.col("rel") == 0) & ~initialiser).otherwise(F.endswith(piece, F.lit(";")))
     before = Window.partitionBy("path", "blk").orderBy("pos", "sub").rowsBetween(Window.unboundedPreceding, -1)
+    member = Window.partitionBy("path", "blk", "mem").orderBy("pos", "sub")
     return (
         cut.withColumn("ends", ends)
         .withColumn("mem", F.coalesce(F.sum(F.col("ends").cast("int")).over(before), F.lit(0)))
-        .groupBy("path", "blk", "mem")
-        .agg(
-            F.first("bkind").alias("bkind"),
-            F.max(F.when(opens & is_type, F.col("kind"))).alias("tkind"),
-            F.array_sort(F.collect_list(F.when(F.length(piece) > 0, F.struct("pos", "sub", "piece")))).alias("segs"),
-            F.max(F.struct("pos", "sub")).alias("at"),
-            F.max(F.when(F.col("ends") & opens, F.struct("pos", "cdec"))).alias("opened"),
-            F.max(F.when(F.col("last") & (F.col("brace") == "}"), F.col("cdec"))).alias("cdec_end"),
-            F.max("misplaced").alias("misplaced"),
+        # every piece of a declaration is gathered at its last one
+        .withColumn("pieces", F.collect_list("piece").over(member.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+        .withColumn("is_last", F.lead("mem").over(member).isNull())
+        .filter(F.col("is_last") | F.col("misplaced"))
+        .select(
+            "path", "blk", "bkind", "pos", "sub", "misplaced",
+            F.when(opens & is_type, F.col("kind")).alias("tkind"),
+            F.array_join("pieces", "").alias("text"),
+            F.when(F.col("ends") & opens, F.col("cdec")).alias("cdec_start"),
+            F.when(F.col("last") & (F.col("brace") == "}"), F.col("cdec")).alias("cdec_end"),
         )
     )
 
@@ -295,19 +309,19 @@ def declarations(files: DataFrame) -> DataFrame:
     groups = _blocks_and_members(files)
     is_end = F.col("cdec_end").isNotNull()
     # An opener and the end of its block become neighbours under the opener's position.
-    key = F.when(is_end, F.col("blk") - 1).otherwise(F.coalesce("opened.pos", "at.pos"))
-    pairs = Window.partitionBy("path").orderBy("key", "is_end", "at.sub")
+    key = F.when(is_end, F.col("blk") - 1).otherwise(F.col("pos"))
+    pairs = Window.partitionBy("path").orderBy("key", "is_end", "sub")
     closed = groups.withColumn("key", key).withColumn("is_end", is_end).select(
-        "path", "bkind", "tkind", "segs", "at", "key", "is_end", "misplaced",
+        "path", "bkind", "tkind", "text", "pos", "sub", "is_end", "misplaced",
         F.when(
-            F.col("opened").isNotNull() & (F.lead("key").over(pairs) == F.col("key")),
-            F.lead("cdec_end").over(pairs) - F.col("opened.cdec"),
+            F.col("cdec_start").isNotNull() & (F.lead("key").over(pairs) == F.col("key")),
+            F.lead("cdec_end").over(pairs) - F.col("cdec_start"),
         ).alias("dec"),
     )
     in_body = F.col("bkind").isin(BODY_KINDS)
     of_type = F.col("tkind").isNotNull()
     candidates = closed.filter(
-        ~F.col("is_end") & (F.size("segs") > 0) | F.col("bkind").isin("class", "interface") | F.col("misplaced")
+        (~F.col("is_end") & (F.col("text") != "")) | F.col("bkind").isin("class", "interface") | F.col("misplaced")
     )
     head = F.col("head")
     fields_of = (
@@ -316,7 +330,7 @@ def declarations(files: DataFrame) -> DataFrame:
         .when(F.col("bkind") == "file", F.regexp_replace(head, _FILE_LEVEL, "$1;$2"))
         .when(in_body, F.regexp_replace(head, _MEMBER, "$1;$2;$3;$4;$5"))
     )
-    text = F.when(~F.col("is_end"), F.array_join(F.transform("segs", lambda s: s["piece"]), ""))
+    text = F.when(~F.col("is_end"), F.col("text"))
     part = F.col("part")
     named = (
         _with_flat_header(candidates, text)
@@ -344,7 +358,7 @@ def declarations(files: DataFrame) -> DataFrame:
     parsed = named.select(
         "path",
         # two declarations can share a run: its position is told apart by the cut
-        (F.col("at.pos").cast("long") * 2**31 + F.col("at.sub")).alias("pos"),
+        (F.col("pos").cast("long") * 2**31 + F.col("sub")).alias("pos"),
         "kind",
         "bkind",
         F.when(kind.isin("package", "import", "class", "interface"), part[1])
