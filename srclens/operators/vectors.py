@@ -191,8 +191,8 @@ def list_nearest(
         .join(F.broadcast(sizes), "list")
         .withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
     )
-    q_block = F.pmod(F.xxhash64("id"), F.lit(max(1, math.ceil(q.count() / QUERY_BLOCK)))).cast("int")
     n_blocks = max(1, math.ceil(q.count() / QUERY_BLOCK))
+    q_block = F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int")
     v_side = placed.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
     keys = ["list", "salt", "qb"]
     return _ranked(_pairwise(v_side.select(*keys, "id", "vec"), q_side.withColumn("qb", q_block).select(*keys, "id", "vec"), keys, k), k)

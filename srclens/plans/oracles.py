@@ -26,13 +26,13 @@ m AS (
 mc AS (SELECT path, type_name, count(*) AS method_count, avg(complexity) AS avg_complexity FROM m GROUP BY ALL),
 cls AS (
   SELECT f.path, 'C' || (k % 5000) AS name, package, 'public' AS modifiers, 'Base' || (c % 5) AS extends,
-    'I0,I' || (c % 3) AS implements, method_count, 4 AS field_count, avg_complexity, 0 AS tpos
+    'I0,I' || (c % 3) AS implements, method_count, CAST(4 AS BIGINT) AS field_count, avg_complexity, 0 AS tpos
   FROM f JOIN mc ON mc.path = f.path AND mc.type_name = 'C' || (k % 5000)
   UNION ALL
   SELECT f.path, 'N' || k, package, 'static', '', '', method_count, 0, avg_complexity, 1
   FROM f JOIN mc ON mc.path = f.path AND mc.type_name = 'N' || k),
 ifc AS (
-  SELECT s.path, 'S' || k AS name, 'N' || n || ',Closeable' AS extends, 2 AS method_count, 1 AS field_count,
+  SELECT s.path, 'S' || k AS name, 'N' || n || ',Closeable' AS extends, CAST(2 AS BIGINT) AS method_count, CAST(1 AS BIGINT) AS field_count,
     2.0::DOUBLE AS avg_complexity FROM s)
 """
 
@@ -218,7 +218,7 @@ FROM conversations""",
     "model_calls": """
 WITH d AS (SELECT doc_id, length(text) AS n FROM documents)
 SELECT doc_id, CASE WHEN n % 5 = 0 OR n % 7 = 0 THEN 'Summary unavailable' ELSE n || ' characters' END AS summary,
-  CASE WHEN n % 5 = 0 THEN 3 ELSE 1 END AS attempts, CASE WHEN n % 5 = 0 THEN 'no answer' END AS error FROM d""",
+  CAST(CASE WHEN n % 5 = 0 THEN 3 ELSE 1 END AS BIGINT) AS attempts, CASE WHEN n % 5 = 0 THEN 'no answer' END AS error FROM d""",
     "fixed_chunks": """
 WITH c AS (SELECT doc_id, text, unnest(range(0, CASE WHEN length(text) <= 3500 THEN 1 ELSE CAST(ceil((length(text) - 300) / 3200.0) AS BIGINT) END)) AS chunk_idx
   FROM documents WHERE text <> '')

@@ -481,8 +481,7 @@ def model_calls(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", records.request_id(F.col("doc_id")).alias("request_id"), "text")
     asked = docs.select("request_id", records.messages("Count.", F.col("text")).alias("messages"))
     answers = written(records.ask(asked, _stub, parallel=8), "responses")
-    both = records.with_summary(docs.drop("text"), answers).join(answers, "request_id", "left")
-    return both.select("doc_id", "summary", F.col("attempts").cast("long").alias("attempts"), "error")
+    return records.with_summary(docs.drop("text"), answers).select("doc_id", "summary", F.col("attempts").cast("long").alias("attempts"), "error")
 
 
 @query
