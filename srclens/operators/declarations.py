@@ -19,8 +19,8 @@ Semantics fixed here
   * type names are bare: no type arguments, no dimensions, no qualifier;
   * modifiers keep source order;
   * a body's score is 1 + the decision words in it, comments and literals removed.
-Known limits: methods in the body of an enum constant, and in an anonymous class one
-of whose constructor arguments holds a block, are not seen.
+Known limit: methods in an anonymous class one of whose constructor arguments holds a
+block are not seen.
 """
 
 from __future__ import annotations
@@ -139,6 +139,9 @@ def brace_runs(files: DataFrame) -> DataFrame:
             & _folded(head).rlike(r"(?:^|[^\w$.])new\s+[\w$.\p{L}]+\s*(?:<[\s\S]*>)?\s*#\s*\{$"),
             "anonymous",
         )
+        # the body of an enum constant that follows another one
+        .when(F.startswith(F.ltrim(head), F.lit(",")) & _folded(head).rlike(rf"^(?:\s*,\s*{_WORD}\s*#?)+\s*\{{$"), "anonymous")
+        .when(~F.contains("seg", F.lit(";")), "plain")
         .otherwise("other")
     )
     low = F.col("low")
@@ -165,13 +168,17 @@ def brace_runs(files: DataFrame) -> DataFrame:
         # depth of the block the run sits in, not of the one it opens
         (F.sum(step).over(in_file) - step).alias("depth"),
         F.lag("kind").over(file_order).alias("before"),
+        F.lag("kind", 2).over(file_order).alias("before2"),
     )
     # Blocks of one depth follow each other; each begins right after the run with its '{'.
     so_far = Window.partitionBy("path", "depth").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     fresh = F.col("before").isNotNull() | (F.col("pos") == 0)
     start = F.struct(
         F.col("pos").alias("blk"),
-        F.coalesce("before", F.lit("file")).alias("bkind"),
+        # an enum begins with its constants: a block before any ';' is the body of one
+        F.when((F.col("before") == "plain") & (F.col("before2") == "enum"), "anonymous")
+        .otherwise(F.coalesce("before", F.lit("file")))
+        .alias("bkind"),
         (F.col("cpar") - F.col("par")).alias("base"),
     )
     return placed.select(

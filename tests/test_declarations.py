@@ -113,6 +113,18 @@ def test_direct_members_only(decls):
     assert direct == {"Outer": (3, 10), "Local": (1, 0), "Inner": (1, 0), "Deep": (1, 1), "Svc": (2, 0)}
 
 
+def test_enum_constant_bodies(spark):
+    text = """class Ops { enum Op {
+      ADD(1) { int apply(int a) { if (a > 0) { return a; } return 0; } int k; }, PLAIN, SUB { int apply(int a) { return -a; } };
+      Op(int x) { int local; } Op() { } abstract int apply(int a); private int q;
+      void later() { call(() -> { int n; }, other); int[][] m = {{1}, {2}}; for (int i = 0; i < 2; i++) { int w; } }
+    } }"""
+    row = D.types(D.declarations(spark.createDataFrame([("o", text)], "path string, content string")), nested=True).first()
+    assert [m["name"] for m in row["methods"]] == ["apply", "apply", "apply", "later"]
+    assert [m["complexity"] for m in row["methods"]] == [2, 1, 1, 2]
+    assert [f["name"] for f in row["fields"]] == ["k", "q"]
+
+
 def test_rejects(spark):
     rows = [(k, v) for k, v in FILES.items()]
     found = D.rejects(spark.createDataFrame(rows, "path string, content string"))
