@@ -201,7 +201,7 @@ def rejected_files(spark, sf_dir):
 def retained_files(spark, sf_dir):
     """files with at least one class or interface."""
     files = rendered_corpus(spark, sf_dir)
-    kept = files.join(D.types(D.declarations(files)).select("path"), "path", "left_semi")
+    kept = stats.retained(files, D.types(D.declarations(files)))
     return kept.select("path", F.regexp_extract("content", r"public (\w+) ", 1).alias("declares"))
 
 
