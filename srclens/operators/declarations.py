@@ -68,10 +68,23 @@ def _repeat(times: Column, text: Column, step) -> Column:
     return F.when(times > 0, F.aggregate(F.sequence(F.lit(1), times), text, lambda acc, _: step(acc))).otherwise(text)
 
 
+def _passes(text: Column, opening: str, closing: str) -> Column:
+    """How often innermost brackets must be removed: their count, or for many their depth."""
+    count = _count(text, opening).cast("int")
+    marks = F.split(F.regexp_replace(text, f"[^{opening}{closing}]", ""), "")
+
+    def walk(acc: Column, mark: Column) -> Column:
+        depth = F.greatest(acc["d"] + F.when(mark == opening, 1).when(mark == closing, -1).otherwise(0), F.lit(0))
+        return F.struct(depth.alias("d"), F.greatest(acc["m"], depth).alias("m"))
+
+    depth = F.aggregate(marks, F.struct(F.lit(0).alias("d"), F.lit(0).alias("m")), walk)["m"]
+    return F.when(count > 8, depth).otherwise(count)
+
+
 def _folded(text: Column) -> Column:
     """Balanced parentheses and what is in them become ``#``."""
     return _repeat(
-        _count(text, "(").cast("int"), text, lambda t: F.regexp_replace(t, r"\([^()]*\)", "#")
+        _passes(text, "(", ")"), text, lambda t: F.regexp_replace(t, r"\([^()]*\)", "#")
     )
 
 
@@ -218,7 +231,7 @@ def _with_flat_header(df: DataFrame, text: Column) -> DataFrame:
         F.when(
             F.contains(head, F.lit("@")), F.regexp_replace(head, r"@(?! ?interface\b) ?[\w$.]+( ?\([^()]*\))?", " ")
         ).otherwise(head),
-        _repeat(_count(head, "<").cast("int"), head, lambda t: F.regexp_replace(t, arguments, " ")),
+        _repeat(_passes(head, "<", ">"), head, lambda t: F.regexp_replace(t, arguments, " ")),
         F.replace(head, F.lit("..."), F.lit(" [] ")),
         F.trim(F.regexp_replace(F.regexp_replace(head, r" ?\. ?", "."), r" {2,}", " ")),
     ):

@@ -175,6 +175,16 @@ def test_long_literals_and_wide_files(spark):
     assert [found[f"D{i}"]["method_count"] for i in range(60)] == [60 - i for i in range(60)]
 
 
+def test_headers_with_many_brackets(spark):
+    calls = " + ".join(f"f{i}(g((1)), {i})" for i in range(300))
+    generic = "Map<String, List<K>> m0 = new HashMap<String, List<K>>()"
+    chain = ", ".join(f"v{i} = of(new HashMap<String, List<Map<K, V>>>())" for i in range(20))
+    text = f"class A {{ int x = {calls}, y; {generic}, {chain}; Foo z = g({calls}, new Foo(h(1)) {{ void q() {{ }} }}); }}"
+    row = D.types(D.declarations(spark.createDataFrame([("a", text)], "path string, content string")), nested=True).first()
+    assert [f["name"] for f in row["fields"]] == ["x", "y", "m0", *[f"v{i}" for i in range(20)], "z"]
+    assert [m["name"] for m in row["methods"]] == ["q"]
+
+
 def test_one_shuffle(spark):
     df = spark.createDataFrame([("w", "class A { }")], "path string, content string")
     plan = D.types(D.declarations(df))._jdf.queryExecution().executedPlan().toString()
