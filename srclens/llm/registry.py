@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from srclens.llm import decontaminate, neardup, quality
+from srclens.llm import decontaminate, mixing, neardup, quality, secret_scan
 
 QUERIES = {
     "op2_decontaminate": decontaminate.op2_decontaminate,
     "op5_near_duplicates": neardup.op5_near_duplicates,
+    "op8_secrets": secret_scan.op8_secrets,
+    "op9_mixing": mixing.op9_mixing,
     "op10_quality": quality.op10_quality,
 }
 
 ORACLES = {
     "op2_decontaminate": decontaminate.OP2_SQL,
+    "op8_secrets": secret_scan.OP8_SQL,
+    "op9_mixing": mixing.OP9_SQL,
 }
