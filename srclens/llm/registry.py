@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from srclens.llm import decontaminate, mixing, neardup, quality, secret_scan
+from srclens.llm import ann, chat, decontaminate, html_text, mixing, neardup, quality, secret_scan, tokens, warc
 
 QUERIES = {
+    "op1_html": html_text.op1_html,
     "op2_decontaminate": decontaminate.op2_decontaminate,
     "op5_near_duplicates": neardup.op5_near_duplicates,
+    "op3_chat": chat.op3_chat,
+    "op4_tokens": tokens.op4_tokens,
+    "op6_nearest": ann.op6_nearest,
+    "op7_warc": warc.op7_warc,
     "op8_secrets": secret_scan.op8_secrets,
     "op9_mixing": mixing.op9_mixing,
     "op10_quality": quality.op10_quality,
@@ -14,6 +19,7 @@ QUERIES = {
 
 ORACLES = {
     "op2_decontaminate": decontaminate.OP2_SQL,
+    "op7_warc": warc.OP7_SQL,
     "op8_secrets": secret_scan.OP8_SQL,
     "op9_mixing": mixing.OP9_SQL,
 }
