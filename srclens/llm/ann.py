@@ -13,7 +13,7 @@ Lists are cut into blocks of ``VECTOR_BLOCK`` vectors and their queries into blo
 group is bounded. Each group returns at most ``k + 1`` hits for a query.
 
 The rotation depends on a seed, centres are fitted in the driver on a bounded sample (``SAMPLE``
-vectors with the smallest hash of their id). There are about ``sqrt(n)`` lists, at most ``SAMPLE / 20``. A query probes
+vectors with the smallest hash of their id). There are about ``2 sqrt(n)`` lists, at most ``SAMPLE / 20``. A query probes
 ``PROBE`` of the lists, at least four, and further ones until they hold ``LEAST_SCANNED * k`` vectors, so few
 vectors are all found. Measured recall is in the README.
 
@@ -36,9 +36,9 @@ from srclens.session import written
 
 K, QUERY_STEP = 5, 50
 SAMPLE, SEED = 20_000, 11
-PROBE, LEAST_SCANNED = 0.3, 40
+PROBE, LEAST_SCANNED = 0.6, 40
 VECTOR_BLOCK, QUERY_BLOCK = 4096, 512
-DIMENSIONS_AT_ONCE, TILE, MARGIN = 16, 512, 2.5
+DIMENSIONS_AT_ONCE, TILE, MARGIN = 16, 512, 2.1
 HITS = "query_key long, vec_key long, score double"
 
 
@@ -137,7 +137,7 @@ def nearest(
     sample = keys.orderBy(F.xxhash64("key"), "key").limit(SAMPLE).select("vec").toPandas()  # at most SAMPLE rows
     turn = rotation(dim, seed)
     points = unit(matrix(sample["vec"], dim)) @ turn
-    lists = max(1, min(round(n**0.5), len(points) // 20))
+    lists = max(1, min(round(2 * n**0.5), len(points) // 20))
     middle = centres(points, lists, seed=seed)
 
     @pandas_udf("int")
