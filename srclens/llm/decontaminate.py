@@ -6,12 +6,11 @@ their counts, sum of least counts over sum of largest counts.
 
 1. Anchors. A window that similar shares all but a ninth of its shingles with the item,
    so at least one of every ``stride`` positions is shared. Shingle hashes at those
-   positions meet the shingle hashes of the items. Positions, not texts, are joined.
+   positions meet the shingle hashes of the items, and the words around a hit are written. Where the items
+   are few enough to ship (they are counted), no text is shuffled and documents are read once.
 2. Windows. Around each anchor the item-sized windows are counted; those with too
-   few shared anchors cannot be similar enough and go. The rest, a few for each leak, is
-   written with the key of its row.
-3. SimHash. The rows that have windows are read again and each window gets the 64-bit
-   SimHash of its shingles. A multi-index of eight byte blocks finds the items: fingerprints within
+   few shared anchors cannot be similar enough and go. A few stay for each leak.
+3. SimHash. Each window gets the 64-bit SimHash of its shingles. A multi-index of eight byte blocks finds the items: fingerprints within
    23 bits have a block with at most two differing bits, and each item is listed under
    all 37 values that near for each of its blocks. So all items within the radius are
    found; at similarity 0.8 about 10 bits differ and over 23 do once in a million.
@@ -29,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from srclens.llm.common import counted_broadcast, row_key, table
+from srclens.llm.common import HINT_ROWS, counted_broadcast, row_key, table
 from srclens.session import written
 
 SIMILARITY, WORDS, STRIDE = 0.8, 5, 4
@@ -39,18 +38,19 @@ BLOCKS, FLIPS, RADIUS = 8, 2, 23  # eight blocks of eight bits; 8 * (2 + 1) - 1
 def words_of(text: Column) -> Column:
     """Runs of letters and digits, lower case."""
     flat = F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " "))
-    return F.when(flat == "", F.array().cast("array<string>")).otherwise(F.split(flat, " "))
+    return F.array_remove(F.split(flat, " "), "")
 
 
 def _simhash(hashes: str, n: str) -> Column:
     """SimHash of an array of long hashes: a bit is set when it is in more than half of them.
 
-    Each sum counts two bits at a time, one in either half of a long.
+    Each sum counts two bits at a time, one in either half of a long. The array is bound to
+    a name first: the optimizer would else put its expression where it is used, once for each bit.
     """
-    sums = f"transform(sequence(0, 31), j -> aggregate({hashes}, 0L, (acc, h) -> acc + (shiftrightunsigned(h, j) & 4294967297L)))"
+    sums = "transform(sequence(0, 31), j -> aggregate(hs, 0L, (acc, h) -> acc + (shiftrightunsigned(h, j) & 4294967297L)))"
     return F.expr(
-        f"aggregate(transform({sums}, (s, j) -> if(2 * (s & 4294967295L) > {n}, shiftleft(1L, j), 0L)"
-        f" | if(2 * shiftrightunsigned(s, 32) > {n}, shiftleft(1L, j + 32), 0L)), 0L, (acc, b) -> acc | b)"
+        f"aggregate(flatten(transform(array({hashes}), hs -> {sums})), named_struct('j', 0, 'fp', 0L), (acc, t) -> named_struct('j', acc.j + 1, 'fp', acc.fp"
+        f" | if(2 * (t & 4294967295L) > {n}, shiftleft(1L, acc.j), 0L) | if(2 * shiftrightunsigned(t, 32) > {n}, shiftleft(1L, acc.j + 32), 0L)), acc -> acc.fp)"
     )
 
 
@@ -61,13 +61,13 @@ def _shingles(words: str, start: str, count: str, k: str) -> str:
 def _counted(shingles: str) -> str:
     """Shingles told apart by their occurrence, so that sets of them compare like counts."""
     return (
-        f"if(size(array_distinct({shingles})) = size({shingles}), transform({shingles}, x -> concat('1 ', x)),"
-        f" transform({shingles}, (x, i) -> concat(size(filter(slice({shingles}, 1, i + 1), y -> y = x)), ' ', x)))"
+        f"flatten(transform(array({shingles}), a -> if(size(array_distinct(a)) = size(a), transform(a, x -> concat('1 ', x)),"
+        " transform(a, (x, i) -> concat(size(filter(slice(a, 1, i + 1), y -> y = x)), ' ', x)))))"
     )
 
 
 def _items(benchmark: DataFrame, id_col: str, text_col: str, n_words: int) -> DataFrame:
-    """``item_id, k, s, parts, fp``: words of a shingle, number of shingles, shingles, SimHash."""
+    """``item, item_id, k, s, parts, fp, anchors``: own key, words of a shingle, number of shingles, shingles, SimHash."""
     items = (
         benchmark.select(F.col(id_col).alias("item_id"), words_of(F.col(text_col)).alias("w"))
         .filter(F.size("w") > 0)
@@ -75,11 +75,11 @@ def _items(benchmark: DataFrame, id_col: str, text_col: str, n_words: int) -> Da
         .withColumn("k", F.least(F.lit(n_words), F.size("w")))
         .withColumn("s", F.expr("size(w) - k + 1"))
         .withColumn("raw", F.expr(_shingles("w", "0", "s", "k")))
-        .withColumn("hashes", F.expr("transform(raw, x -> xxhash64(x))"))
     )
-    return items.select("item_id", "k", "s", F.expr(_counted("raw")).alias("parts"), _simhash("hashes", "s").alias("fp"), F.expr(
-        "transform(raw, x -> aggregate(split(x, ' '), 0L, (h, y) -> xxhash64(h, y)))"
-    ).alias("anchors"))
+    anchors = F.expr("transform(raw, x -> aggregate(split(x, ' '), 0L, (h, y) -> xxhash64(h, y)))").alias("anchors")
+    return items.select(
+        F.monotonically_increasing_id().alias("item"), "item_id", "k", "s", F.expr(_counted("raw")).alias("parts"), _simhash("transform(raw, x -> xxhash64(x))", "s").alias("fp"), anchors
+    )
 
 
 def leaks(
@@ -99,40 +99,45 @@ def leaks(
     stride = max(1, min(STRIDE, least))
     spare = f"floor(s * (1 - {similarity}D) / (1 + {similarity}D) + 1e-9)"
 
-    worded = docs.select(row_key(F.col(id_col), F.col(text_col)).alias("rk"), words_of(F.col(text_col)).alias("w"))
-    hashed = worded.select("rk", F.size("w").alias("n"), F.col("w"))
+    text = F.col(text_col)
+    worded = docs.select(row_key(F.col(id_col), text).alias("rk"), F.col(id_col).alias("doc_id"), words_of(text).alias("w"))
     link = lambda k: "0L" if k == 0 else f"xxhash64({link(k - 1)}, w[p + {k - 1}])"
     spots = [
-        f"transform(if(n >= {k}, sequence(0, n - {k}, {stride}), array()), p -> named_struct('k', {k}, 'p', p, 'h', {link(k)}))"
+        f"transform(if(size(w) >= {k}, sequence(0, size(w) - {k}, {stride}), array()), p -> named_struct('k', {k}, 'p', p, 'h', {link(k)}))"
         for k in lengths or [n_words]
     ]
-    anchors = hashed.select("rk", "n", F.explode(F.expr(f"concat({', '.join(spots)})")).alias("a")).select("rk", "n", "a.*")
-    listed = items.select("item_id", "k", "s", F.explode(F.array_distinct("anchors")).alias("h"))
-    hits = anchors.join(counted_broadcast(listed, n_shingles), ["k", "h"]).filter("n >= s + k - 1")
+    anchors = worded.select("*", F.explode(F.expr(f"concat({', '.join(spots)})")).alias("a"))
+    anchors = anchors.select("rk", "doc_id", F.size("w").alias("n"), "w", "a.*")
+    listed = items.select("item", "k", "s", F.explode(F.array_distinct("anchors")).alias("h"))
+    around = ["greatest(0, p - s + 1) low", "slice(w, greatest(0, p - s + 1) + 1, 2 * s + k) near"]
+    if n_shingles <= HINT_ROWS:  # the join streams past the words and copies them only around a hit
+        hits = anchors.join(F.broadcast(listed), ["k", "h"]).filter("n >= s + k - 1").selectExpr("rk", "doc_id", "item", "k", "s", "n", "p", *around)
+    else:  # positions are shuffled, and texts once
+        met = anchors.select("rk", "n", "k", "p", "h").join(listed, ["k", "h"]).filter("n >= s + k - 1").drop("n", "h")
+        hits = worded.join(met, "rk").withColumn("n", F.size("w")).filter("p <= n - k and n >= s + k - 1").selectExpr("rk", "doc_id", "item", "k", "s", "n", "p", *around)
+    hits = written(hits, "hits")
     windows = (
-        hits.select("rk", "item_id", "k", "s", F.explode(F.expr("sequence(greatest(0, p - s + 1), least(p, n - k - s + 1))")).alias("at"))
-        .groupBy("rk", "item_id", "k", "s", "at")
-        .agg(F.count("*").alias("met"))
+        hits.select("rk", "doc_id", "item", "k", "s", "p", F.explode(F.expr("sequence(greatest(0, p - s + 1), least(p, n - k - s + 1))")).alias("at"))
+        .distinct()
+        .groupBy("rk", "doc_id", "item", "k", "s", "at")
+        .agg(F.count("*").alias("met"), F.min("p").alias("p"))
         .filter(f"met >= floor((at + s - 1) / {stride}) - ceil(at / {stride}) + 1 - {spare}")
-        .groupBy("rk")
-        .agg(F.collect_set(F.struct("k", "s", "at")).alias("windows"))  # windows of one text
+        .drop("met")
     )
-    windows = written(windows, "windows")
-
-    rows = docs.select(F.col(id_col).alias("doc_id"), row_key(F.col(id_col), F.col(text_col)).alias("rk"), F.col(text_col).alias("t"))
+    keys = ["rk", "item", "k", "s", "p"]
+    shown = hits.groupBy(*keys, "doc_id", "low").agg(F.first("near").alias("near"))
+    same = [F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}")) for c in [*keys, "doc_id"]]
     cut = (
-        rows.join(windows, "rk")
-        .select("rk", "doc_id", words_of(F.col("t")).alias("w"), "windows")
-        .select("rk", "doc_id", "w", F.explode("windows").alias("x"))
-        .filter("size(w) >= x.at + x.s + x.k - 1")
-        .select("rk", "doc_id", "x.*", F.expr(_shingles("w", "x.at", "x.s", "x.k")).alias("raw"))
-        .withColumn("hashes", F.expr("transform(raw, x -> xxhash64(x))"))
-        .select("rk", "doc_id", "k", "s", "at", F.expr(_counted("raw")).alias("mine"), _simhash("hashes", "s").alias("mine_fp"))
+        windows.alias("x").join(shown.alias("y"), same)
+        .selectExpr("x.rk", "x.doc_id", "x.k", "x.s", "x.at", "slice(near, at - low + 1, x.s + x.k - 1) w")
+        .dropDuplicates(["rk", "doc_id", "k", "s", "at"])
+        .select("rk", "doc_id", "k", "s", "at", F.expr(_shingles("w", "0", "s", "k")).alias("raw"))
     )
+    cut = cut.select("rk", "doc_id", "k", "s", "at", F.expr(_counted("raw")).alias("mine"), _simhash("transform(raw, x -> xxhash64(x))", "s").alias("mine_fp"))
     byte = lambda fp: f"cast(shiftrightunsigned({fp}, 8 * b) & 255 as int)"
     near = f"filter(sequence(0, 255), v -> bit_count(v ^ {byte('fp')}) <= {FLIPS})"
-    index = items.select("item_id", "k", "s", "parts", "fp", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))).alias("b")).select(
-        "item_id", "k", "s", "parts", "fp", "b", F.explode(F.expr(near)).alias("v")
+    index = items.select("item", "k", "s", "parts", "fp", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))).alias("b")).select(
+        "item", "k", "s", "parts", "fp", "b", F.explode(F.expr(near)).alias("v")
     )
     light = index.drop("parts")
     probes = cut.select("*", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))).alias("b")).withColumn("v", F.expr(byte("mine_fp")))
@@ -140,10 +145,10 @@ def leaks(
     found = (
         probes.join(counted_broadcast(light, n_items * BLOCKS * 37), ["k", "s", "b", "v"])
         .filter(F.expr(f"bit_count(fp ^ mine_fp) <= {RADIUS} and {first_block}"))
-        .select("rk", "doc_id", "item_id", "k", "s", "at", "mine")
+        .select("rk", "doc_id", "item", "k", "s", "at", "mine")
     )
     compared = (
-        found.join(counted_broadcast(items.select("item_id", "k", "s", "parts"), n_shingles), ["item_id", "k", "s"])
+        found.join(counted_broadcast(items.select("item", "item_id", "parts"), n_shingles), "item")
         .withColumn("shared", F.size(F.array_intersect("mine", "parts")))
         .filter(f"shared >= {similarity}D * (2 * s - shared) - 1e-9")
     )
