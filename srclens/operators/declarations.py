@@ -93,8 +93,20 @@ def _without_parens(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(_folded(text), r"^[^(]*\)", ""), r"\([\s\S]*$", "")
 
 
+def _in_order(code: Column) -> Column:
+    """No bracket closes before it opens: one walk over the brackets of a text."""
+    marks = F.split(F.regexp_replace(code, r"[^{}()]++", ""), "")
+
+    def walk(acc: Column, mark: Column) -> Column:
+        brace = acc["b"] + F.when(mark == "{", 1).when(mark == "}", -1).otherwise(0)
+        paren = acc["p"] + F.when(mark == "(", 1).when(mark == ")", -1).otherwise(0)
+        return F.struct(brace.alias("b"), paren.alias("p"), F.least(acc["low"], brace, paren).alias("low"))
+
+    return F.aggregate(marks, F.struct(F.lit(0).alias("b"), F.lit(0).alias("p"), F.lit(0).alias("low")), walk)["low"] == 0
+
+
 def clean_files(files: DataFrame) -> DataFrame:
-    """``path, code, usable``: text without comments and literals; do its brackets balance."""
+    """``path, code, usable``: text without comments and literals; do its brackets and quotes close in order."""
     code = F.col("code")
     return files.select("path", F.regexp_replace("content", COMMENT_OR_LITERAL, " ").alias("code")).select(
         "path",
@@ -103,6 +115,8 @@ def clean_files(files: DataFrame) -> DataFrame:
             (_count(code, "{") == _count(code, "}"))
             & (_count(code, "(") == _count(code, ")"))
             & ~F.contains(code, F.lit('"'))
+            & ~F.contains(code, F.lit("'"))
+            & _in_order(code)
         ).alias("usable"),
     )
 
@@ -200,7 +214,6 @@ def brace_runs(files: DataFrame) -> DataFrame:
     ).select(
         "path", "pos", "seg", "brace", "kind", "cdec", "block.blk", "block.bkind",
         (F.col("cpar") - F.col("block.base")).alias("rel"),
-        ((F.col("cpar") < 0) | ((F.col("brace") == "}") & (F.col("depth") < 1))).alias("misplaced"),
     )
 
 
@@ -288,7 +301,7 @@ def _blocks_and_members(files: DataFrame) -> DataFrame:
     )
     cut = (
         brace_runs(files)
-        .filter(in_body | is_type | (F.col("brace") == "}") | F.col("misplaced"))
+        .filter(in_body | is_type | (F.col("brace") == "}"))
         .select("*", pieces.alias("pieces"))
         .select("*", F.posexplode("pieces").alias("sub", "piece"))
         .withColumn("last", F.col("sub") == F.size("pieces") - 1)
@@ -301,21 +314,20 @@ def _blocks_and_members(files: DataFrame) -> DataFrame:
     initialiser = F.contains(piece, F.lit("=")) & F.contains(_without_parens(piece), F.lit("="))
     ends = F.when(opens, (F.col("rel") == 0) & ~initialiser).otherwise(F.endswith(piece, F.lit(";")))
     before = Window.partitionBy("path", "blk").orderBy("pos", "sub").rowsBetween(Window.unboundedPreceding, -1)
-    member = Window.partitionBy("path", "blk", "mem").orderBy("pos", "sub")
+    at = F.struct("pos", "sub")
+    last = F.struct(
+        F.when(opens & is_type, F.col("kind")).alias("tkind"),
+        F.when(F.col("ends") & opens, F.col("cdec")).alias("cdec_start"),
+        F.when(F.col("last") & (F.col("brace") == "}"), F.col("cdec")).alias("cdec_end"),
+        "bkind", "pos", "sub",
+    )
     return (
         cut.withColumn("ends", ends)
         .withColumn("mem", F.coalesce(F.sum(F.col("ends").cast("int")).over(before), F.lit(0)))
-        # every piece of a declaration is gathered at its last one
-        .withColumn("pieces", F.collect_list("piece").over(member.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-        .withColumn("is_last", F.lead("mem").over(member).isNull())
-        .filter(F.col("is_last") | F.col("misplaced"))
-        .select(
-            "path", "blk", "bkind", "pos", "sub", "misplaced",
-            F.when(opens & is_type, F.col("kind")).alias("tkind"),
-            F.array_join("pieces", "").alias("text"),
-            F.when(F.col("ends") & opens, F.col("cdec")).alias("cdec_start"),
-            F.when(F.col("last") & (F.col("brace") == "}"), F.col("cdec")).alias("cdec_end"),
-        )
+        # the pieces of a declaration in order, once, with what its last piece says
+        .groupBy("path", "blk", "mem")
+        .agg(F.array_sort(F.collect_list(F.struct("pos", "sub", "piece"))).alias("pieces"), F.max_by(last, at).alias("end"))
+        .select("path", "blk", "end.*", F.array_join(F.transform("pieces", lambda x: x["piece"]), "").alias("text"))
     )
 
 
@@ -332,7 +344,7 @@ def declarations(files: DataFrame) -> DataFrame:
     key = F.when(is_end, F.col("blk") - 1).otherwise(F.col("pos"))
     pairs = Window.partitionBy("path").orderBy("key", "is_end", "sub")
     closed = groups.withColumn("key", key).withColumn("is_end", is_end).select(
-        "path", "bkind", "tkind", "text", "pos", "sub", "is_end", "misplaced",
+        "path", "bkind", "tkind", "text", "pos", "sub", "is_end",
         F.when(
             F.col("cdec_start").isNotNull() & (F.lead("key").over(pairs) == F.col("key")),
             F.lead("cdec_end").over(pairs) - F.col("cdec_start"),
@@ -341,7 +353,7 @@ def declarations(files: DataFrame) -> DataFrame:
     in_body = F.col("bkind").isin(BODY_KINDS)
     of_type = F.col("tkind").isNotNull()
     candidates = closed.filter(
-        (~F.col("is_end") & (F.col("text") != "")) | F.col("bkind").isin("class", "interface") | F.col("misplaced")
+        (~F.col("is_end") & (F.col("text") != "")) | F.col("bkind").isin("class", "interface")
     )
     head = F.col("head")
     fields_of = (
@@ -354,7 +366,8 @@ def declarations(files: DataFrame) -> DataFrame:
     part = F.col("part")
     named = (
         _with_flat_header(candidates, text)
-        .withColumn("part", F.split(fields_of, ";", -1))
+        # one row each: the generator keeps filters on ``kind`` from running the header steps anew
+        .withColumn("part", F.explode(F.array(F.split(fields_of, ";", -1))))
         .withColumn(
             "kind",
             F.when(F.col("is_end"), F.when(F.col("bkind").isin("class", "interface"), "end"))
@@ -393,14 +406,11 @@ def declarations(files: DataFrame) -> DataFrame:
         F.when(kind == "method", _parameters(F.translate(part[3], "()", ""))).alias("parameters"),
         F.when(kind == "field", F.filter(F.concat(F.array(part[2]), others), lambda n: n != "")).alias("declarators"),
         F.when(kind == "method", 1 + F.coalesce("dec", F.lit(0))).alias("complexity"),
-        "misplaced",
     )
     return (
         parsed.withColumn("level", F.sum(step).over(in_order))
         .withColumn("package", F.max(F.when(kind == "package", F.col("name"))).over(whole))
-        .withColumn("bad", F.max("misplaced").over(whole))
-        .filter(~F.col("bad") & kind.isin("package", "import", "class", "interface", "method", "field", "end"))
-        .drop("misplaced", "bad")
+        .filter(kind.isin("package", "import", "class", "interface", "method", "field", "end"))
     )
 
 
@@ -548,11 +558,14 @@ def imports(decls: DataFrame) -> DataFrame:
 
 
 def rejects(files: DataFrame) -> DataFrame:
-    """Files whose brackets or literals do not close, with the reason."""
-    bad = F.when(~F.col("usable"), F.array(F.lit("unbalanced")))
-    counted = clean_files(files).select("path", F.explode(bad).alias("reason"))
-    misplaced = brace_runs(files).filter("misplaced").groupBy("path").agg(F.lit("unbalanced").alias("reason"))
-    return counted.unionByName(misplaced)
+    """``path, reason`` of the files that give no declarations, in one pass over the texts.
+
+    ``encoding`` where the reader could not decode the file (a null text), ``unbalanced`` where brackets or
+    quotes do not close in order.
+    """
+    reason = F.when(F.col("code").isNull(), "encoding").when(~F.col("usable"), "unbalanced")
+    # An array of one or none: a filter would be pushed below and run the cleaning once more.
+    return clean_files(files).select("path", F.explode(F.array_compact(F.array(reason))).alias("reason"))
 
 
 def edges(type_rows: DataFrame) -> DataFrame:

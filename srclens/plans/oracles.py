@@ -22,15 +22,20 @@ m AS (
   UNION ALL SELECT path, 'C' || (k % 5000), 'z', 'void z()', '', 'void', '', 1, 0, 100 FROM f
   UNION ALL SELECT path, 'N' || k, 'z', 'void z()', '', 'void', '', 1, 1, 100 FROM f
   UNION ALL SELECT path, 'S' || k, 'size', 'int size()', '', 'int', '', 1, 0, 1 FROM s
-  UNION ALL SELECT path, 'S' || k, 'each', 'default void each(int x)', 'default', 'void', 'int x', 3, 0, 2 FROM s),
-mc AS (SELECT path, type_name, count(*) AS method_count, avg(complexity) AS avg_complexity FROM m GROUP BY ALL),
+  UNION ALL SELECT path, 'S' || k, 'each', 'default void each(int x)', 'default', 'void', 'int x', 3, 0, 2 FROM s
+  UNION ALL SELECT path, t.name, 'one', 'int one()', '', 'int', '', 1, tpos, 1 FROM s,
+    (VALUES ('T', 1), ('E', 4), ('B', 5)) v(kind, tpos), LATERAL (SELECT kind || CASE WHEN kind = 'T' THEN CAST(k AS VARCHAR) ELSE '' END AS name) t),
+mc AS (SELECT path, type_name, count(*) AS method_count, avg(complexity) AS avg_complexity FROM m WHERE tpos < 2 GROUP BY ALL),
 cls AS (
   SELECT f.path, 'C' || (k % 5000) AS name, package, 'public' AS modifiers, 'Base' || (c % 5) AS extends,
-    'I0,I' || (c % 3) AS implements, method_count, CAST(4 AS BIGINT) AS field_count, avg_complexity, 0 AS tpos
+    'I0,I' || (c % 3) AS implements, method_count, CAST(4 AS BIGINT) AS field_count, avg_complexity, 0 AS tpos, method_count - 1 AS direct
   FROM f JOIN mc ON mc.path = f.path AND mc.type_name = 'C' || (k % 5000)
   UNION ALL
-  SELECT f.path, 'N' || k, package, 'static', '', '', method_count, 0, avg_complexity, 1
-  FROM f JOIN mc ON mc.path = f.path AND mc.type_name = 'N' || k),
+  SELECT f.path, 'N' || k, package, 'static', '', '', method_count, 0, avg_complexity, 1, method_count
+  FROM f JOIN mc ON mc.path = f.path AND mc.type_name = 'N' || k
+  UNION ALL
+  SELECT path, CASE WHEN tpos = 1 THEN 'T' || k ELSE kind END, 'com.api', mods, '', '', cnt, 0, CAST(cnt AS DOUBLE), tpos, direct
+  FROM s, (VALUES ('T', '', 1, 1, 0), ('D', 'static', 0, 2, 0), ('B', 'static', 0, 3, 0), ('E', 'static', 1, 4, 0), ('B', 'static', 1, 5, 1)) v(kind, mods, cnt, tpos, direct)),
 ifc AS (
   SELECT s.path, 'S' || k AS name, 'N' || n || ',Closeable' AS extends, CAST(2 AS BIGINT) AS method_count, CAST(1 AS BIGINT) AS field_count,
     2.0::DOUBLE AS avg_complexity FROM s)
@@ -38,8 +43,8 @@ ifc AS (
 
 _PART_DOCS = """
 WITH d AS (
-  SELECT 'project_overview' AS type, 'project' AS key, r_name AS text, NULL AS class_name, NULL AS interface_name, NULL AS package
-  FROM region WHERE r_regionkey = 0
+  SELECT 'project_overview' AS type, 'project|' || r_regionkey AS key, r_name AS text, NULL AS class_name, NULL AS interface_name, NULL AS package
+  FROM region
   UNION ALL
   SELECT 'class', p_partkey || '|0|' || p_name,
     'Class: ' || p_name || chr(10) || 'Package: ' || coalesce(nullif(p_brand, 'Brand#1'), 'N/A') || chr(10) || 'Methods: ' || p_size || chr(10)
@@ -77,19 +82,36 @@ _FIELDS_JSON = (
 )
 
 
-def _class_prompt() -> str:
-    from srclens.operators.records import CLASS_HEAD, CLASS_ROLE, CLASS_TAIL
+# The texts that the prompts must hold, written out.
+_CLASS_HEAD = "Analyze this Java class and provide a structured summary:\n\n"
+_CLASS_TAIL = """
+
+Please provide:
+1. Purpose: What is the main purpose of this class?
+2. Responsibilities: What are its key responsibilities?
+3. Key Methods: Describe the most important methods (max 3-5)
+4. Complexity Assessment: Comment on the overall complexity
+5. Design Patterns: Identify any design patterns used
+
+Keep the response concise and structured."""
+
 
-    q = lambda t: "'" + t.replace("'", "''") + "'"
-    return _FILES + f"""
-, ml AS (SELECT path, type_name, string_agg('{{"signature":"' || signature || '","complexity":' || complexity || '}}', ',' ORDER BY mpos) AS ms
-         FROM m GROUP BY ALL)
-SELECT cls.path, cls.name, {q(CLASS_ROLE)} AS first_role_text, 'system' AS first_role,
-  {q(CLASS_HEAD)} || '{{"name":"' || name || '","type":"class","extends":' || CASE WHEN extends = '' THEN 'null' ELSE '"' || extends || '"' END
-  || ',"implements":[' || CASE WHEN implements = '' THEN '' ELSE '"' || replace(implements, ',', '","') || '"' END
-  || '],"methods":[' || ms || '],"fields":' || CASE WHEN tpos = 0 THEN {q(_FIELDS_JSON)} ELSE '[]' END || '}}' || {q(CLASS_TAIL)} AS prompt
-FROM cls JOIN ml ON ml.path = cls.path AND ml.type_name = cls.name
-""".replace(f"{q(CLASS_ROLE)} AS first_role_text, ", "")
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+# One line per class: its prompt, as sent.
+_PROMPTS = f"""
+, ml AS (SELECT path, tpos, string_agg('{{"signature":"' || signature || '","complexity":' || complexity || '}}', ',' ORDER BY mpos) AS ms
+         FROM m WHERE type_name NOT LIKE 'S%' GROUP BY ALL),
+prompts AS (
+  SELECT cls.path, cls.name, cls.tpos,
+    {_quoted(_CLASS_HEAD)} || '{{"name":"' || name || '","type":"class","extends":' || CASE WHEN extends = '' THEN 'null' ELSE '"' || extends || '"' END
+    || ',"implements":[' || CASE WHEN implements = '' THEN '' ELSE '"' || replace(implements, ',', '","') || '"' END
+    || '],"methods":[' || coalesce(ms, '') || '],"fields":' || CASE WHEN cls.tpos = 0 THEN {_quoted(_FIELDS_JSON)} ELSE '[]' END || '}}' || {_quoted(_CLASS_TAIL)} AS prompt
+  FROM cls LEFT JOIN ml ON ml.path = cls.path AND ml.tpos = cls.tpos)
+"""
+_CLASS_ROLE = "You are a senior software architect analyzing Java code. Provide clear, structured summaries."
 
 
 def _totals(group: str = "") -> str:
@@ -97,8 +119,9 @@ def _totals(group: str = "") -> str:
     return _FILES + """
 , per AS (
   SELECT path, max(package) AS package, count(*) AS classes, 0 AS interfaces, sum(method_count) AS methods,
-    sum(field_count) AS fields, sum(round(avg_complexity, 2)) AS rs, sum(avg_complexity) AS ss FROM cls GROUP BY path
-  UNION ALL SELECT path, 'com.api', 0, 1, 0, 0, 0, 0 FROM ifc)
+    sum(field_count) AS fields, sum(round(avg_complexity, 2)) AS rs, sum(avg_complexity) AS ss FROM cls WHERE path NOT LIKE 'src/api/%' GROUP BY path
+  UNION ALL SELECT path, 'com.api', count(*), 1, sum(method_count), 0, sum(round(avg_complexity, 2)), sum(avg_complexity) FROM cls
+  WHERE path LIKE 'src/api/%' GROUP BY path)
 """
 
 
@@ -117,11 +140,23 @@ SELECT d.doc_id, sha256(text) AS text_hash, quality, quality IS NULL AS null_kep
 FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id""",
     "document_sink": _PART_DOCS + """
 SELECT type, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars, min(sha256(type || '|' || key)) AS first_key FROM d GROUP BY type""",
-    "knowledge_sections": _FILES + """
-SELECT 'metadata' AS section, 1 AS n, 0 AS methods, 0 AS listed
-UNION ALL SELECT 'project_overview', 1, 0, 0
-UNION ALL SELECT 'classes', count(*), CAST(sum(method_count) AS BIGINT), CAST(sum(method_count) AS BIGINT) FROM cls
-UNION ALL SELECT 'interfaces', count(*), CAST(sum(method_count) AS BIGINT), CAST(sum(method_count) AS BIGINT) FROM ifc""",
+    "knowledge_sections": _totals() + """
+, meta AS (SELECT CAST(sum(classes) AS BIGINT) AS c, CAST(sum(interfaces) AS BIGINT) AS i, CAST(sum(methods) AS BIGINT) AS m,
+    count(DISTINCT package) AS p, round(sum(rs) / sum(classes), 2) AS a FROM per)
+SELECT 'metadata' AS section, NULL AS name, 'classes ' || c || ' interfaces ' || i || ' packages ' || p AS detail, m AS methods, round(a, 2) AS score FROM meta
+UNION ALL SELECT DISTINCT 'packages', package, NULL, NULL, NULL FROM per WHERE package IS NOT NULL
+UNION ALL SELECT 'project_overview', NULL, 'Overview unavailable', NULL, NULL
+UNION ALL SELECT 'classes', name, CASE WHEN method_count > 1 THEN 'About ' || name ELSE 'Summary unavailable' END, CAST(method_count AS BIGINT), round(avg_complexity, 2) FROM cls
+UNION ALL SELECT 'interfaces', name, extends, method_count, NULL FROM ifc""",
+    "knowledge_flow": _FILES + _PROMPTS + """
+, answered AS (SELECT p.*, length(prompt) AS n FROM prompts p)
+SELECT 'class' AS type, cls.name, 'Class: ' || cls.name || chr(10) || 'Package: ' || coalesce(package, 'N/A') || chr(10) || 'Methods: ' || method_count || chr(10)
+  || 'Summary: ' || CASE WHEN n % 5 = 0 OR n % 7 = 0 THEN 'Summary unavailable' ELSE n || ' characters' END
+  || CASE WHEN extends <> '' THEN chr(10) || 'Extends: ' || extends ELSE '' END
+  || CASE WHEN implements <> '' THEN chr(10) || 'Implements: ' || replace(implements, ',', ', ') ELSE '' END AS text
+FROM cls JOIN answered a ON a.path = cls.path AND a.tpos = cls.tpos
+UNION ALL SELECT 'interface', name, 'Interface: ' || name || chr(10) || 'Methods: ' || method_count || chr(10) || 'Extends: ' || replace(extends, ',', ', ') FROM ifc
+UNION ALL SELECT 'project_overview', NULL, 'Overview of ' || (SELECT count(*) FROM cls) || ' classes'""",
     "package_of_file": _FILES + """
 SELECT path, package FROM o WHERE NOT broken AND package IS NOT NULL UNION ALL SELECT path, 'com.api' FROM s""",
     "imports_of_file": _FILES + """
@@ -130,7 +165,7 @@ SELECT path, 'java.util.List,java.lang.Math' AS imports FROM o WHERE NOT broken
 SELECT path, name, package, modifiers, extends, implements, method_count, field_count, round(avg_complexity, 6) AS avg_complexity FROM cls""",
     "interface_declarations": _FILES + "SELECT * FROM ifc",
     "direct_members": _FILES + """
-SELECT path, name, method_count - (tpos = 0)::INT AS method_count, field_count FROM cls
+SELECT path, name, direct AS method_count, field_count FROM cls
 UNION ALL SELECT path, name, method_count, field_count FROM ifc""",
     "method_declarations": _FILES + """
 SELECT path, type_name, name, signature, modifiers, return_type, parameters, complexity FROM m""",
@@ -155,12 +190,12 @@ SELECT package, count(*) AS total_files, CAST(sum(classes) AS BIGINT) AS total_c
   coalesce(round(sum(rs) / nullif(sum(classes), 0), 2), 0.0) AS avg_class_complexity FROM per GROUP BY package""",
     "project_metadata": _totals() + """
 SELECT CAST(sum(classes) AS BIGINT) AS total_classes, CAST(sum(interfaces) AS BIGINT) AS total_interfaces, CAST(sum(methods) AS BIGINT) AS total_methods,
-  (SELECT string_agg(package, ',' ORDER BY package) FROM (SELECT DISTINCT package FROM per WHERE package IS NOT NULL)) AS packages,
+  count(DISTINCT package) AS unique_packages,
   round(sum(rs) / sum(classes), 2) AS avg_class_complexity, round(sum(ss) / sum(classes), 6) AS avg_complexity FROM per""",
     "class_packages": _FILES + """
 , first AS (SELECT name, package FROM (SELECT name, package, row_number() OVER (PARTITION BY name ORDER BY path) AS rn FROM cls) WHERE rn = 1)
 SELECT cls.path, cls.name, first.package FROM cls JOIN first ON first.name = cls.name""",
-    "class_requests": _class_prompt(),
+    "class_requests": _FILES + _PROMPTS + f"SELECT path, name, {_quoted(_CLASS_ROLE)} AS role_text, 'system' AS role, prompt FROM prompts",
     "project_request": _totals() + """
 SELECT CAST(sum(classes) AS BIGINT) AS total_classes, CAST(sum(methods) AS BIGINT) AS total_methods, count(DISTINCT package) AS n_packages,
   round(sum(ss) / sum(classes), 6) AS avg_complexity,
@@ -181,8 +216,7 @@ WITH p AS (SELECT source, avg(score) AS mean FROM (SELECT source, {_SCORE} AS sc
 SELECT round(avg(round(mean, 2)), 2) AS avg_rounded, round(avg(mean), 6) AS avg_plain FROM p""",
     "named_sources": "SELECT DISTINCT source AS package FROM documents WHERE lang = 'en'",
     "source_list": """
-SELECT string_agg(source, ',' ORDER BY source) AS packages, count(*) AS n,
-  array_to_string(list(source ORDER BY source)[1:3], '|') AS head FROM (SELECT DISTINCT source FROM documents)""",
+SELECT source AS package, row_number() OVER (ORDER BY source) AS idx, count(*) OVER () AS total FROM (SELECT DISTINCT source FROM documents)""",
     "pruned_records": """
 SELECT event_id, '{"event_type":"' || event_type || '","children":[{"user_id":' || user_id || '}]}' AS outer,
   CAST(json_extract(props, '$.k') AS INT) AS k, value FROM events""",
@@ -234,5 +268,6 @@ SELECT vec_id, round(d, 6) AS distance FROM d ORDER BY d, vec_id LIMIT 5""",
     "batch_nearest_blocks": _NEAREST,
     "list_nearest_all_probed": _NEAREST,
     "progress_counters": "SELECT count(*) AS found, count(*) FILTER (WHERE lang = 'en') AS kept FROM documents",
-    "retained_files": _FILES + "SELECT path, 'class' AS declares FROM f UNION ALL SELECT path, 'interface' FROM s",
+    "retained_files": _FILES + """
+SELECT path, package, 'class' AS first_kind, CAST(2 AS BIGINT) AS n_types FROM f UNION ALL SELECT path, 'com.api', 'interface', 6 FROM s""",
 }

@@ -125,19 +125,47 @@ def document_sink(spark, sf_dir):
 
 @query
 def knowledge_sections(spark, sf_dir):
-    """The nested result as JSON lines, one per class or interface."""
+    """The nested result as JSON lines, written and read back by content."""
     types = written(D.types(_decls(spark, sf_dir), nested=True), "types")
-    overview = spark.range(1).select(F.lit("overview").alias("text"))
-    meta = stats.metadata(types).drop("extraction_date")
-    doc = sinks.knowledge_document(meta, overview, records.class_records(types), records.interface_records(types))
-    body = F.col("body")
-    return doc.groupBy("section").agg(
-        F.count("*").alias("n"),
-        F.sum(F.coalesce(F.get_json_object(body, "$.method_count").cast("long"), F.lit(0))).alias("methods"),
-        F.sum(F.coalesce(F.json_array_length(F.get_json_object(body, "$.methods")), F.lit(0))).alias("listed"),
+    per_package = written(stats.package_stats(types), "package-stats")
+    classes = records.class_records(types)
+    answers = classes.filter(F.col("method_count") > 1).select("request_id", F.concat(F.lit("About "), "name").alias("response"))
+    overview = stats.project_summary(per_package).select(records.overview_text(F.lit("")).alias("text"))
+    doc = sinks.knowledge_document(
+        stats.metadata(per_package).drop("extraction_date"), stats.distinct_packages(per_package), overview,
+        records.with_summary(classes, answers), records.interface_records(types),
+    )
+    path = new_path(spark, "knowledge")
+    sinks.write_json(doc, path)
+    lines = spark.read.schema("section string, body string").json(path)
+    at = lambda name: F.get_json_object("body", f"$.{name}")
+    counts = F.concat(F.lit("classes "), at("total_classes"), F.lit(" interfaces "), at("total_interfaces"), F.lit(" packages "), at("unique_packages"))
+    extends = F.array_join(F.from_json(at("extends"), "array<string>"), ",")
+    return lines.select(
+        "section",
+        F.when(F.col("section") == "packages", at("package")).otherwise(at("name")).alias("name"),
+        F.when(F.col("section") == "metadata", counts)
+        .when(F.col("section") == "classes", at("summary"))
+        .when(F.col("section") == "interfaces", extends)
+        .when(F.col("section") == "project_overview", at("text")).alias("detail"),
+        F.coalesce(F.json_array_length(at("methods")), at("total_methods").cast("int")).cast("long").alias("methods"),
+        F.coalesce(at("avg_complexity"), at("avg_class_complexity")).cast("double").alias("score"),
     )
 
 
+@query
+def knowledge_flow(spark, sf_dir):
+    """Prompts, calls, summaries, overview and documents in one flow."""
+    types = written(D.types(_decls(spark, sf_dir), nested=True), "types")
+    per_package = written(stats.package_stats(types), "package-stats")
+    classes = written(records.class_records(types), "classes")
+    answers = written(records.ask(records.class_prompts(classes), _stub), "responses")
+    asked = records.joined_prompt(records.project_prompt(types, per_package))
+    overview = written(records.ask(asked, _overview_stub), "overview").select(records.overview_text(F.col("response")).alias("text"))
+    docs = records.documents(overview, records.with_summary(classes, answers.select("request_id", "response")), records.interface_records(types))
+    return docs.select("type", F.coalesce(F.col("metadata")["class_name"], F.col("metadata")["interface_name"]).alias("name"), "text")
+
+
 # --- declaration extraction on the rendered corpus ---------------------------
 
 
@@ -200,9 +228,7 @@ def rejected_files(spark, sf_dir):
 @query
 def retained_files(spark, sf_dir):
     """files with at least one class or interface."""
-    files = rendered_corpus(spark, sf_dir)
-    kept = stats.retained(files, D.types(D.declarations(files)))
-    return kept.select("path", F.regexp_extract("content", r"public (\w+) ", 1).alias("declares"))
+    return stats.retained(D.types(_decls(spark, sf_dir)))
 
 
 @query
@@ -227,9 +253,10 @@ def package_statistics(spark, sf_dir):
 
 @query
 def project_metadata(spark, sf_dir):
-    """A5, A8, A9, A11."""
-    return stats.project_summary(D.types(_decls(spark, sf_dir))).select(
-        "total_classes", "total_interfaces", "total_methods", _joined("packages"),
+    """A4, A8, A9, A11."""
+    per_package = written(stats.package_stats(D.types(_decls(spark, sf_dir))), "package-stats")
+    return stats.project_summary(per_package).select(
+        "total_classes", "total_interfaces", "total_methods", "unique_packages",
         "avg_class_complexity", F.round("avg_complexity", 6).alias("avg_complexity"),
     )
 
@@ -248,7 +275,8 @@ def class_requests(spark, sf_dir):
     types = D.types(_decls(spark, sf_dir), nested=True)
     asked = records.class_prompts(records.class_records(types))
     return asked.select(
-        "path", "name", F.element_at("messages", 1)["role"].alias("first_role"), F.element_at("messages", 2)["content"].alias("prompt")
+        "path", "name", F.element_at("messages", 1)["content"].alias("role_text"), F.element_at("messages", 1)["role"].alias("role"),
+        F.element_at("messages", 2)["content"].alias("prompt"),
     )
 
 
@@ -256,8 +284,9 @@ def class_requests(spark, sf_dir):
 def project_request(spark, sf_dir):
     """The project prompt, its statistics parsed back."""
     types = written(D.types(_decls(spark, sf_dir)), "types")
+    per_package = written(stats.package_stats(types), "package-stats")
     prompt = F.element_at("messages", 2)["content"]
-    parts = records.project_prompt(types).select(
+    parts = records.joined_prompt(records.project_prompt(types, per_package)).select(
         F.regexp_extract(prompt, r"(?s)(\{.*?\})\n\nClass names: ", 1).alias("j"),
         F.regexp_extract(prompt, r"Class names: ([^\n]*)", 1).alias("class_names"),
     )
@@ -274,10 +303,10 @@ def project_request(spark, sf_dir):
 def corpus_documents(spark, sf_dir):
     """V1 to V3, U2, J2, M4 on the rendered corpus: text documents of classes and interfaces."""
     types = written(D.types(_decls(spark, sf_dir), nested=True), "types")
-    classes = records.class_records(types).withColumn("request_id", records.request_id(F.col("path"), F.col("name")))
+    classes = records.class_records(types)
     answers = classes.filter(F.col("method_count") > 1).select("request_id", F.concat(F.lit("About "), "name").alias("response"))
     summed = records.with_summary(classes, answers)
-    overview = spark.range(1).select(X.or_default(F.lit(""), X.NO_OVERVIEW).alias("text"))
+    overview = types.agg(F.count("*")).select(records.overview_text(F.lit("")).alias("text"))
     docs = records.documents(overview, summed, records.interface_records(types))
     return docs.select(
         "type",
@@ -311,7 +340,7 @@ def _part_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("s_nationkey") > 12, F.array(F.lit("A"), F.col("s_nationkey").cast("string")))
         .otherwise(F.array().cast("array<string>")).alias("extends"),
     )
-    overview = table(spark, sf_dir, "region").filter("r_regionkey = 0").select(F.col("r_name").alias("text"))
+    overview = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("project"), F.col("r_name").alias("text"))
     return records.documents(overview, summed, supplier)
 
 
@@ -349,9 +378,9 @@ def named_sources(spark, sf_dir):
 
 @query
 def source_list(spark, sf_dir):
-    """The sorted list as one value, its size and its head."""
+    """The sorted list as numbered rows, with its size."""
     return stats.package_list(table(spark, sf_dir, "documents"), "source").select(
-        _joined("packages"), F.size("packages").cast("long").alias("n"), F.array_join(F.slice("packages", 1, 3), "|").alias("head")
+        "package", F.col("idx").cast("long").alias("idx"), F.col("total").cast("long").alias("total")
     )
 
 
@@ -475,12 +504,20 @@ def _stub(msgs: list[dict]) -> str:
     return "" if size % 7 == 0 else f"{size} characters"
 
 
+def _overview_stub(msgs: list[dict]) -> str:
+    import json
+    import re
+
+    shown = json.loads(re.search(r"\{.*?\}", msgs[1]["content"], re.S).group())
+    return f"Overview of {shown['total_classes']} classes"
+
+
 @query
 def model_calls(spark, sf_dir):
     """M3, M4: batch calls through a caller's function, failures retried, defaults filled."""
     docs = table(spark, sf_dir, "documents").select("doc_id", records.request_id(F.col("doc_id")).alias("request_id"), "text")
     asked = docs.select("request_id", records.messages("Count.", F.col("text")).alias("messages"))
-    answers = written(records.ask(asked, _stub, parallel=8), "responses")
+    answers = written(records.ask(asked, _stub), "responses")
     return records.with_summary(docs.drop("text"), answers).select("doc_id", "summary", F.col("attempts").cast("long").alias("attempts"), "error")
 
 

@@ -10,7 +10,8 @@ grouping, so no key can make a file large. With k = o_orderkey and c = o_custkey
   * nested class ``N<k>`` with one method ``z``
   * comment and string decoys
   * k%97 = 0: a closing brace is missing; k%89 = 0: an enum instead of the class
-  * supplier s: interface ``S<s>`` extends ``N<nation>, Closeable`` with two methods
+  * supplier s: interface ``S<s>`` extends ``N<nation>, Closeable`` with two methods, and class
+    ``T<s>`` with nested classes ``D`` and ``E``, each with a nested class ``B`` of its own
 """
 
 from __future__ import annotations
@@ -56,6 +57,7 @@ def supplier_files(supplier: DataFrame) -> DataFrame:
         _text(
             "package com.api;\nimport java.io.Closeable;\npublic interface S", s, " extends N", n, ", Closeable {\n",
             "  int SIZE = 1;\n  int size();\n  default void each(int x) { if (x > 0 && x < 9) { return; } }\n}\n",
+            "class T", s, " {\n  static class D { static class B { } }\n  static class E { static class B { int one() { return 1; } } }\n}\n",
         ).alias("content"),
     )
 

@@ -1,6 +1,7 @@
 """Hand-written files, one for each rule of the extraction."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from srclens.operators import declarations as D
 from srclens.operators import records, stats
@@ -46,6 +47,7 @@ FILES = {
     "f/Same.java": "package q; class Same { }",
     "g/Empty.java": "",
     "h/Quote.java": 'class Q { String s = "open; }',
+    "h/Single.java": "class A { char c = 'a; }",
     "i/Record.java": "package r; record Point(int x, int y) { int sum() { return x + y; } } class After { boolean t = record instanceof Foo; }",
 }
 
@@ -127,7 +129,36 @@ def test_enum_constant_bodies(spark):
 def test_rejects(spark):
     rows = [(k, v) for k, v in FILES.items()]
     found = D.rejects(spark.createDataFrame(rows, "path string, content string"))
-    assert {r["path"] for r in found.collect()} == {"c/Open.java", "d/Crossed.java", "h/Quote.java"}
+    bad = {"c/Open.java", "d/Crossed.java", "h/Quote.java", "h/Single.java"}
+    assert {tuple(r) for r in found.collect()} == {(p, "unbalanced") for p in bad}
+    unread = D.rejects(spark.createDataFrame([("x", None), ("y", ""), ("z", "class A { }"), ("p", "class B { int a = )(; }")], "path string, content string"))
+    assert {tuple(r) for r in unread.collect()} == {("x", "encoding"), ("p", "unbalanced")}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan and "Union" not in plan
+
+
+def test_nested_types_of_one_name_stay_apart(spark):
+    """Two classes B in one file: five classes give five requests, answers and documents."""
+    text = "class T { static class D { static class B { } } static class E { static class B { int one() { return 1; } } } }"
+    types = D.types(D.declarations(spark.createDataFrame([("t", text)], "path string, content string")), nested=True)
+    classes = records.class_records(types)
+    answers = classes.select("request_id", F.concat(F.col("name"), F.lit(" "), F.col("method_count")).alias("response"))
+    summed = records.with_summary(classes, answers)
+    assert sorted(r["summary"] for r in summed.collect()) == ["B 0", "B 1", "D 0", "E 1", "T 1"]
+    none = spark.createDataFrame([], "text string")
+    assert records.documents(none, summed, records.interface_records(types)).select("doc_key").distinct().count() == 5
+
+
+def test_pieces_of_one_declaration_are_gathered_once(spark):
+    """A field whose initialiser chains many blocks: linear in their number."""
+    import time
+
+    text = "class A { Object f = b" + ".then(x -> { x.go(); })" * 32_000 + ", g; int h; }"
+    df = spark.createDataFrame([("a", text)], "path string, content string")
+    D.fields(D.declarations(df.limit(0))).collect()
+    start = time.time()
+    assert [r["name"] for r in D.fields(D.declarations(df)).orderBy("pos", "idx").collect()] == ["f", "g", "h"]
+    assert time.time() - start < 30
 
 
 def test_edges(decls):

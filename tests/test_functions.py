@@ -1,6 +1,7 @@
 """Text helpers, statistics, records, sinks and corpus reading."""
 
-import pytest
+import json
+
 from pyspark.sql import functions as F
 
 from srclens.functions import text as X
@@ -51,11 +52,29 @@ def test_numbered(spark):
     assert [(r["g"], r["id"]) for r in got] == sorted((r["g"], r["id"]) for r in got)
 
 
-def test_package_list_is_whole_or_an_error(spark):
+def test_package_list_is_rows_in_order(spark):
     df = spark.createDataFrame([("b",), ("a",), ("",), (None,), ("a",)], "package string")
-    assert stats.package_list(df).first()["packages"] == ["a", "b"]
-    with pytest.raises(Exception, match="more than 1 packages"):
-        stats.package_list(df, limit=1).collect()
+    assert [tuple(r) for r in stats.package_list(df).orderBy("idx").select("package", "idx", "total").collect()] == [("a", 1, 2), ("b", 2, 2)]
+
+
+def _package_rows(packages):
+    zero = [F.lit(0).cast("long").alias(c) for c in ("total_files", "total_interfaces", "total_methods", "total_fields")]
+    score = [F.lit(1.5).alias(c) for c in ("avg_class_complexity", "rounded_sum", "score_sum")]
+    return packages.select("package", F.lit(1).cast("long").alias("total_classes"), *zero, *score)
+
+
+def test_more_packages_than_fit_one_value(spark):
+    """150,000 packages: a count in the record, rows in the list, blocks in the prompt."""
+    n = 150_000
+    per_package = _package_rows(spark.range(n).select(F.concat(F.lit("p"), F.lpad(F.col("id").cast("string"), 6, "0")).alias("package")))
+    assert stats.metadata(per_package).first()["unique_packages"] == n
+    types = spark.createDataFrame([("f", 0, "A", "class")], "path string, type_pos long, name string, kind string")
+    parts = records.project_prompt(types, per_package)
+    sizes = parts.agg(F.count("*"), F.max(F.length("content"))).first()
+    assert sizes[0] == n // records.PACKAGES_IN_PART + 2 and sizes[1] < 12 * records.PACKAGES_IN_PART
+    text = records.joined_prompt(parts).first()["messages"][1]["content"]
+    shown = json.loads(text[text.index("{") : text.index("}") + 1])
+    assert shown["packages"] == [f"p{i:06d}" for i in range(n)] and shown["avg_complexity"] == 1.5
 
 
 def test_first_names(spark):
@@ -66,10 +85,12 @@ def test_first_names(spark):
 
 def test_metadata_of_an_empty_corpus(spark):
     empty = spark.createDataFrame(
-        [], "path string, name string, kind string, package string, method_count long, field_count long, avg_complexity double"
+        [], "path string, type_pos long, name string, kind string, package string, method_count long, field_count long, avg_complexity double"
     )
-    row = stats.metadata(empty).first()
-    assert (row["total_classes"], row["total_methods"], row["packages"], row["avg_class_complexity"]) == (0, 0, [], 0.0)
+    per_package = stats.package_stats(empty)
+    row = stats.metadata(per_package).first()
+    assert (row["total_classes"], row["total_methods"], row["unique_packages"], row["avg_class_complexity"]) == (0, 0, 0, 0.0)
+    assert '"packages":[],' in records.joined_prompt(records.project_prompt(empty, per_package)).first()["messages"][1]["content"]
 
 
 def test_observed(spark):
