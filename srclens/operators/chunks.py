@@ -17,22 +17,19 @@ SEPARATORS = ["\n\nclass ", "\n\npublic ", "\n\nprotected ", "\n\nprivate ", "\n
 def fixed_chunks(df: DataFrame, key: str, text: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> DataFrame:
     """``key, chunk_idx, chunk``: windows of ``size`` that share ``overlap`` characters.
 
-    The text is cut once into strides and each chunk takes the head of the next stride,
-    so the work is linear in the text; a substring per chunk would walk it anew from
-    its start each time. Needs ``overlap <= size - overlap``.
+    The text is cut once into strides and each chunk takes what follows from the next strides,
+    so the work is linear in the text and the overlap; a substring per chunk would walk the text anew from
+    its start each time. Any overlap below the size will do.
     """
     stride = size - overlap
-    assert 0 <= overlap <= stride
-    cut = df.select(key, F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{stride}}}"), F.lit(0)).alias("s"))
-    last = F.size("s") - 1
-    # a last stride no longer than the overlap is already inside the chunk before it
-    absorbed = (last > 0) & (F.char_length(F.element_at("s", -1)) <= overlap)
-    return cut.select(
-        key, F.col("s"), F.posexplode(F.slice("s", F.lit(1), F.size("s") - F.when(absorbed, 1).otherwise(0))).alias("chunk_idx", "head")
-    ).select(
-        key,
-        "chunk_idx",
-        F.concat("head", F.coalesce(F.substring(F.get("s", F.col("chunk_idx") + 1), 1, overlap), F.lit(""))).alias("chunk"),
+    assert 0 <= overlap < size
+    cut = df.select(key, F.char_length(text).alias("n"), F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{stride}}}"), F.lit(0)).alias("s"))
+    # the last strides may already be inside the chunk before them
+    count = F.when(F.col("n") <= size, F.least(F.col("n"), F.lit(1))).otherwise(F.ceil((F.col("n") - overlap) / stride)).cast("int")
+    after = -(-overlap // stride)
+    rest = F.substring(F.array_join(F.slice("s", F.col("chunk_idx") + 2, F.lit(after)), ""), 1, overlap)
+    return cut.select(key, "s", F.posexplode(F.slice("s", F.lit(1), count)).alias("chunk_idx", "head")).select(
+        key, "chunk_idx", F.concat("head", rest).alias("chunk")
     )
 
 

@@ -15,11 +15,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from srclens.session import written
+
 # Queries up to this many bytes are shipped to every task; more are joined in blocks.
 BROADCAST_BYTES = 32 * 1024 * 1024
 QUERY_BLOCK = 1024
 VECTOR_BLOCK = 8192
-_HITS = "query_id long, vec_id long, distance double"
+MOST_LISTS = 1024
 
 
 def embed(docs: DataFrame, text: str, call: Callable[[list[str]], np.ndarray], out: str = "embedding") -> DataFrame:
@@ -35,23 +37,36 @@ def embed(docs: DataFrame, text: str, call: Callable[[list[str]], np.ndarray], o
     return docs.mapInPandas(run, f"{fields}, `{out}` array<float>")
 
 
+class TextEmbedder:
+    """Hashed term frequencies, inverse document frequency, unit length; fitted once, applied to any texts."""
+
+    def __init__(self, docs: DataFrame, text: str, dim: int = 256):
+        from pyspark.ml import Pipeline
+        from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
+
+        stages = [
+            RegexTokenizer(inputCol="__text", outputCol="__tok", pattern=r"[^\p{L}\p{N}]+"),
+            HashingTF(inputCol="__tok", outputCol="__tf", numFeatures=dim),
+            IDF(inputCol="__tf", outputCol="__idf"),
+            Normalizer(inputCol="__idf", outputCol="__unit"),
+        ]
+        self.model = Pipeline(stages=stages).fit(docs.select(self._text(text)))
+
+    @staticmethod
+    def _text(text: str) -> Column:
+        return F.coalesce(F.col(text), F.lit("")).alias("__text")
+
+    def __call__(self, docs: DataFrame, text: str, out: str = "embedding") -> DataFrame:
+        """Add ``out`` to ``docs``: documents and queries get comparable vectors."""
+        from pyspark.ml.functions import vector_to_array
+
+        given = self.model.transform(docs.select("*", self._text(text)))
+        return given.withColumn(out, vector_to_array("__unit", "float32")).drop("__text", "__tok", "__tf", "__idf", "__unit")
+
+
 def embed_tfidf(docs: DataFrame, text: str, dim: int = 256, out: str = "embedding") -> DataFrame:
-    """Built-in embedding: hashed term frequencies, inverse document frequency, unit length."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
-    from pyspark.ml.functions import vector_to_array
-
-    stages = [
-        RegexTokenizer(inputCol=text, outputCol="__tok", pattern=r"[^\p{L}\p{N}]+"),
-        HashingTF(inputCol="__tok", outputCol="__tf", numFeatures=dim),
-        IDF(inputCol="__tf", outputCol="__idf"),
-        Normalizer(inputCol="__idf", outputCol="__unit"),
-    ]
-    return (
-        Pipeline(stages=stages).fit(docs).transform(docs)
-        .withColumn(out, vector_to_array("__unit", "float32"))
-        .drop("__tok", "__tf", "__idf", "__unit")
-    )
+    """Built-in embedding of one table by itself."""
+    return TextEmbedder(docs, text, dim)(docs, text, out)
 
 
 def squared_distance(a: Column, b: Column) -> Column:
@@ -98,19 +113,29 @@ def _ranked(hits: DataFrame, k: int) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def _ids(col: pd.Series) -> np.ndarray:
+    """Ids as an array that sorts: text as text, numbers as numbers."""
+    return col.to_numpy().astype(str) if col.dtype == object else col.to_numpy()
+
+
+def _hits(vectors: DataFrame, queries: DataFrame) -> str:
+    kind = lambda df: df.schema["id"].dataType.simpleString()
+    return f"query_id {kind(queries)}, vec_id {kind(vectors)}, distance double"
+
+
 def _pairwise(vectors: DataFrame, queries: DataFrame, keys: list[str], k: int) -> DataFrame:
     """Best k per query within each key; both sides carry ``keys``, ``id``, ``vec``."""
 
     def run(_key: tuple, v: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         if not len(v) or not len(q):
-            return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "distance": pd.Series(dtype="float64")})
-        return _best(q["id"].to_numpy(), _matrix(q["vec"]), v["id"].to_numpy(), _matrix(v["vec"]), k)
+            return pd.DataFrame({"query_id": q["id"][:0], "vec_id": v["id"][:0], "distance": pd.Series(dtype="float64")})
+        return _best(_ids(q["id"]), _matrix(q["vec"]), _ids(v["id"]), _matrix(v["vec"]), k)
 
-    return vectors.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInPandas(run, _HITS)
+    return vectors.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInPandas(run, _hits(vectors, queries))
 
 
 def _standard(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    return df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<float>").alias("vec"))
+    return df.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<float>").alias("vec"))
 
 
 def batch_nearest(
@@ -120,20 +145,21 @@ def batch_nearest(
     id_col: str = "vec_id",
     vec_col: str = "embedding",
     broadcast_bytes: int = BROADCAST_BYTES,
+    query_id_col: str | None = None,
 ) -> DataFrame:
-    """Exact top k of every query: ``query_id, vec_id, distance, rank``.
+    """Exact top k of every query: ``query_id, vec_id, distance, rank``; ids of either side may be numbers or text.
 
     The size of the query side is measured first. A small one goes to every task and
     the vectors are streamed past it without a shuffle. A larger one is split, like the
     vectors, into blocks by id hash; each pair of blocks is one group of bounded size.
     """
-    v, q = _standard(vectors, id_col, vec_col), _standard(queries, id_col, vec_col)
+    v, q = _standard(vectors, id_col, vec_col), _standard(queries, query_id_col or id_col, vec_col)
     size = q.agg(F.count("*").alias("n"), F.sum(8 * F.size("vec") + 8).alias("bytes")).first()
     if not size["n"]:
-        return _ranked(v.sparkSession.createDataFrame([], _HITS), k)
+        return _ranked(v.sparkSession.createDataFrame([], _hits(v, q)), k)
     if size["bytes"] <= broadcast_bytes:
         local = q.toPandas()  # at most broadcast_bytes
-        shared = v.sparkSession.sparkContext.broadcast((local["id"].to_numpy(), _matrix(local["vec"])))
+        shared = v.sparkSession.sparkContext.broadcast((_ids(local["id"]), _matrix(local["vec"])))
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             q_ids, q_mat = shared.value
@@ -141,7 +167,7 @@ def batch_nearest(
             for batch in batches:
                 if not len(batch):
                     continue
-                found = _best(q_ids, q_mat, batch["id"].to_numpy(), _matrix(batch["vec"]), k)
+                found = _best(q_ids, q_mat, _ids(batch["id"]), _matrix(batch["vec"]), k)
                 if kept is not None:
                     found = pd.concat([kept, found]).sort_values(["query_id", "distance", "vec_id"])
                     found = found.groupby("query_id", sort=False).head(k)
@@ -149,7 +175,7 @@ def batch_nearest(
             if kept is not None:
                 yield kept
 
-        return _ranked(v.mapInPandas(run, _HITS), k)
+        return _ranked(v.mapInPandas(run, _hits(v, q)), k)
     n_vectors = v.count()
     q_blocks, v_blocks = math.ceil(size["n"] / QUERY_BLOCK), math.ceil(n_vectors / VECTOR_BLOCK)
     block = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
@@ -158,41 +184,54 @@ def batch_nearest(
     return _ranked(_pairwise(v_side, q_side, ["qb", "vb"], k), k)
 
 
+def search_documents(
+    docs: DataFrame, queries: DataFrame, embed_texts: Callable[[DataFrame, str], DataFrame], k: int = 5, query_id_col: str = "query_id"
+) -> DataFrame:
+    """Text in, stored documents out: ``<query_id_col>, rank, doc_key, distance, text, metadata``.
+
+    ``docs`` holds ``doc_key, text, metadata``; ``queries`` the id and ``text``. The same function embeds both.
+    The hits, k rows for each query, are joined back to the documents.
+    """
+    found = batch_nearest(embed_texts(docs, "text"), embed_texts(queries, "text"), k, "doc_key", query_id_col=query_id_col)
+    hits = found.select(F.col("query_id").alias(query_id_col), "rank", F.col("vec_id").alias("doc_key"), "distance")
+    return hits.join(docs.select("doc_key", "text", "metadata"), "doc_key").select(query_id_col, "rank", "doc_key", "distance", "text", "metadata")
+
+
 def list_nearest(
     vectors: DataFrame,
     queries: DataFrame,
     k: int = 5,
-    lists: int = 16,
-    probe: int = 8,
+    lists: int | None = None,
+    probe: int | None = None,
     id_col: str = "vec_id",
     vec_col: str = "embedding",
     seed: int = 7,
 ) -> DataFrame:
     """Approximate top k: vectors in k-means lists, each query looks into ``probe`` lists.
 
-    With ``probe == lists`` the result is exact. A list is split by its size into salts
-    of about one block, so a list that holds most vectors is still many groups.
+    By default there are as many lists as the square root of the number of vectors, at most ``MOST_LISTS``, and half of
+    them are probed; with ``probe == lists`` the result is exact. A list is cut by its measured size into
+    blocks of vectors, and its queries into blocks of queries: a vector is copied only to the query
+    blocks of its own list, and a list that holds most vectors is still many groups.
     """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    v, q = _standard(vectors, id_col, vec_col), _standard(queries, id_col, vec_col)
+    v, q = written(_standard(vectors, id_col, vec_col), "vectors"), written(_standard(queries, id_col, vec_col), "queries")
     spark = v.sparkSession
+    lists = lists or max(1, min(MOST_LISTS, round(v.count() ** 0.5)))
+    probe = min(lists, probe or math.ceil(lists / 2))
     model = KMeans(k=lists, seed=seed, featuresCol="f", predictionCol="list").fit(v.select(array_to_vector("vec").alias("f")))
     centers = spark.createDataFrame(
-        [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())], "id long, vec array<float>"
-    )
-    assigned = model.transform(v.withColumn("f", array_to_vector("vec"))).drop("f")
-    sizes = assigned.groupBy("list").agg(F.ceil(F.count("*") / VECTOR_BLOCK).cast("int").alias("salts"))  # one row per list
-    placed = assigned.join(F.broadcast(sizes), "list").withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int"))
-    probes = batch_nearest(centers, q, probe, "id", "vec").select(F.col("query_id").alias("id"), F.col("vec_id").cast("int").alias("list"))
-    q_side = (
-        q.join(probes, "id")
-        .join(F.broadcast(sizes), "list")
-        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+        [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())], "id int, vec array<float>"
     )
-    n_blocks = max(1, math.ceil(q.count() / QUERY_BLOCK))
-    q_block = F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int")
-    v_side = placed.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-    keys = ["list", "salt", "qb"]
-    return _ranked(_pairwise(v_side.select(*keys, "id", "vec"), q_side.withColumn("qb", q_block).select(*keys, "id", "vec"), keys, k), k)
+    placed = written(model.transform(v.withColumn("f", array_to_vector("vec"))).drop("f"), "placed")
+    probes = batch_nearest(centers, q, probe, "id", "vec").select(F.col("query_id").alias("id"), F.col("vec_id").alias("list"))
+    asked = written(q.join(probes, "id"), "asked")
+    count = lambda df, block, name: df.groupBy("list").agg(F.ceil(F.count("*") / block).cast("int").alias(name))
+    sizes = F.broadcast(count(placed, VECTOR_BLOCK, "vs").join(count(asked, QUERY_BLOCK, "qs"), "list"))  # one row per list
+    part = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    v_side = placed.join(sizes, "list").select("list", part("vs").alias("vb"), each("qs").alias("qb"), "id", "vec")
+    q_side = asked.join(sizes, "list").select("list", each("vs").alias("vb"), part("qs").alias("qb"), "id", "vec")
+    return _ranked(_pairwise(v_side, q_side, ["list", "vb", "qb"], k), k)

@@ -126,6 +126,11 @@ def _totals(group: str = "") -> str:
 
 
 ORACLES: dict[str, str] = {
+    "scanned_corpus": _FILES + """
+, good AS (SELECT path FROM s WHERE k % 10 <> 0)
+SELECT 'class' AS kind, name, CAST(method_count AS BIGINT) AS method_count, CAST(field_count AS BIGINT) AS field_count FROM cls JOIN good ON good.path = cls.path
+UNION ALL SELECT 'interface', name, method_count, field_count FROM ifc JOIN good ON good.path = ifc.path
+UNION ALL SELECT 'encoding', NULL, count(*), NULL FROM s WHERE k % 10 = 0 HAVING count(*) > 0""",
     "suffix_filter": """
 SELECT page_id, url, starts_with(url, 'https://') AS is_https, contains(url, 'example.com') AS is_com,
   regexp_extract(url, '[^/]*$') AS file_name
@@ -260,6 +265,17 @@ SELECT doc_id, chunk_idx, substr(text, chunk_idx * 3200 + 1, 3500) AS chunk FROM
     "embedded_by_function": "SELECT doc_id, "
     + ", ".join(f"length(text) - length(replace(text, '{c}', '')) AS n_{c}" for c in "aeiou")
     + " FROM documents",
+    "embedded_documents": """
+SELECT doc_id, 256 AS dim, CASE WHEN regexp_matches(text, '[\\p{L}\\p{N}]') THEN CAST(1 AS DOUBLE) ELSE 0 END AS norm FROM documents""",
+    "separator_chunk_facts": "SELECT doc_id, true AS inside, true AS fits, true AS begins, true AS ends FROM documents WHERE trim(text, chr(9) || chr(10) || chr(13) || ' ') <> ''",
+    "list_nearest": """
+SELECT vec_id AS query_id, least(5, count(*) OVER ()) AS n, least(5, count(*) OVER ()) AS last_rank, CAST(0 AS DOUBLE) AS nearest, true AS right FROM embeddings""",
+    "search_documents": _PART_DOCS + """
+, v AS (SELECT sha256(type || '|' || key) AS doc_key, type, text, list_transform(['a','e','i','o','u'], lambda c: length(text) - length(replace(text, c, ''))) AS e FROM d),
+q AS (SELECT item_id, list_transform(['a','e','i','o','u'], lambda c: length(text) - length(replace(text, c, ''))) AS e FROM benchmark),
+p AS (SELECT item_id, doc_key, type, text, CAST(list_sum(list_transform(list_zip(q.e, v.e), lambda x: (x[1] - x[2]) * (x[1] - x[2]))) AS DOUBLE) AS distance FROM q, v),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY distance, doc_key) AS rank FROM p)
+SELECT item_id, rank, doc_key, distance, text, type FROM r WHERE rank <= 5""",
     "nearest_vectors": """
 WITH q AS (SELECT embedding AS e FROM embeddings ORDER BY vec_id LIMIT 1),
 d AS (SELECT vec_id, list_sum(list_transform(list_zip(embedding, e), lambda x: (x[1]::DOUBLE - x[2]::DOUBLE) * (x[1]::DOUBLE - x[2]::DOUBLE))) AS d FROM embeddings, q)

@@ -12,7 +12,7 @@ from srclens.operators import chunks, records, stats, vectors
 from srclens.operators import declarations as D
 from srclens.session import new_path, written
 from srclens.sources import corpus, sinks
-from srclens.sources.rendered import rendered_corpus
+from srclens.sources.rendered import rendered_corpus, supplier_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -46,10 +46,25 @@ def _score(col: str = "avg_complexity") -> F.Column:
 
 
 @query
-def corpus_listing(spark, sf_dir):
-    """Every file below the folder, hidden ones too, without reading contents."""
-    files = corpus.corpus_files(spark, sf_dir)
-    return files.select(X.file_name(F.col("path")).alias("name"), F.col("length").cast("long").alias("length"))
+def scanned_corpus(spark, sf_dir):
+    """Files on disk, hidden folders among them, to types and rejects.
+
+    The rendered supplier files are written one by one as text; every third lies in a hidden folder and
+    every tenth is no UTF-8.
+    """
+    key = F.col("s_suppkey")
+    bad = F.when(key % 10 == 0, F.unhex(F.lit("FF"))).otherwise(F.unhex(F.lit("")))
+    texts = supplier_files(table(spark, sf_dir, "supplier"), keep="s_suppkey").select(
+        "s_suppkey", F.concat(F.col("content").cast("binary"), bad).cast("string").alias("value")
+    )
+    root = new_path(spark, "files")
+    for folder, which in (("src/main", key % 3 != 0), (".mvn/wrapper", key % 3 == 0)):
+        texts.filter(which).select("value").write.option("maxRecordsPerFile", 1).text(f"{root}/{folder}")
+    read = corpus.read_text(corpus.corpus_files(spark, root, [".txt"]))
+    read = written(read, "read")
+    types = D.types(D.declarations(read.filter("reason is null")))
+    found = types.select("kind", "name", "method_count", "field_count")
+    return found.unionByName(D.rejects(read).groupBy(F.col("reason").alias("kind")).agg(F.count("*").alias("method_count")), allowMissingColumns=True)
 
 
 @query
@@ -535,6 +550,21 @@ def separator_chunks(spark, sf_dir):
     return chunks.separator_chunks(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+@query
+def separator_chunk_facts(spark, sf_dir):
+    """M5: what holds for the chunks of any text: parts of it, from its start to its end, none too long to cut."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    cut = chunks.separator_chunks(docs, "doc_id", "text").join(docs, "doc_id")
+    whole = X.strip(F.col("text"))
+    fits = (F.char_length("chunk") <= chunks.CHUNK_SIZE) | ~F.contains("chunk", F.lit(" "))
+    return cut.groupBy("doc_id").agg(
+        F.every(F.contains("text", F.col("chunk"))).alias("inside"),
+        F.every(fits).alias("fits"),
+        F.every((F.col("chunk_idx") > 0) | F.startswith(whole, F.col("chunk"))).alias("begins"),
+        F.max_by(F.endswith(whole, F.col("chunk")), "chunk_idx").alias("ends"),
+    )
+
+
 @query
 def embedded_documents(spark, sf_dir):
     """V4: built-in embedding of whole texts."""
@@ -543,14 +573,15 @@ def embedded_documents(spark, sf_dir):
     )
 
 
+def _vowels(texts: list[str]):
+    return [[float(t.count(c)) for c in "aeiou"] for t in texts]
+
+
 @query
 def embedded_by_function(spark, sf_dir):
     """V4: a caller's batch function, here letter counts."""
-    def counts(texts: list[str]):
-        return [[float(t.count(c)) for c in "aeiou"] for t in texts]
-
     e = F.col("embedding")
-    return vectors.embed(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", counts).select(
+    return vectors.embed(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", _vowels).select(
         "doc_id", *[e[i].cast("long").alias(f"n_{c}") for i, c in enumerate("aeiou")]
     )
 
@@ -583,9 +614,23 @@ def batch_nearest_blocks(spark, sf_dir):
 
 @query
 def list_nearest(spark, sf_dir):
-    """V6 approximate: k-means lists."""
-    emb = table(spark, sf_dir, "embeddings")
-    return vectors.list_nearest(emb, emb).select("query_id", "vec_id", F.round("distance", 6).alias("distance"), "rank")
+    """V6 approximate: k-means lists. What is sure of each query: its hits, the first one, and their distances."""
+    emb = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    hits = written(vectors.list_nearest(emb, emb), "hits")
+    sides = hits.join(emb, "vec_id").join(emb.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), "query_id")
+    right = F.abs(F.col("distance") - vectors.squared_distance(F.col("embedding"), F.col("q"))) < 1e-9
+    return sides.groupBy("query_id").agg(
+        F.count("*").alias("n"), F.max("rank").cast("long").alias("last_rank"), F.min("distance").alias("nearest"), F.every(right).alias("right")
+    )
+
+
+@query
+def search_documents(spark, sf_dir):
+    """V4, V5, V6: benchmark texts as queries over the stored documents, by vowel counts."""
+    docs = _part_documents(spark, sf_dir)
+    asked = table(spark, sf_dir, "benchmark").select("item_id", "text")
+    found = vectors.search_documents(docs, asked, lambda df, text: vectors.embed(df, text, _vowels), query_id_col="item_id")
+    return found.select("item_id", F.col("rank").cast("long").alias("rank"), "doc_key", "distance", "text", F.col("metadata")["type"].alias("type"))
 
 
 @query

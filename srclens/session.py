@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_ROOTS: dict[str, str] = {}
+_MADE: list[str] = []
 
 
 def local_session(cpus: str = "8", app: str = "srclens") -> SparkSession:
@@ -46,7 +47,20 @@ def shared_root(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared folder, never used before."""
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    _MADE.append(path)
+    return path
+
+
+def drop_written(spark: SparkSession) -> None:
+    """Delete every table this process wrote under the shared folder; DataFrames that read one are dead then.
+
+    Call it when the results of a session are stored.
+    """
+    to_path = spark._jvm.org.apache.hadoop.fs.Path
+    while _MADE:
+        path = to_path(_MADE.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -13,12 +13,15 @@ from srclens.functions.text import has_suffix
 
 # Fixed value: the extensions that are read.
 EXTENSIONS = [".java"]
+# Files with hidden names that one task reads.
+FILES_IN_TASK = 1000
 
 
 def hidden_entries(spark: SparkSession, root: str) -> tuple[list[str], list[tuple[str, int]]]:
     """Directories and files below ``root`` whose names Spark's listing skips.
 
-    One glob per directory level; only the hidden entries come to Python.
+    One glob per directory level; only the hidden entries come to Python. The JVM of the driver holds the
+    statuses of a level for a moment, as it holds the whole listing for Spark's own file index.
     """
     to_path = spark._jvm.org.apache.hadoop.fs.Path
     fs = to_path(root).getFileSystem(spark._jsc.hadoopConfiguration())
@@ -35,21 +38,22 @@ def hidden_entries(spark: SparkSession, root: str) -> tuple[list[str], list[tupl
 
 
 def _read_bytes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Add ``content``, one file at a time."""
     from pyarrow import fs
 
     for batch in batches:
-        data = []
-        for path in batch["path"]:
-            system, name = fs.FileSystem.from_uri(re.sub(r"^file:/(?!/)", "file:///", path))
+        for at in range(len(batch)):
+            row = batch.iloc[at : at + 1]
+            uri = re.sub(r"^s3[an]://", "s3://", re.sub(r"^file:/(?!/)", "file:///", row["path"].iloc[0]))
+            system, name = fs.FileSystem.from_uri(uri)
             with system.open_input_stream(name) as stream:
-                data.append(stream.read())
-        yield batch.assign(content=data)
+                yield row.assign(content=[stream.read()])
 
 
 def corpus_files(spark: SparkSession, root: str, extensions: list[str] | None = None) -> DataFrame:
     """``path, length, content`` of all files below ``root``, hidden ones included.
 
-    ``content`` is read only where it is selected. One extension is pruned while
+    ``content`` of files that Spark lists is read only where it is selected. One extension is pruned while
     listing; a list of them is a filter on the path. Spark skips hidden names while it
     descends but reads hidden directories as roots, so each is a root of its own. A
     file whose own name is hidden it never reads; those few are read in tasks.
@@ -60,7 +64,7 @@ def corpus_files(spark: SparkSession, root: str, extensions: list[str] | None =
         reader = reader.option("pathGlobFilter", "*" + extensions[0])
     files = reader.load([root, *dirs]).select("path", "length", "content")
     if hidden:
-        listed = spark.createDataFrame(hidden, "path string, length long").repartition(min(len(hidden), 64))
+        listed = spark.createDataFrame(hidden, "path string, length long").repartition(max(spark.sparkContext.defaultParallelism, len(hidden) // FILES_IN_TASK))
         files = files.unionByName(listed.mapInPandas(_read_bytes, "path string, length long, content binary"))
     return files.filter(has_suffix(F.col("path"), extensions)) if extensions else files
 

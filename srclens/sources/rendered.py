@@ -50,9 +50,11 @@ def order_files(orders: DataFrame) -> DataFrame:
     )
 
 
-def supplier_files(supplier: DataFrame) -> DataFrame:
+def supplier_files(supplier: DataFrame, *, keep: str | None = None) -> DataFrame:
+    """``path, content`` and the column ``keep``."""
     s, n = F.col("s_suppkey"), F.col("s_nationkey")
     return supplier.select(
+        *[F.col(c) for c in [keep] if c],
         _text("src/api/S", F.lpad(s.cast("string"), 12, "0"), ".java").alias("path"),
         _text(
             "package com.api;\nimport java.io.Closeable;\npublic interface S", s, " extends N", n, ", Closeable {\n",

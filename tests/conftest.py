@@ -1,8 +1,10 @@
 import pytest
 
-from srclens.session import local_session
+from srclens.session import drop_written, local_session
 
 
 @pytest.fixture(scope="session")
 def spark():
-    return local_session("8", "srclens-tests")
+    session = local_session("8", "srclens-tests")
+    yield session
+    drop_written(session)

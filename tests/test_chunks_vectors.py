@@ -23,6 +23,19 @@ def test_fixed_chunks(spark):
         assert parts == {i: t[i * 3200 : i * 3200 + 3500] for i in range(n)}
 
 
+def test_fixed_chunks_with_any_overlap(spark):
+    text = "".join(chr(97 + i % 26) for i in range(57))
+    rows = [(n, text[:n]) for n in range(58)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for size, overlap in ((10, 9), (10, 7), (7, 0), (6, 3)):
+        stride, got = size - overlap, {}
+        for r in chunks.fixed_chunks(df, "doc_id", "text", size, overlap).collect():
+            got.setdefault(r["doc_id"], {})[r["chunk_idx"]] = r["chunk"]
+        for n, t in rows:
+            count = 0 if not t else 1 if n <= size else -(-(n - overlap) // stride)
+            assert got.get(n, {}) == {i: t[i * stride : i * stride + size] for i in range(count)}
+
+
 def test_separator_order_and_overlap():
     cut = lambda t, n, o: chunks.separated(t, n, o, chunks.SEPARATORS)
     assert cut("aaa\n\nclass B x\n\nclass C y", 13, 0) == ["aaa", "class B x", "class C y"]
@@ -105,3 +118,22 @@ def test_embedding(spark):
     out = vectors.embed_tfidf(df, "text", dim=64).select(F.size("embedding").alias("n"), "embedding").collect()
     assert {r["n"] for r in out} == {64}
     assert all(abs(np.linalg.norm(r["embedding"]) - 1) < 1e-4 for r in out)
+
+
+def test_ids_may_be_text(cloud):
+    mat, df = cloud
+    named = df.select(F.concat(F.lit("v"), F.lpad(F.col("vec_id").cast("string"), 4, "0")).alias("vec_id"), "embedding")
+    want = {(f"v{q:04d}", f"v{v:04d}", r) for q, v, r in _brute(mat, 5)}
+    assert _rows(vectors.batch_nearest(named, named, 5)) == want
+    assert _rows(vectors.batch_nearest(named, named, 5, broadcast_bytes=0)) == want
+    assert _rows(vectors.list_nearest(named, named, 5, lists=3, probe=3)) == want
+
+
+def test_text_search_returns_documents(spark):
+    texts = ["red fish in the sea", "blue bird in the sky", "green tree on the hill", "old red boat"]
+    docs = spark.createDataFrame([(f"k{i}", t, {"type": "class"}) for i, t in enumerate(texts)], "doc_key string, text string, metadata map<string,string>")
+    embedder = vectors.TextEmbedder(docs, "text")
+    asked = spark.createDataFrame([("q1", "a bird, BLUE"), ("q2", "red boat"), ("q3", None)], "query_id string, text string")
+    rows = vectors.search_documents(docs, asked, embedder, k=1).collect()
+    found = {r["query_id"]: (r["doc_key"], r["text"], r["metadata"]["type"]) for r in rows}
+    assert found["q1"] == ("k1", texts[1], "class") and found["q2"] == ("k3", texts[3], "class") and "q3" in found

@@ -161,3 +161,14 @@ def test_corpus_reading(spark, tmp_path):
 def test_json_keeps_nulls_and_letters(spark, tmp_path):
     sinks.write_json(spark.createDataFrame([("é", None)], "a string, b string"), str(tmp_path / "j"))
     assert spark.read.text(str(tmp_path / "j")).first()[0] == '{"a":"é","b":null}'
+
+
+def test_written_tables_are_dropped(spark, tmp_path, monkeypatch):
+    from srclens import session
+
+    monkeypatch.setattr(session, "_MADE", [])
+    monkeypatch.setattr(session, "shared_root", lambda _: str(tmp_path))
+    kept = session.written(spark.range(3), "three")
+    assert kept.count() == 3 and len(list(tmp_path.iterdir())) == 1
+    session.drop_written(spark)
+    assert not list(tmp_path.iterdir())
