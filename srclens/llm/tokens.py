@@ -5,6 +5,10 @@ the tokenizer (library, version and file). Documents are joined to the stored co
 these digests; contents without a count are encoded once for each digest and appended. The tokenizer gets
 the whole text. Equal contents are combined before the shuffle, so many copies are no large group.
 
+A byte-level vocabulary splits before a space between visible characters, whatever stands around it. Texts are
+cut there, words that return are encoded once in a task and the rest of a text together: the sum is the count
+of the whole text. Other vocabularies encode the text as it is.
+
 A cache is written by one job at a time. Counts of a job that dies are appended whole or not at
 all, and a content that two jobs appended is counted once.
 
@@ -16,7 +20,10 @@ columns are read.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
+import re
+from collections import Counter as WordCounts
 from collections.abc import Iterator
 
 import public_tokenizers
@@ -30,7 +37,10 @@ from srclens.session import new_path, written
 VOCABULARY = "byte_bpe_50k.json"
 LIMIT = 1024
 CACHE = "content string, tokenizer string, n_tokens long"
-_BATCH = 16
+_BATCH, _OFTEN, _KNOWN_WORDS = 16, 3, 50_000
+# Between a visible character and a single space before another one every byte-level split ends a piece,
+# whatever stands around; only characters that all libraries take for visible ones are named.
+_CUT = re.compile("(?<=[!-~À-ÖØ-öø-ÿ])(?= [!-~À-ÖØ-öø-ÿ])")
 
 
 def tokenizer_digest(path: str) -> str:
@@ -51,14 +61,42 @@ class Counter:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-
-    def counts(self, texts: list[str]) -> list[int]:
-        """Tokens of each whole text, without added special tokens; few texts at a time, since encodings are large."""
+        if hasattr(self.tokenizer.model, "_resize_cache"):
+            self.tokenizer.model._resize_cache(0)  # where most words are rare, looking them up costs more than it saves
+        made = json.loads(self.tokenizer.to_str())
+        before = made["pre_tokenizer"] or {}
+        plain = before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space") and not made["normalizer"]
+        # a special string that holds a space could lie across a cut
+        self.cuts = bool(plain) and not any(" " in x["content"] or x["lstrip"] or x["rstrip"] or x["single_word"] for x in made["added_tokens"])
+        self.known: dict[str, int] = {}
+
+    def _encode(self, texts: list[str]) -> list[int]:
+        """Without added special tokens; few texts at a time, since encodings are large."""
         out: list[int] = []
         for at in range(0, len(texts), _BATCH):
             out += map(len, self.tokenizer.encode_batch(texts[at : at + _BATCH], add_special_tokens=False))
         return out
 
+    def counts(self, texts: list[str]) -> list[int]:
+        """Tokens of each whole text: what the library gives for it.
+
+        Words that return within the batch are encoded once and kept. The words of a text that are not
+        known are put together again, in order, and encoded as one text: its words meet as they did, at cuts.
+        """
+        if not self.cuts:
+            return self._encode(texts)
+        pieces = [_CUT.split(t) for t in texts]
+        if len(self.known) < _KNOWN_WORDS:
+            often = WordCounts(w for p in pieces for w in p if w not in self.known)
+            new = [w for w, n in often.items() if n >= _OFTEN]
+            self.known.update(zip(new, self._encode(new)))
+        totals, rest = [], []
+        for p in pieces:
+            found = list(map(self.known.get, p))
+            totals.append(sum(n for n in found if n is not None))
+            rest.append("".join(w for w, n in zip(p, found) if n is None))
+        return [n + m for n, m in zip(totals, self._encode(rest))]
+
 
 def count_tokens(docs: DataFrame, cache_path: str, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT) -> DataFrame:
     """``doc_id, n_bytes, n_tokens, over_limit`` of every document; the cache grows by the contents it lacked."""

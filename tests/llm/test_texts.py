@@ -83,6 +83,20 @@ def test_token_counts_and_cache(spark):
     assert tokens.count_tokens(docs.limit(0), cache, path).count() == 0
 
 
+def test_counts_by_pieces_equal_those_of_whole_texts():
+    """Odd white space, special strings, contractions and cuts in any order."""
+    import random
+
+    rng = random.Random(3)
+    parts = ["a", "b'll", " ", "  ", "\n", "\t", "\x1c", "\x85", "\u00a0", "\u3000", "é", "ß", "漢", "<|endoftext|>", "<|endof", "text|>", "1", "'s", "'", "🙂", ",", "\u200b", "\u00ad", "don't"]
+    texts = ["".join(rng.choices(parts, k=rng.randrange(12))) for _ in range(6000)] + [LONG]
+    counter = tokens.Counter(public_tokenizers.path(tokens.VOCABULARY))
+    assert counter.cuts
+    got = [n for at in range(0, len(texts), 512) for n in counter.counts(texts[at : at + 512])]
+    assert counter.known and got == [len(e) for e in counter.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert not tokens.Counter(public_tokenizers.path("word_bpe_49k.json")).cuts
+
+
 ASSIGN = re.compile(r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 
 
