@@ -116,9 +116,14 @@ def leaks(
         met = anchors.select("rk", "n", "k", "p", "h").join(listed, ["k", "h"]).filter("n >= s + k - 1").drop("n", "h")
         hits = worded.join(met, "rk").withColumn("n", F.size("w")).filter("p <= n - k and n >= s + k - 1").selectExpr("rk", "doc_id", "item", "k", "s", "n", "p", *around)
     hits = written(hits, "hits")
+    # The hits of a row, some tens at most for a leak, are dealt out by its key once; rows that repeat give equal
+    # hits. Windows are then made and counted where their hits are.
+    starts = F.explode(F.expr("sequence(greatest(0, p - s + 1), least(p, n - k - s + 1))")).alias("at")
     windows = (
-        hits.select("rk", "doc_id", "item", "k", "s", "p", F.explode(F.expr("sequence(greatest(0, p - s + 1), least(p, n - k - s + 1))")).alias("at"))
+        hits.select("rk", "doc_id", "item", "k", "s", "n", "p")
+        .repartition("rk")
         .distinct()
+        .select("rk", "doc_id", "item", "k", "s", "p", starts)
         .groupBy("rk", "doc_id", "item", "k", "s", "at")
         .agg(F.count("*").alias("met"), F.min("p").alias("p"))
         .filter(f"met >= floor((at + s - 1) / {stride}) - ceil(at / {stride}) + 1 - {spare}")
@@ -126,7 +131,7 @@ def leaks(
     )
     keys = ["rk", "item", "k", "s", "p"]
     shown = hits.groupBy(*keys, "doc_id", "low").agg(F.first("near").alias("near"))
-    same = [F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}")) for c in [*keys, "doc_id"]]
+    same = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in keys] + [F.col("x.doc_id").eqNullSafe(F.col("y.doc_id"))]
     cut = (
         windows.alias("x").join(shown.alias("y"), same)
         .selectExpr("x.rk", "x.doc_id", "x.k", "x.s", "x.at", "slice(near, at - low + 1, x.s + x.k - 1) w")
