@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from srclens.llm.common import row_key, table
 from srclens.session import written
 
-SCOPE = 300
+SCOPE, BLOCK = 300, 256
 LEAST_VALUE = 12
 MASK = "[secret]"
 
@@ -43,28 +43,37 @@ _SPAN = "array<struct<start:int,end:int,value:string>>"
 def matches(text: Column, pattern: str) -> Column:
     """``start, end, value`` of all leftmost matches that do not overlap, in code points.
 
-    The pieces between the matches give their places.
+    The pieces between the matches give their places. Places are summed up in blocks of ``BLOCK``
+    matches, so that growing the result does not copy it once for each match of a long text.
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     pieces = F.split(text, pattern, -1)
-    parts = F.zip_with(pieces, found, lambda p, m: F.struct(F.char_length(p).alias("gap"), m.alias("value")))
+    parts = F.filter(
+        F.zip_with(pieces, found, lambda p, m: F.struct(F.char_length(p).alias("gap"), F.char_length(m).alias("n"), m.alias("value"))),
+        lambda x: x["value"].isNotNull(),
+    )
+    state = lambda at, out: F.struct(at.alias("at"), out.alias("out"))
+    step = lambda acc, x: state(
+        acc["at"] + x["gap"] + x["n"],
+        F.concat(
+            acc["out"],
+            F.array(F.struct((acc["at"] + x["gap"]).alias("start"), (acc["at"] + x["gap"] + x["n"]).alias("end"), x["value"].alias("value"))),
+        ),
+    )
+    none = F.array().cast(_SPAN)
+    in_blocks = F.transform(
+        F.array(parts), lambda p: F.transform(F.sequence(F.lit(1), F.size(p), F.lit(BLOCK)), lambda i: F.slice(p, i, F.lit(BLOCK)))
+    )[0]
     placed = F.aggregate(
-        F.filter(parts, lambda x: x["value"].isNotNull()),
-        F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + x["gap"] + F.char_length(x["value"])).alias("at"),
-            F.concat(
-                acc["out"],
-                F.array(
-                    F.struct(
-                        (acc["at"] + x["gap"]).alias("start"), (acc["at"] + x["gap"] + F.char_length(x["value"])).alias("end"), x["value"].alias("value")
-                    )
-                ),
-            ).alias("out"),
+        in_blocks,
+        state(F.lit(0), F.array().cast(f"array<{_SPAN}>")),
+        # the block is placed once and bound by the inner fold over one value
+        lambda acc, block: F.aggregate(
+            F.array(F.aggregate(block, state(acc["at"], none), step)), acc, lambda a, done: state(done["at"], F.concat(a["out"], F.array(done["out"])))
         ),
-        lambda acc: acc["out"],
+        lambda acc: F.flatten(acc["out"]),
     )
-    return F.when(F.rlike(text, F.lit(pattern)), placed).otherwise(F.array().cast(_SPAN))
+    return F.when(F.rlike(text, F.lit(pattern)), placed).otherwise(none)
 
 
 def _long(value: Column) -> Column:
@@ -76,7 +85,7 @@ def _places(spans: Column) -> Column:
 
 
 def parts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``rk, doc_id, assign, access, hex, weak, endpoint``: places of base spans and of unconfirmed weak ones."""
+    """``rk, doc_id, assign, access, hex, short, token, endpoint``: places of base spans and of weak ones not yet confirmed."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     found = docs.select(
         row_key(F.col(id_col), text).alias("rk"),
@@ -88,41 +97,55 @@ def parts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         matches(text, ENDPOINT).alias("u"),
     )
     mixed = lambda x: x["value"].rlike("[0-9]") & x["value"].rlike("[a-z]") & x["value"].rlike("[A-Z]")
-    base = F.concat(F.filter("a", lambda x: _long(x["value"])), F.col("k"), F.col("h"), F.col("u"))
-    apart = lambda x: ~F.exists(base, lambda y: (x["start"] < y["end"]) & (y["start"] < x["end"]))
-    tokens = F.filter(F.filter("t", mixed), apart)
-    short = F.filter("a", lambda x: ~_long(x["value"]))
     return found.select(
         "rk",
         "doc_id",
         _places(F.filter("a", lambda x: _long(x["value"]))).alias("assign"),
         _places(F.col("k")).alias("access"),
         _places(F.col("h")).alias("hex"),
-        _places(F.concat(tokens, short)).alias("weak"),
+        _places(F.filter("a", lambda x: ~_long(x["value"]))).alias("short"),
+        _places(F.filter("t", mixed)).alias("token"),
         _places(F.col("u")).alias("endpoint"),
     )
 
 
+_KEYS = ("rk", "id_text")
+
+
+def _placed_in(spans: DataFrame, low: Column, high: Column, scope: int) -> DataFrame:
+    """One row for each bin of the text that an interval touches."""
+    return spans.withColumn("bin", F.explode(F.sequence(F.floor(low / scope), F.floor(high / scope))))
+
+
+def _same_bin(left: DataFrame, right: DataFrame) -> list[Column]:
+    return [left["rk"] == right["rk"], left["id_text"].eqNullSafe(right["id_text"]), left["bin"] == right["bin"]]
+
+
 def linked(found: DataFrame, scope: int = SCOPE) -> DataFrame:
     """``rk, id_text, extra``: the weak spans that a complementary part confirms."""
-    rows = found.select("rk", F.col("doc_id").cast("string").alias("id_text"), "assign", "access", "weak", "endpoint")
-    both = "(size(access) > 0 and size(weak) + size(endpoint) > 0) or (size(assign) > 0 and size(endpoint) > 0)"
-    keys = ["rk", "id_text"]
+    rows = found.select("rk", F.col("doc_id").cast("string").alias("id_text"), "assign", "access", "hex", "short", "token", "endpoint")
+    rows = rows.filter("(size(access) > 0 and size(short) + size(token) + size(endpoint) > 0) or (size(assign) > 0 and size(endpoint) > 0)")
     tagged = lambda kind: F.transform(kind, lambda x: F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
-    rows = rows.filter(both)
-    candidates = rows.select(*keys, F.inline(F.concat(tagged("weak"), tagged("endpoint")))).withColumn("bin", F.floor(F.col("start") / scope))
-    opened = rows.select(*keys, F.inline(F.concat(tagged("access"), tagged("assign")))).select(
-        *keys,
-        F.col("kind").alias("by"),
-        (F.col("start") - scope).alias("low"),
-        (F.col("end") + scope).alias("high"),
+    spans = lambda *kinds: rows.select(*_KEYS, F.inline(F.concat(*map(tagged, kinds))))
+
+    # tokens that overlap a base span or an address are that span
+    tokens = _placed_in(spans("token"), F.col("start"), F.col("end") - 1, scope)
+    busy = _placed_in(spans("assign", "access", "hex", "endpoint"), F.col("start"), F.col("end") - 1, scope)
+    overlap = (tokens["start"] < busy["end"]) & (busy["start"] < tokens["end"])
+    taken = tokens.join(busy, [*_same_bin(tokens, busy), overlap], "left_semi").select(*_KEYS, "kind", "start").distinct()
+    weak = spans("short", "token", "endpoint")
+    same = [weak["rk"] == taken["rk"], weak["id_text"].eqNullSafe(taken["id_text"]), weak["kind"] == taken["kind"], weak["start"] == taken["start"]]
+    candidates = weak.join(taken, same, "left_anti").withColumn("bin", F.floor(F.col("start") / scope))
+
+    opened = spans("access", "assign").select(
+        *_KEYS, F.col("kind").alias("by"), (F.col("start") - scope).alias("low"), (F.col("end") + scope).alias("high")
     )
-    scopes = opened.withColumn("bin", F.explode(F.expr(f"sequence(floor(low / {scope}), floor(high / {scope}))")))
-    same = [candidates["rk"] == scopes["rk"], candidates["id_text"].eqNullSafe(scopes["id_text"]), candidates["bin"] == scopes["bin"]]
+    scopes = _placed_in(opened, F.col("low"), F.col("high"), scope)
     covers = (candidates["start"] >= scopes["low"]) & (candidates["end"] <= scopes["high"])
     complementary = (scopes["by"] == "access") | (candidates["kind"] == "endpoint")
-    confirmed = candidates.join(scopes, [*same, covers, complementary], "left_semi")
-    return confirmed.groupBy(*keys).agg(F.collect_set(F.struct("kind", "start", "end")).alias("extra"))  # of one text
+    confirmed = candidates.join(scopes, [*_same_bin(candidates, scopes), covers, complementary], "left_semi")
+    kind = F.when(F.col("kind") == "endpoint", "endpoint").otherwise("weak").alias("kind")
+    return confirmed.groupBy(*_KEYS).agg(F.collect_set(F.struct(kind, "start", "end")).alias("extra"))  # of one text
 
 
 def _listed(*kinds: str) -> Column:
