@@ -151,14 +151,11 @@ def test_nested_types_of_one_name_stay_apart(spark):
 
 def test_pieces_of_one_declaration_are_gathered_once(spark):
     """A field whose initialiser chains many blocks: linear in their number."""
-    import time
-
-    text = "class A { Object f = b" + ".then(x -> { x.go(); })" * 32_000 + ", g; int h; }"
-    df = spark.createDataFrame([("a", text)], "path string, content string")
-    D.fields(D.declarations(df.limit(0))).collect()
-    start = time.time()
-    assert [r["name"] for r in D.fields(D.declarations(df)).orderBy("pos", "idx").collect()] == ["f", "g", "h"]
-    assert time.time() - start < 30
+    text = "class A { Object f = b" + ".then(x -> { x.go(); })" * 8_000 + ", g; int h; }"
+    found = D.fields(D.declarations(spark.createDataFrame([("a", text)], "path string, content string")))
+    assert [r["name"] for r in found.orderBy("pos", "idx").collect()] == ["f", "g", "h"]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Window [" in line and "collect_list" in line]
 
 
 def test_edges(decls):
