@@ -122,7 +122,8 @@ def count_tokens(docs: DataFrame, cache_path: str, tokenizer_path: str, id_col:
     misses.mapInArrow(encode, CACHE).write.mode("append").parquet(cache_path)
     spark.catalog.refreshByPath(cache_path)
     counts = spark.read.schema(CACHE).parquet(cache_path).filter(F.col("tokenizer") == version).groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
-    counted = keys.join(counts, "content")
+    # Written, so that the join can split a content that most documents share.
+    counted = keys.join(written(counts, "counts"), "content")
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
