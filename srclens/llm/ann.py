@@ -4,8 +4,9 @@ Vectors are scaled to length one and turned by a random rotation, so that every
 dimensions carries a like share of a distance. They are kept in lists around centres; a query
 probes the lists nearest to it. Within a list the scan goes block of dimensions by block: after ``d``
 of ``D`` dimensions the partial distance times ``D / d`` estimates the whole one, and a hypothesis test gives a
-candidate up as soon as the estimate is beyond the k-th best distance by more than a margin that shrinks with
-``sqrt(d)``. What survives all blocks is ranked by the exact cosine of the original vectors in double precision.
+candidate up as soon as the estimate is beyond the reach of the query by more than a margin that shrinks with
+``sqrt(d)``. The reach is the distance of the (k + 1)-th nearest of ``SEEDS`` vectors of the table, so nothing beyond it can be
+among the k nearest. What survives all blocks is ranked by the exact cosine of the original vectors in double precision.
 
 Equal vectors are searched once: of each different vector the ``k + 1`` smallest ids are kept (partial limits
 before the shuffle keep a vector that a third of the rows share from one task), and queries with equal vectors share a search.
@@ -38,7 +39,8 @@ K, QUERY_STEP = 5, 50
 SAMPLE, SEED = 20_000, 11
 PROBE, LEAST_SCANNED = 0.6, 40
 VECTOR_BLOCK, QUERY_BLOCK = 4096, 512
-DIMENSIONS_AT_ONCE, TILE, MARGIN = 16, 512, 2.1
+DIMENSIONS_AT_ONCE, PAIRS_AT_ONCE, MARGIN = 16, 1 << 17, 2.1
+SEEDS = 4096
 HITS = "query_key long, vec_key long, score double"
 
 
@@ -74,34 +76,41 @@ def centres(sample: np.ndarray, lists: int, rounds: int = 10, seed: int = SEED)
     return made
 
 
-def scan(vectors: np.ndarray, query: np.ndarray, k: int, step: int = DIMENSIONS_AT_ONCE, margin: float = MARGIN) -> np.ndarray:
-    """Places of candidates for the k nearest rows of ``vectors`` to ``query``: what the tests do not give up."""
-    n, dim = vectors.shape
-    best, found = np.empty(0), []
-    limit = np.inf
-    for start in range(0, n, TILE):
-        alive = np.arange(start, min(start + TILE, n))
-        partial = np.zeros(len(alive))
-        for a in range(0, dim, step):
-            b = min(a + step, dim)
-            partial += ((vectors[alive, a:b] - query[a:b]) ** 2).sum(axis=1)
-            slack = (1 + margin / np.sqrt(b)) ** 2 if b < dim else 1 + 1e-9
-            stay = partial * (dim / b) <= limit * slack + 1e-12
-            alive, partial = alive[stay], partial[stay]
-            if not len(alive):
-                break
-        if len(alive):
-            found.append(alive)
-            best = np.sort(np.concatenate([best, partial]))[:k]
-            limit = best[-1] if len(best) == k else np.inf
-    return np.concatenate(found) if found else np.empty(0, dtype=np.int64)
-
-
-def cosines(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
-    """In double precision, each row by itself, so equal rows have equal scores."""
+def column_blocks(points: np.ndarray, step: int = DIMENSIONS_AT_ONCE) -> list[np.ndarray]:
+    """Blocks of ``step`` dimensions, each stored by itself."""
+    return [np.ascontiguousarray(points[:, a : a + step]) for a in range(0, points.shape[1], step)]
+
+
+def scan(vectors: list[np.ndarray], queries: list[np.ndarray], reach: np.ndarray, margin: float = MARGIN) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs ``query, vector`` that no test gives up, of column blocks of either side.
+
+    ``reach`` holds for each query a squared distance beyond which nothing is wanted. The first block is
+    compared as a whole, further ones only for the pairs that are left.
+    """
+    dim, done = sum(b.shape[1] for b in vectors), 0
+    at_q = at_v = partial = None
+    for v, q in zip(vectors, queries):
+        done += v.shape[1]
+        if partial is None:
+            part = (q * q).sum(axis=1)[:, None] + (v * v).sum(axis=1)[None, :] - 2 * (q @ v.T)
+        else:
+            part = partial + ((q[at_q] - v[at_v]) ** 2).sum(axis=1)
+        slack = (1 + margin / np.sqrt(done)) ** 2 if done < dim else 1.0
+        bound = reach * (slack * done / dim) + 1e-9
+        if partial is None:
+            at_q, at_v = np.nonzero(part <= bound[:, None])
+            partial = part[at_q, at_v]
+        else:
+            stay = part <= bound[at_q]
+            at_q, at_v, partial = at_q[stay], at_v[stay], part[stay]
+    return at_q, at_v
+
+
+def cosines(vectors: np.ndarray, queries: np.ndarray) -> np.ndarray:
+    """Row by row, in double precision; equal rows have equal scores."""
     v = vectors / np.abs(vectors).max(axis=1, keepdims=True)
-    q = query / np.abs(query).max()
-    return (v * q).sum(axis=1) / (np.sqrt((v * v).sum(axis=1)) * np.sqrt((q * q).sum()))
+    q = queries / np.abs(queries).max(axis=1, keepdims=True)
+    return (v * q).sum(axis=1) / (np.sqrt((v * v).sum(axis=1)) * np.sqrt((q * q).sum(axis=1)))
 
 
 def nearest(
@@ -151,13 +160,20 @@ def nearest(
         count[r["list"]] = r["n"]
     least_lists, least_rows = max(4, round(lists * probe)), LEAST_SCANNED * k
 
-    @pandas_udf("array<int>")
-    def probes(vecs: pd.Series) -> pd.Series:
-        order = np.argsort(-(unit(matrix(vecs, dim)) @ turn @ middle.T), axis=1, kind="stable")
+    seeds = points[:SEEDS]
+
+    @pandas_udf("lists array<int>, reach double")
+    def probes(vecs: pd.Series) -> pd.DataFrame:
+        own = unit(matrix(vecs, dim)) @ turn
+        order = np.argsort(-(own @ middle.T), axis=1, kind="stable")
         needed = (np.cumsum(count[order], axis=1) < least_rows).sum(axis=1) + 1
-        return pd.Series([o[: max(least_lists, m)].astype(np.int32) for o, m in zip(order, needed)])
+        lists = [o[: max(least_lists, m)].astype(np.int32) for o, m in zip(order, needed)]
+        # k + 1 vectors of the table are this near, so nothing farther is wanted
+        far = np.sort(2 - 2 * (own @ seeds.T), axis=1)[:, k] if len(seeds) > k else np.full(len(own), np.inf)
+        return pd.DataFrame({"lists": lists, "reach": far + 1e-9})
 
-    asked = placed.filter("asked").select(F.col("key").alias("query_key"), F.col("vec").alias("q"), F.explode(probes("vec")).alias("list"))
+    asked = placed.filter("asked").select(F.col("key").alias("query_key"), F.col("vec").alias("q"), probes("vec").alias("p"))
+    asked = asked.select("query_key", "q", "p.reach", F.explode("p.lists").alias("list"))
     asked = written(asked, "probes")
     # blocks of bounded size: vectors of a list by hash, and the queries that probe it by hash
     parts = placed.groupBy("list").agg(F.ceil(F.count("*") / VECTOR_BLOCK).cast("int").alias("vs"))
@@ -166,22 +182,22 @@ def nearest(
     part = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     v_side = placed.join(parts, "list").select("list", part("key", "vs").alias("vb"), each("qs").alias("qb"), "key", "vec")
-    q_side = asked.join(parts, "list").select("list", each("vs").alias("vb"), part("query_key", "qs").alias("qb"), "query_key", "q")
+    q_side = asked.join(parts, "list").select("list", each("vs").alias("vb"), part("query_key", "qs").alias("qb"), "query_key", "q", "reach")
 
     def search(v: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(v) and len(q):
-            v = v.sort_values("key")
-            ids, original = v["key"].to_numpy(), matrix(v["vec"], dim)
-            turned = np.asfortranarray(unit(original) @ turn)  # columns lie together
-            queries = matrix(q["q"], dim)
-            for key, query, rotated in zip(q["query_key"], queries, unit(queries) @ turn):
-                at = scan(turned, rotated, k + 1)
-                scores = cosines(original[at], query)
-                best = np.lexsort((ids[at], -scores))[: k + 1]
-                out.append(pd.DataFrame({"query_key": key, "vec_key": ids[at][best], "score": scores[best]}))
-        if not out:
-            return pd.DataFrame({"query_key": pd.Series(dtype="int64"), "vec_key": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
+        empty = pd.DataFrame({"query_key": pd.Series(dtype="int64"), "vec_key": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
+        if not len(v) or not len(q):
+            return empty
+        ids, original = v["key"].to_numpy(), matrix(v["vec"], dim)
+        stored = column_blocks(unit(original) @ turn)
+        keys, queries, reach = q["query_key"].to_numpy(), matrix(q["q"], dim), q["reach"].to_numpy()
+        turned, out, few = unit(queries) @ turn, [empty], max(1, PAIRS_AT_ONCE // len(v))
+        for a in range(0, len(q), few):
+            at_q, at_v = scan(stored, column_blocks(turned[a : a + few]), reach[a : a + few])
+            scores = cosines(original[at_v], queries[a + at_q])
+            best = np.lexsort((ids[at_v], -scores, at_q))
+            found = pd.DataFrame({"query_key": keys[a + at_q[best]], "vec_key": ids[at_v[best]], "score": scores[best]})
+            out.append(found.groupby("query_key", sort=False).head(k + 1))
         return pd.concat(out)
 
     hits = v_side.groupBy("list", "vb", "qb").cogroup(q_side.groupBy("list", "vb", "qb")).applyInPandas(search, HITS)
