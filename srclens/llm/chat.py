@@ -9,7 +9,7 @@ targets among them, are masked: the loss spans hold each assistant text once.
 
 Prefix sums are taken over range partitions: sums within a partition, shifted by the sums of
 the partitions before, so one conversation may spread over many tasks. A stripe and its history have a bounded
-number of tokens but for turns longer than the budget, so the groups that are packed stay small however long a conversation is.
+number of tokens but for turns longer than the budget, so what a task holds at a time stays small however long a conversation is.
 
 The template marks the turns with control strings. Where a text holds a control string, behind any
 number of backslashes, one backslash is added; texts and control strings are parted by a space. Reading
@@ -43,6 +43,13 @@ MARK_TOKENS = 2
 MARKS = {"system": ("<<SYS>>", "<</SYS>>"), "user": ("[INST]", "[/INST]"), "assistant": ("<s>", "</s>")}
 OTHER = ("[ROLE]", "[TEXT]", "[/ROLE]")
 WINDOWS = "conv_id long, stripe long, window int, n_repeated int, n_turns int, text string, loss array<struct<start:long,end:long>>"
+_WINDOW_SCHEMA = pa.schema(
+    [
+        ("conv_id", pa.int64()), ("stripe", pa.int64()), ("window", pa.int32()), ("n_repeated", pa.int32()), ("n_turns", pa.int32()), ("text", pa.string()),
+        ("loss", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
+    ]
+)
+_HEAD, _PAST, _OWN = 0, 1, 2
 _CONTROL = "|".join(map(re.escape, sorted({x for pair in MARKS.values() for x in pair} | set(OTHER))))
 _IN_TEXT = re.compile(rf"(\\*)({_CONTROL})")
 _ESCAPED = re.compile(rf"\\(\\*(?:{_CONTROL}))")
@@ -104,6 +111,41 @@ def _numbered(turns: DataFrame, order: list[str]) -> DataFrame:
     )
 
 
+def pack(rows: list[dict], budget: int, history: int) -> list[dict]:
+    """The windows of one stripe; ``rows``: its head, the turns before it and its own turns, in order."""
+    head = next((r for r in rows if r["kind"] == _HEAD), None)
+    at_head = lambda r: head is not None and r["place"] == head["place"]
+    old = [r for r in rows if r["kind"] == _PAST and not at_head(r)]
+    new = [r for r in rows if r["kind"] == _OWN]
+    out: list[dict] = []
+    at = 0
+    while at < len(new):
+        shown = [head] if head is not None and not at_head(new[at]) else []
+        room = min(history, budget - sum(r["tokens"] for r in shown) - new[at]["tokens"])
+        again: list[dict] = []
+        for r in reversed(old):  # the last turns before the window that fit
+            if r["tokens"] > room:
+                break
+            again.insert(0, r)
+            room -= r["tokens"]
+        shown += again
+        used, end = sum(r["tokens"] for r in shown), at
+        while end < len(new) and (end == at or used + new[end]["tokens"] <= budget):
+            used += new[end]["tokens"]
+            end += 1
+        text, spans = "", []
+        for k, r in enumerate(shown + new[at:end]):
+            marked, start, stop = turn_text(r["role"], r["text"])
+            if r["role"] == "assistant" and k >= len(shown):
+                spans.append({"start": len(text) + start, "end": len(text) + stop})
+            text += marked + "\n"
+        key = {c: rows[0][c] for c in ("conv_id", "stripe")}
+        out.append(key | {"window": len(out), "n_repeated": len(shown), "n_turns": len(shown) + end - at, "text": text, "loss": spans})
+        old += [r for r in new[at:end] if not at_head(r)]
+        at = end
+    return out
+
+
 def format_windows(
     turns: DataFrame,
     conv_col: str = "conv_id",
@@ -139,46 +181,29 @@ def format_windows(
     system = written(first.filter("head.role = 'system'").select(F.col("conv_id").alias("__conv"), "head"), "systems")
 
     stripe = F.floor(F.col("before") / budget)
-    own = placed.select("conv_id", stripe.alias("stripe"), F.lit(False).alias("past"), "place", "role", "text", "tokens")
+    turn = ["place", "role", "text", "tokens"]
+    own = placed.select("conv_id", stripe.alias("stripe"), F.lit(_OWN).alias("kind"), *turn)
     late = placed.filter(F.col("before") >= (stripe + 1) * budget - history)
-    past = late.select("conv_id", (stripe + 1).alias("stripe"), F.lit(True).alias("past"), "place", "role", "text", "tokens")
-
-    def pack(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("place")
-        items = list(zip(rows["place"], rows["past"], rows["role"], rows["text"], rows["tokens"]))
-        head = rows["head"].iloc[0]
-        head = head if isinstance(head, dict) else None
-        old = [x for x in items if x[1] and (head is None or x[0] != head["place"])]
-        new = [x for x in items if not x[1]]
-        out, at = [], 0
-        while at < len(new):
-            heads = [(head["place"], True, head["role"], head["text"], head["tokens"])] if head and new[at][0] != head["place"] else []
-            room = min(history, budget - sum(x[4] for x in heads) - new[at][4])
-            shown: list = []
-            for x in reversed(old):  # the last turns before the window that fit
-                if x[4] > room:
-                    break
-                shown.insert(0, x)
-                room -= x[4]
-            used, end = sum(x[4] for x in heads + shown), at
-            while end < len(new) and (end == at or used + new[end][4] <= budget):
-                used += new[end][4]
-                end += 1
-            text, spans = "", []
-            for k, (_, _, role, body, _) in enumerate(heads + shown + new[at:end]):
-                marked, start, stop = turn_text(role, body)
-                if role == "assistant" and k >= len(heads) + len(shown):
-                    spans.append({"start": len(text) + start, "end": len(text) + stop})
-                text += marked + "\n"
-            repeated = len(heads) + len(shown)
-            out.append((rows["conv_id"].iloc[0], rows["stripe"].iloc[0], len(out), repeated, repeated + end - at, text, spans))
-            old += [x for x in new[at:end] if head is None or x[0] != head["place"]]
-            at = end
-        frame = pd.DataFrame(out, columns=["conv_id", "stripe", "window", "n_repeated", "n_turns", "text", "loss"])
-        return frame.astype({"conv_id": "Int64"})
-
-    both = own.union(past).join(system, F.col("conv_id").eqNullSafe(F.col("__conv")), "left").drop("__conv")
-    return both.groupBy("conv_id", "stripe").applyInPandas(pack, WINDOWS)
+    past = late.select("conv_id", (stripe + 1).alias("stripe"), F.lit(_PAST).alias("kind"), *turn)
+    stripes = own.select("conv_id", "stripe").distinct()
+    heads = stripes.join(system, F.col("conv_id").eqNullSafe(F.col("__conv"))).select("conv_id", "stripe", F.lit(_HEAD).alias("kind"), *[f"head.{c}" for c in turn])
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Stripes come in order, one after another; only one is held."""
+        held: list[dict] = []
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                if held and (row["conv_id"], row["stripe"]) != (held[0]["conv_id"], held[0]["stripe"]):
+                    out += pack(held, budget, history)
+                    held = []
+                held.append(row)
+            yield pa.RecordBatch.from_pylist(out, schema=_WINDOW_SCHEMA)
+        if held:
+            yield pa.RecordBatch.from_pylist(pack(held, budget, history), schema=_WINDOW_SCHEMA)
+
+    together = own.union(past).union(heads).repartition("conv_id", "stripe").sortWithinPartitions("conv_id", "stripe", "kind", "place")
+    return together.mapInArrow(packed, WINDOWS)
 
 
 def digests(windows: DataFrame) -> DataFrame:
