@@ -246,7 +246,9 @@ def _with_flat_header(df: DataFrame, text: Column) -> DataFrame:
         ).otherwise(head),
         _repeat(_passes(head, "<", ">"), head, lambda t: F.regexp_replace(t, arguments, " ")),
         F.replace(head, F.lit("..."), F.lit(" [] ")),
-        F.trim(F.regexp_replace(F.regexp_replace(head, r" ?\. ?", "."), r" {2,}", " ")),
+        # most headers have neither a dot nor a double space
+        F.when(F.contains(head, F.lit(".")), F.regexp_replace(head, r" ?\. ?", ".")).otherwise(head),
+        F.trim(F.when(F.contains(head, F.lit("  ")), F.regexp_replace(head, r" {2,}", " ")).otherwise(head)),
     ):
         df = df.withColumn("head", step)
     return df
@@ -380,7 +382,8 @@ def declarations(files: DataFrame) -> DataFrame:
     kind = F.col("kind")
     tail = part[2]
     # initialisers go, then every declarator after the first begins at a comma
-    rest = F.split(F.regexp_replace(part[4], r"\([^()]*\)", " "), ",")
+    plain = F.when(F.contains(part[4], F.lit("(")), F.regexp_replace(part[4], r"\([^()]*\)", " ")).otherwise(part[4])
+    rest = F.split(plain, ",")
     others = F.transform(
         F.slice(rest, F.lit(2), F.greatest(F.size(rest) - 1, F.lit(0))),
         lambda d: F.regexp_extract(d, rf"^ ?({_WORD})", 1),
