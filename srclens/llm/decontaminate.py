@@ -127,7 +127,10 @@ def leaks(
         .groupBy("rk", "doc_id", "item", "k", "s", "at")
         .agg(F.count("*").alias("met"), F.min("p").alias("p"))
         .filter(f"met >= floor((at + s - 1) / {stride}) - ceil(at / {stride}) + 1 - {spare}")
-        .drop("met")
+        # a window that several items share is cut once
+        .groupBy("rk", "doc_id", "k", "s", "at")
+        .agg(F.min(F.struct("item", "p")).alias("by"))
+        .select("rk", "doc_id", "k", "s", "at", "by.*")
     )
     keys = ["rk", "item", "k", "s", "p"]
     shown = hits.groupBy(*keys, "doc_id", "low").agg(F.first("near").alias("near"))
@@ -135,10 +138,11 @@ def leaks(
     cut = (
         windows.alias("x").join(shown.alias("y"), same)
         .selectExpr("x.rk", "x.doc_id", "x.k", "x.s", "x.at", "slice(near, at - low + 1, x.s + x.k - 1) w")
-        .dropDuplicates(["rk", "doc_id", "k", "s", "at"])
-        .select("rk", "doc_id", "k", "s", "at", F.expr(_shingles("w", "0", "s", "k")).alias("raw"))
+        # generators keep the optimizer from repeating these expressions where their results are used
+        .select("rk", "doc_id", "k", "s", "at", F.explode(F.expr(f"array({_shingles('w', '0', 's', 'k')})")).alias("raw"))
     )
-    cut = cut.select("rk", "doc_id", "k", "s", "at", F.expr(_counted("raw")).alias("mine"), _simhash("transform(raw, x -> xxhash64(x))", "s").alias("mine_fp"))
+    marks = F.struct(F.expr(_counted("raw")).alias("mine"), _simhash("transform(raw, x -> xxhash64(x))", "s").alias("mine_fp"))
+    cut = cut.select("rk", "doc_id", "k", "s", "at", F.inline(F.array(marks)))
     byte = lambda fp: f"cast(shiftrightunsigned({fp}, 8 * b) & 255 as int)"
     near = f"filter(sequence(0, 255), v -> bit_count(v ^ {byte('fp')}) <= {FLIPS})"
     index = items.select("item", "k", "s", "parts", "fp", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))).alias("b")).select(

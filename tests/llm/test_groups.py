@@ -166,7 +166,10 @@ def brute_leaks(rows, benchmark):
     return out
 
 
-def test_leaks_by_brute_force(spark):
+@pytest.mark.parametrize("shipped", [500_000, 0])
+def test_leaks_by_brute_force(spark, monkeypatch, shipped):
+    """Also with items too many to ship, when texts are joined to the hits."""
+    monkeypatch.setattr(decontaminate, "HINT_ROWS", shipped)
     rows = leak_rows()
     docs = documents(spark, rows)
     bench = items(spark)
