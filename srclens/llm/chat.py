@@ -29,7 +29,7 @@ from collections.abc import Iterator
 import pandas as pd
 import public_tokenizers
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
@@ -92,11 +92,14 @@ def read_turns(formatted: str) -> list[tuple[str, str, int, int]]:
     return found
 
 
-def _numbered(turns: DataFrame, order: list[str]) -> DataFrame:
-    """``turns`` with ``before``: the tokens of their conversation before them, and ``place``, their global order."""
+def _numbered(turns: DataFrame, order: list[str], tokens: Column) -> DataFrame:
+    """``turns`` with ``tokens``, ``before``: the tokens of their conversation before them, and ``place``, their global order.
+
+    Tokens are counted after the range partitioning, which reads its input twice.
+    """
     local = F.monotonically_increasing_id()
     kept = turns.repartitionByRange(*[F.col(c).asc_nulls_first() for c in order]).sortWithinPartitions(*order)
-    kept = written(kept.withColumn("place", local).withColumn("part", F.shiftright("place", 33)), "turns")
+    kept = written(kept.withColumn("tokens", tokens).withColumn("place", local).withColumn("part", F.shiftright("place", 33)), "turns")
     inside = Window.partitionBy("part", "conv_id").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     sums = kept.groupBy("part", "conv_id").agg(F.sum("tokens").alias("sum"))
     earlier = Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each partition
@@ -176,7 +179,7 @@ def format_windows(
         F.coalesce(F.col(role_col), F.lit("")).alias("role"),
         F.coalesce(F.col(text_col), F.lit("")).alias("text"),
     )
-    placed = written(_numbered(named.withColumn("tokens", tokens("text")), ["conv_id", "turn", "role", "text"]), "placed")
+    placed = written(_numbered(named, ["conv_id", "turn", "role", "text"], tokens("text")), "placed")
     first = placed.groupBy("conv_id").agg(F.min_by(F.struct("role", "text", "tokens", "place"), "place").alias("head"))
     system = written(first.filter("head.role = 'system'").select(F.col("conv_id").alias("__conv"), "head"), "systems")
 
