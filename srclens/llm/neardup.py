@@ -16,10 +16,13 @@ a value that is at most one bit away from both, and such a value has at most 65
 Defined results: a null text counts as empty, fingerprint zero; empty texts link to each other;
 repeated rows are linked; a null id is never the smallest id of a component unless no
 member has one; an empty table gives an empty result. Only the id and text columns are read.
+
+The pipeline stage, ``keep_one``, has other links: five-word shingles, exact Jaccard similarity (``similar_links``).
 """
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
@@ -29,11 +32,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from srclens.llm.common import bounded_batches, connected_components, table
+from srclens.llm.common import bounded_batches, connected_components, row_key, table
 from srclens.session import written
 
 WORDS, SEED, RADIUS = 3, 42, 2
 LONGEST_LIST = 64
+STAGE_WORDS, SIMILARITY = 5, 0.8
+SAMPLED, HOT = 20_000, 200_000
+"""Sets whose shingles are counted, and the most shingles that are told as frequent."""
+PIVOTS, CELL = 2, 128
 _CHUNK = 1 << 16
 
 
@@ -118,16 +125,140 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return marked.join(grouped.select("fp", "root").join(named, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shingled(docs: DataFrame, id_col: str, text_col: str, words: int = STAGE_WORDS) -> DataFrame:
+    """``rk, doc_id, key, n, shingles``: the different shingles of a row as sorted hashes, and a key of that set."""
+    bounded_batches(docs.sparkSession)
+
+    @pandas_udf("array<long>")
+    def of(texts: pd.Series) -> pd.Series:
+        return pd.Series([_shingle_hashes(t, words) for t in texts])
+
+    text = F.col(text_col)
+    found = docs.select(row_key(F.col(id_col), text).alias("rk"), F.col(id_col).alias("doc_id"), of(text).alias("shingles"))
+    return found.select("rk", "doc_id", F.xxhash64("shingles").alias("key"), F.size("shingles").alias("n"), "shingles")
+
+
+def _shingle_hashes(text: str | None, words: int) -> np.ndarray:
+    found = (text or "").encode("utf-8", "replace").lower().split()
+    if not found:
+        return np.empty(0, dtype=np.int64)
+    grams = [found] if len(found) < words else zip(*(found[i:] for i in range(words)))
+    return np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(g), SEED) for g in grams], dtype=np.uint64).view(np.int64))
+
+
+def _postings(sets: DataFrame, similarity: float) -> DataFrame:
+    """``key, n, at, h``: the rarest shingles of a set, as many as any similar set must share one of.
+
+    Any one order of all shingles loses no pair; frequent ones of a sample come last, which keeps lists short.
+    """
+    spark = sets.sparkSession
+    share = min(1.0, SAMPLED / max(1, sets.count()))
+    sample = sets.filter(F.pmod(F.xxhash64("key"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    often = sample.select(F.explode("shingles").alias("h")).groupBy("h").agg(F.count("*").alias("c")).filter("c > 2")
+    hot = often.orderBy(F.desc("c"), "h").limit(HOT).collect()
+    known = spark.sparkContext.broadcast(np.array([r["h"] for r in hot][::-1], dtype=np.int64))  # the most frequent is the last
+
+    @pandas_udf("array<long>")
+    def rarest(shingles: pd.Series) -> pd.Series:
+        by = np.argsort(known.value)
+        values = known.value[by]
+        out = []
+        for x in shingles:
+            x = np.asarray(x, dtype=np.int64)
+            rank = np.full(len(x), -1, dtype=np.int64)
+            if len(values):
+                at = np.minimum(np.searchsorted(values, x), len(values) - 1)
+                rank = np.where(values[at] == x, by[at], -1)
+            first = len(x) - math.ceil(similarity * len(x) - 1e-9) + 1
+            out.append(x[np.lexsort((x, rank))[:first]])
+        return pd.Series(out)
+
+    return sets.filter("n > 0").select("key", "n", F.posexplode(rarest("shingles")).alias("at", "h"))
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs ``u, v`` whose shingle sets are that similar. ``parts`` spreads a set that many pairs have."""
+    pairs = pairs.groupBy("u", "v").agg(F.max("parts").alias("parts"))
+    pairs = written(pairs.select("u", "v", F.expr("pmod(xxhash64(v), parts)").alias("pu"), F.expr("pmod(xxhash64(u), parts)").alias("pv")), "pairs")
+    asked = pairs.select(F.col("u").alias("key"), F.col("pu").alias("part")).union(pairs.select("v", "pv")).distinct()
+    named = written(sets.select("key", "shingles").join(asked.select("key").distinct(), "key", "left_semi"), "paired-sets")
+    spread = named.join(asked, "key")
+    left, right = spread.toDF("u", "a", "pu"), spread.toDF("v", "b", "pv")
+    both = F.size(F.array_intersect("a", "b"))
+    enough = both >= F.lit(similarity) * (F.size("a") + F.size("b") - both) - 1e-9
+    return pairs.join(left, ["u", "pu"]).join(right, ["v", "pv"]).filter(enough).select("u", "v")
+
+
+def similar_links(sets: DataFrame, similarity: float = SIMILARITY, longest: int = LONGEST_LIST) -> DataFrame:
+    """``u, v``: links between the keys of ``sets`` (``key, n, shingles``), enough for the components.
+
+    Sets of Jaccard similarity t share at least t of the larger one, so they share one of their rarest
+    (1 - t) n + 1 shingles, whatever they are: no similar pair is missed. Pairs whose sizes or places in the
+    lists rule out the similarity go. Members of long lists are compared with a few of the list first; then those
+    that are not in one component yet are compared, in cells of bounded size.
+    """
+    posted = _postings(sets, similarity)
+    posted = written(posted, "shingle-postings")
+    sizes = written(posted.groupBy("h").agg(F.count("*").alias("size")).filter("size > 1"), "list-sizes")
+    posted = written(posted.join(sizes, "h"), "shared-postings")
+    other = lambda df: df.select(*[F.col(c).alias(c if c in ("h", "lo", "hi") else f"{c}2") for c in df.columns])
+    least = F.ceil(F.lit(similarity / (1 + similarity)) * (F.col("n") + F.col("n2")) - 1e-9)
+    fits = least <= F.least(F.col("n") - F.col("at"), F.col("n2") - F.col("at2"))
+    as_pairs = lambda df: df.select(F.least("key", "key2").alias("u"), F.greatest("key", "key2").alias("v"), F.ceil(F.col("size") / 64).alias("parts"))
+
+    short, long = posted.filter(F.col("size") <= longest), posted.filter(F.col("size") > longest)
+    near = short.join(other(short), "h").filter((F.col("key") < F.col("key2")) & fits)
+    chosen = written(
+        long.groupBy("h").agg(*[F.min_by(F.struct("key", "n", "at"), F.xxhash64("key", "h", F.lit(i))).alias(f"p{i}") for i in range(PIVOTS)])
+        .select("h", F.inline(F.array_distinct(F.array(*[F.col(f"p{i}") for i in range(PIVOTS)]))))
+        .toDF("h", "key2", "n2", "at2"),
+        "pivots",
+    )
+    by_pivot = long.join(chosen, "h").filter((F.col("key") != F.col("key2")) & fits)
+    found = written(_similar(as_pairs(near).union(as_pairs(by_pivot)), sets, similarity), "similar")
+    if long.isEmpty():
+        return found
+
+    roots = connected_components(found, "first-links")
+    placed = long.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    placed = written(placed, "placed")
+    mixed = written(placed.groupBy("h").agg(F.min("root").alias("r"), F.max("root").alias("s")).filter("r <> s").select("h"), "mixed")
+    cells = (
+        placed.join(mixed, "h")
+        .withColumn("m", F.ceil(F.col("size") / CELL).cast("int"))
+        .withColumn("b", F.expr("cast(pmod(xxhash64(key), m) as int)"))
+        .select("h", "key", "n", "at", "size", "root", "b", F.explode(F.expr("sequence(0, m - 1)")).alias("c"))
+        .withColumn("lo", F.least("b", "c")).withColumn("hi", F.greatest("b", "c")).drop("c")
+    )
+    once = (F.col("lo") == F.least("b", "b2")) & (F.col("hi") == F.greatest("b", "b2"))
+    rest = cells.join(other(cells), ["h", "lo", "hi"]).filter((F.col("key") < F.col("key2")) & (F.col("root") != F.col("root2")) & once & fits)
+    return found.union(_similar(as_pairs(rest), sets, similarity))
+
+
+def keep_one(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = STAGE_WORDS, similarity: float = SIMILARITY, longest: int = LONGEST_LIST
+) -> DataFrame:
     """One document of each component, the one with its least id, with all columns.
 
-    Rows that share an id are one document: the least of them stays. Rows without an id stay.
-    Only ids are shuffled beside the texts, and tables of few ids are shipped by Spark
-    after their written size.
+    Linked are documents whose sets of ``words``-word shingles have a Jaccard similarity of at least ``similarity``;
+    wordless texts are linked to each other. Rows that share an id are one document: the least of them stays.
+    Rows without an id stay.
     """
-    found = written(components(docs, id_col, text_col).filter("doc_id is not null"), "components")
-    kept_ids = found.filter("doc_id = component_id").select("doc_id")
-    gone = written(found.filter("doc_id <> component_id").select("doc_id").distinct().join(kept_ids, "doc_id", "left_anti"), "gone")
+    rows = written(shingled(docs, id_col, text_col, words), "shingled")
+    light = rows.select("rk", "doc_id", "key")
+    twins = written(light.groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct("rk", "doc_id")).alias("one")).filter("c > 1").select("key", "one"), "twins")
+    single = rows.join(twins.select("key"), "key", "left_anti")
+    double = rows.join(twins, "key", "left_semi").groupBy("key").agg(F.first("n").alias("n"), F.first("shingles").alias("shingles"))
+    sets = single.select("key", "n", "shingles").union(double)
+    sets = written(sets, "sets")
+    roots = written(connected_components(similar_links(sets, similarity, longest), "links"), "roots")
+    found = written(
+        light.join(roots.withColumnRenamed("node", "key"), "key", "left").select("rk", "doc_id", F.coalesce("root", "key").alias("root")).filter("doc_id is not null"),
+        "components",
+    )
+    kept_ids = found.groupBy("root").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
+    all_ids = found.select("doc_id").distinct()
+    gone = written(all_ids.join(kept_ids, "doc_id", "left_anti"), "gone")
     twice = written(found.groupBy("doc_id").count().filter("count > 1").select("doc_id"), "twice")
     stay = docs.join(gone.toDF("__gone"), F.col(id_col) == F.col("__gone"), "left_anti")
     again = twice.toDF("__twice")

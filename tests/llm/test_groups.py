@@ -115,6 +115,53 @@ def test_one_of_each_group_stays(spark):
     assert neardup.components(docs.limit(0)).count() == 0
 
 
+def word_shingles(text, words=5):
+    found = (text or "").encode("utf-8", "replace").lower().split()
+    return {b" ".join(found[i : i + words]) for i in range(max(1, len(found) - words + 1))} if found else set()
+
+
+def brute_kept(rows):
+    """Ids of the rows that stay: the least of each component of texts at a five-word similarity of 0.8 and more."""
+    sets = [word_shingles(t) for _, t in rows]
+    alike = lambda a, b: len(a & b) >= 0.8 * len(a | b) - 1e-9
+    root = forest([(a, b) for a in range(len(rows)) for b in range(a) if alike(sets[a], sets[b])], range(len(rows)))
+    least = {}
+    for n, (i, _) in enumerate(rows):
+        if i is not None:
+            least[root[n]] = min(i, least.get(root[n], i))
+    return sorted(least.values())
+
+
+def edited_copies(seed, copies, length=120, edits=8):
+    rng = random.Random(seed)
+    words = [f"w{i}" for i in range(400)]
+    base = [rng.choice(words) for _ in range(length)]
+    rows = [(1, " ".join(base)), (2, "apart " * 3), (3, ""), (4, None), (5, "one"), (6, "ONE")]
+    for i in range(copies):
+        copy = list(base)
+        for _ in range(rng.randrange(edits)):
+            copy[rng.randrange(length)] = rng.choice(words)
+        rows.append((10 + i, " ".join(copy[rng.randrange(3) :])))
+    return rows
+
+
+@pytest.mark.parametrize("longest", [1, 5, 64])
+def test_stage_finds_edited_copies_by_brute_force(spark, longest):
+    rows = edited_copies(11, 150) + [(500 + i, t) for i, t in edited_copies(12, 30, 40, 4)]
+    kept = neardup.keep_one(documents(spark, rows), longest=longest)
+    want = brute_kept(rows)
+    assert sorted(r["doc_id"] for r in kept.collect()) == want
+    assert want != sorted({c for _, _, c in brute_components(rows)})
+
+
+def test_near_copies_stage_on_whole_tables(spark):
+    for sf in (SF, "/root/testdata/sf0.01"):
+        docs = spark.read.parquet(f"{sf}/documents.parquet")
+        kept = dict(corpus_pipeline.STAGES)["near_copies"](spark, docs, sf)
+        want = brute_kept([tuple(r) for r in docs.select("doc_id", "text").collect()])
+        assert sorted(r["doc_id"] for r in kept.collect()) == want and kept.columns == docs.columns
+
+
 ITEM = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon"
 
 
