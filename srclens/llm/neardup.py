@@ -241,8 +241,8 @@ def keep_one(
     """One document of each component, the one with its least id, with all columns.
 
     Linked are documents whose sets of ``words``-word shingles have a Jaccard similarity of at least ``similarity``;
-    wordless texts are linked to each other. Rows that share an id are one document: the least of them stays.
-    Rows without an id stay.
+    wordless texts are linked to each other. Of rows that share the least id of a component the least stays; rows
+    that share an id in different components are told apart by their texts. Rows without an id stay.
     """
     rows = written(shingled(docs, id_col, text_col, words), "shingled")
     light = rows.select("rk", "doc_id", "key")
@@ -256,15 +256,18 @@ def keep_one(
         light.join(roots.withColumnRenamed("node", "key"), "key", "left").select("rk", "doc_id", F.coalesce("root", "key").alias("root")).filter("doc_id is not null"),
         "components",
     )
-    kept_ids = found.groupBy("root").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
-    all_ids = found.select("doc_id").distinct()
-    gone = written(all_ids.join(kept_ids, "doc_id", "left_anti"), "gone")
-    twice = written(found.groupBy("doc_id").count().filter("count > 1").select("doc_id"), "twice")
-    stay = docs.join(gone.toDF("__gone"), F.col(id_col) == F.col("__gone"), "left_anti")
-    again = twice.toDF("__twice")
-    repeated = stay.join(again, F.col(id_col) == F.col("__twice"), "left_semi")
-    least = repeated.groupBy(F.col(id_col).alias("__id")).agg(F.min(F.struct(*docs.columns)).alias("__row")).select("__row.*")
-    return stay.join(again, F.col(id_col) == F.col("__twice"), "left_anti").unionByName(least)
+    groups = written(found.groupBy("root").agg(F.count("*").alias("c"), F.min("doc_id").alias("least")).filter("c > 1").select("root", "least"), "groups")
+    grouped = written(found.join(groups, "root"), "grouped")
+    gone = written(grouped.filter("doc_id <> least").select(F.col("rk").alias("__gone"), F.col("doc_id").alias("__id")).distinct(), "gone")
+    least = grouped.filter("doc_id = least")
+    several = written(least.groupBy("root").count().filter("count > 1").select("root"), "several")
+    twice = least.join(several, "root").select(F.col("rk").alias("__twice"), F.col("doc_id").alias("__id"), F.col("root").alias("__root"))
+    twice = written(twice.distinct(), "twice")
+    keyed = docs.withColumn("__rk", row_key(F.col(id_col), F.col(text_col)))
+    same = lambda key: (F.col("__rk") == F.col(key)) & (F.col(id_col) == F.col("__id"))
+    stay = keyed.join(gone, same("__gone"), "left_anti")
+    repeated = stay.join(twice, same("__twice")).groupBy("__root").agg(F.min(F.struct(*docs.columns)).alias("__row")).select("__row.*")
+    return stay.join(twice, same("__twice"), "left_anti").drop("__rk").unionByName(repeated)
 
 
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

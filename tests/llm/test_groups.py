@@ -154,6 +154,13 @@ def test_stage_finds_edited_copies_by_brute_force(spark, longest):
     assert want != sorted({c for _, _, c in brute_components(rows)})
 
 
+def test_rows_of_one_id_with_different_texts_stay(spark):
+    one, two = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    rows = [(1, one), (1, two), (1, one), (1, one + " more"), (2, one + " end"), (3, "so " + two), (2, "something else")]
+    kept = neardup.keep_one(documents(spark, rows)).select("doc_id", "text").collect()
+    assert sorted(map(tuple, kept)) == [(1, one), (1, two), (2, "something else")]
+
+
 def test_near_copies_stage_on_whole_tables(spark):
     for sf in (SF, "/root/testdata/sf0.01"):
         docs = spark.read.parquet(f"{sf}/documents.parquet")
