@@ -197,8 +197,7 @@ def similar_links(sets: DataFrame, similarity: float = SIMILARITY, longest: int
     lists rule out the similarity go. Members of long lists are compared with a few of the list first; then those
     that are not in one component yet are compared, in cells of bounded size.
     """
-    posted = _postings(sets, similarity)
-    posted = written(posted, "shingle-postings")
+    posted = _postings(sets, similarity)  # not written: most of these rows share nothing, and the shared ones are written below
     sizes = written(posted.groupBy("h").agg(F.count("*").alias("size")).filter("size > 1"), "list-sizes")
     posted = written(posted.join(sizes, "h"), "shared-postings")
     other = lambda df: df.select(*[F.col(c).alias(c if c in ("h", "lo", "hi") else f"{c}2") for c in df.columns])
@@ -249,8 +248,7 @@ def keep_one(
     twins = written(light.groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct("rk", "doc_id")).alias("one")).filter("c > 1").select("key", "one"), "twins")
     single = rows.join(twins.select("key"), "key", "left_anti")
     double = rows.join(twins, "key", "left_semi").groupBy("key").agg(F.first("n").alias("n"), F.first("shingles").alias("shingles"))
-    sets = single.select("key", "n", "shingles").union(double)
-    sets = written(sets, "sets")
+    sets = single.select("key", "n", "shingles").union(written(double, "repeated-sets"))  # the others are read where they are, not written twice
     roots = written(connected_components(similar_links(sets, similarity, longest), "links"), "roots")
     found = written(
         light.join(roots.withColumnRenamed("node", "key"), "key", "left").select("rk", "doc_id", F.coalesce("root", "key").alias("root")).filter("doc_id is not null"),
