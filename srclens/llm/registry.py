@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from srclens.llm import ann, chat, decontaminate, html_text, mixing, neardup, quality, secret_scan, tokens, warc
+from srclens.llm import ann, chat, decontaminate, html_text, mixing, neardup, periodic, quality, secret_scan, tokens, warc
 
 QUERIES = {
     "op1_html": html_text.op1_html,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_secrets": secret_scan.op8_secrets,
     "op9_mixing": mixing.op9_mixing,
     "op10_quality": quality.op10_quality,
+    "op11_periodic_runs": periodic.op11_periodic_runs,
 }
 
 ORACLES = {
