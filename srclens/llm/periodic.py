@@ -140,9 +140,11 @@ def planted_text(id_col: Column, text: Column) -> Column:
     h = F.crc32(id_col.cast("string"))
     g = ((h - F.pmod(h, F.lit(10))) / 10).cast("long")
     n = F.size(words)
-    a = F.pmod(g, F.greatest(n, F.lit(1)))
-    p = F.floor((n - a) / (3 + F.pmod(g, F.lit(8)))) + 1
-    moved = F.transform(words, lambda w, i: F.when(i >= a, F.element_at(words, (a + F.pmod(i - a, p) + 1).cast("int"))).otherwise(w))
+    a = F.pmod(g, F.greatest(n, F.lit(1))).cast("int")
+    p = (F.floor((n - a) / (3 + F.pmod(g, F.lit(8)))) + 1).cast("int")
+    # Linear in the words: the head, then the period repeated and cut to length (no lookup per word).
+    tail = F.slice(F.flatten(F.array_repeat(F.slice(words, a + 1, p), F.ceil((n - a) / p).cast("int"))), 1, n - a)
+    moved = F.concat(F.slice(words, 1, a), tail)
     return F.array_join(F.when((F.pmod(h, F.lit(10)) == 0) & (n > 0), moved).otherwise(words), " ")
 
 
