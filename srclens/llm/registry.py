@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from srclens.llm import ann, chat, decontaminate, html_text, mixing, neardup, periodic, quality, secret_scan, tokens, warc
+from srclens.llm import ann, chat, decontaminate, html_text, mixing, neardup, periodic, quality, secret_scan, spelling, tokens, warc
 
 QUERIES = {
     "op1_html": html_text.op1_html,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_mixing": mixing.op9_mixing,
     "op10_quality": quality.op10_quality,
     "op11_periodic_runs": periodic.op11_periodic_runs,
+    "op12_spelling_variants": spelling.op12_spelling_variants,
 }
 
 ORACLES = {
