@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from srclens.llm import ann, chat, decontaminate, html_text, mixing, neardup, periodic, quality, secret_scan, spelling, tokens, warc
+from srclens.llm import ann, chat, decontaminate, html_text, mixing, neardup, periodic, quality, secret_scan, spelling, tokens, topk, warc
 
 QUERIES = {
     "op1_html": html_text.op1_html,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_quality": quality.op10_quality,
     "op11_periodic_runs": periodic.op11_periodic_runs,
     "op12_spelling_variants": spelling.op12_spelling_variants,
+    "op13_top_k": topk.op13_top_k,
 }
 
 ORACLES = {
@@ -24,4 +25,5 @@ ORACLES = {
     "op7_warc": warc.OP7_SQL,
     "op8_secrets": secret_scan.OP8_SQL,
     "op9_mixing": mixing.OP9_SQL,
+    "op13_top_k": topk.OP13_SQL,
 }
