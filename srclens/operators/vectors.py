@@ -108,11 +108,15 @@ def _matrix(col: pd.Series) -> np.ndarray:
     return np.stack(col.to_numpy()).astype("float64")
 
 
-def _ranked(hits: DataFrame, k: int) -> DataFrame:
+def ranked(hits: DataFrame, k: int) -> DataFrame:
+    """``rank`` of each hit within its query, by distance and id; the best ``k`` stay."""
     w = Window.partitionBy("query_id").orderBy("distance", "vec_id")
     return hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+_ranked = ranked
+
+
 def _ids(col: pd.Series) -> np.ndarray:
     """Ids as an array that sorts: text as text, numbers as numbers."""
     return col.to_numpy().astype(str) if col.dtype == object else col.to_numpy()
@@ -228,10 +232,20 @@ def list_nearest(
     placed = written(model.transform(v.withColumn("f", array_to_vector("vec"))).drop("f"), "placed")
     probes = batch_nearest(centers, q, probe, "id", "vec").select(F.col("query_id").alias("id"), F.col("vec_id").alias("list"))
     asked = written(q.join(probes, "id"), "asked")
+    return _ranked(probed_pairs(placed, asked, k), k)
+
+
+def probed_pairs(placed: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """Best k of each query within the lists it probes: both sides hold ``list, id, vec``.
+
+    A list is cut by its measured size into blocks of vectors, and its queries into blocks of
+    queries: a vector is copied only to the query blocks of its own list, and a list that holds
+    most vectors is still many groups. Hits are not ranked across lists yet.
+    """
     count = lambda df, block, name: df.groupBy("list").agg(F.ceil(F.count("*") / block).cast("int").alias(name))
     sizes = F.broadcast(count(placed, VECTOR_BLOCK, "vs").join(count(asked, QUERY_BLOCK, "qs"), "list"))  # one row per list
     part = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     v_side = placed.join(sizes, "list").select("list", part("vs").alias("vb"), each("qs").alias("qb"), "id", "vec")
     q_side = asked.join(sizes, "list").select("list", each("vs").alias("vb"), part("qs").alias("qb"), "id", "vec")
-    return _ranked(_pairwise(v_side, q_side, ["list", "vb", "qb"], k), k)
+    return _pairwise(v_side, q_side, ["list", "vb", "qb"], k)
