@@ -168,6 +168,9 @@ SELECT path, package FROM o WHERE NOT broken AND package IS NOT NULL UNION ALL S
 SELECT path, 'java.util.List,java.lang.Math' AS imports FROM o WHERE NOT broken UNION ALL SELECT path, 'java.io.Closeable' FROM s""",
     "class_declarations": _FILES + """
 SELECT path, name, package, modifiers, extends, implements, method_count, field_count, round(avg_complexity, 6) AS avg_complexity FROM cls""",
+    "changed_snapshot": _FILES + """
+SELECT path, name, package, modifiers, extends, implements, method_count, field_count, round(avg_complexity, 6) AS avg_complexity FROM cls
+WHERE path NOT IN (SELECT path FROM o WHERE k % 13 = 0)""",
     "interface_declarations": _FILES + "SELECT * FROM ifc",
     "direct_members": _FILES + """
 SELECT path, name, direct AS method_count, field_count FROM cls

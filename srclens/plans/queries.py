@@ -11,8 +11,8 @@ from srclens.functions import text as X
 from srclens.operators import chunks, records, stats, vectors
 from srclens.operators import declarations as D
 from srclens.session import new_path, written
-from srclens.sources import corpus, sinks, vector_store
-from srclens.sources.rendered import rendered_corpus, supplier_files
+from srclens.sources import corpus, increments, sinks, vector_store
+from srclens.sources.rendered import order_files, rendered_corpus, supplier_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -109,6 +109,30 @@ def snapshot_reuse(spark, sf_dir):
     )
 
 
+def corpus_versions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Two versions of the rendered corpus: between them a third of the order files is added,
+    a fifth of the older ones changes (another customer) and a thirteenth goes."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    supplier = table(spark, sf_dir, "supplier")
+    old = order_files(orders.filter(k % 3 != 0).withColumn("o_custkey", F.when(k % 5 == 0, c + 1).otherwise(c)))
+    new = order_files(orders.filter(k % 13 != 0))
+    return old.unionByName(supplier_files(supplier)), new.unionByName(supplier_files(supplier))
+
+
+@query
+def changed_snapshot(spark, sf_dir):
+    """Classes of a snapshot brought from the first version of the corpus to the second by its changes only."""
+    old, new = corpus_versions(spark, sf_dir)
+    root = new_path(spark, "increments")
+    increments.refresh(spark, root, old, D.declarations)
+    increments.refresh(spark, root, new, D.declarations)
+    return D.types(increments.current(spark, root)).filter("kind = 'class'").select(
+        "path", "name", "package", _joined("modifiers"), _joined("extends"), _joined("implements"),
+        "method_count", "field_count", _score(),
+    )
+
+
 @query
 def json_round_trip(spark, sf_dir):
     """JSON lines with nulls and non-ASCII text kept, read back."""
