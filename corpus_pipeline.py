@@ -5,7 +5,7 @@ return the columns of ``docs``. ``run`` writes each result to the shared folder
 it again for the next stage, so a lost executor repeats a part of one stage only.
 
 quality      documents that the classifier rejects go (fitted on the labels that are not held out)
-near_copies  one document of each group of near-duplicates (five-word similarity of 0.8 and more) stays, the one with the least id
+near_copies  one document of each SimHash group (operator 5: three-word shingles, two bits) stays, the one with the least id
 benchmark    documents that hold a benchmark item go
 secrets      secrets in the texts give way to a mark; all documents stay
 mixture      source-balanced selection: one row for each time that a document is taken
@@ -25,7 +25,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return neardup.keep_one(docs)
+    return neardup.keep_least(docs)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

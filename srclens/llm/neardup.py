@@ -17,7 +17,8 @@ Defined results: a null text counts as empty, fingerprint zero; empty texts link
 repeated rows are linked; a null id is never the smallest id of a component unless no
 member has one; an empty table gives an empty result. Only the id and text columns are read.
 
-The pipeline stage, ``keep_one``, has other links: five-word shingles, exact Jaccard similarity (``similar_links``).
+The pipeline stage, ``keep_least``, keeps one row of each of these components. ``keep_one`` links by
+five-word shingles and exact Jaccard similarity instead (``similar_links``), for callers that want that.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from srclens.llm.common import bounded_batches, connected_components, row_key, table
+from srclens.llm.common import bounded_batches, connected_components, counted_broadcast, row_key, table
 from srclens.session import written
 
 WORDS, SEED, RADIUS = 3, 42, 2
@@ -268,6 +269,38 @@ def keep_one(
     return stay.join(twice, same("__twice"), "left_anti").drop("__rk").unionByName(repeated)
 
 
+def keep_least(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", longest: int = LONGEST_LIST) -> DataFrame:
+    """One row of each SimHash component, with all columns: the pipeline's near-copy stage.
+
+    Components are those of the operator above with its contract's settings: three-word
+    shingles, at most two differing bits, no other check. Of each component the row of the
+    least id stays (ties of one id: the least row key; rows equal in id and text: one of them).
+    Rows without an id stay. Rows of one id in different components are different documents,
+    and each stays in its own component. Only ids, row keys and fingerprints are shuffled; the
+    texts meet the removed keys in one anti join, shipped whole when they are counted few.
+    """
+    keyed = docs.withColumn("__rk", row_key(F.col(id_col), F.col(text_col)))
+    marked = written(
+        fingerprints(keyed.select(F.struct(F.col("__rk").alias("rk"), F.col(id_col).alias("id")).alias("__key"), F.col(text_col)), "__key", text_col)
+        .select(F.col("doc_id.rk").alias("rk"), F.col("doc_id.id").alias("doc_id"), "fp"),
+        "stage-fingerprints",
+    )
+    distinct = written(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "stage-distinct")
+    roots = connected_components(links(distinct, longest), "stage-links")
+    grouped = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    found = written(marked.filter(F.col("doc_id").isNotNull()).join(grouped.select("fp", "root"), "fp"), "stage-components")
+    chosen = found.groupBy("root").agg(F.min(F.struct("doc_id", "rk")).alias("c")).select("c.doc_id", "c.rk")
+    removed = written(found.select("doc_id", "rk").join(chosen, ["doc_id", "rk"], "left_anti").distinct(), "stage-removed")
+    twice = written(found.join(chosen, ["doc_id", "rk"], "left_semi").groupBy("doc_id", "rk").count().filter("count > 1").select("doc_id", "rk"), "stage-twice")
+    counted = lambda df: counted_broadcast(df.toDF("__i", "__k"), df.count())
+    same = (F.col("__rk") == F.col("__k")) & (F.col(f"`{id_col}`") == F.col("__i"))
+    gone, again = counted(removed), counted(twice)
+    stay = keyed.join(gone, same, "left_anti")
+    single = stay.join(again, same, "left_anti")
+    repeated = stay.join(again, same, "left_semi").groupBy(id_col, "__rk").agg(F.first(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("__row"))
+    return single.drop("__rk").unionByName(repeated.select("__row.*"))
+
+
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = components(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
