@@ -286,6 +286,7 @@ SELECT vec_id, round(d, 6) AS distance FROM d ORDER BY d, vec_id LIMIT 5""",
     "batch_nearest": _NEAREST,
     "batch_nearest_blocks": _NEAREST,
     "list_nearest_all_probed": _NEAREST,
+    "pruned_nearest": _NEAREST,
     "progress_counters": "SELECT count(*) AS found, count(*) FILTER (WHERE lang = 'en') AS kept FROM documents",
     "retained_files": _FILES + """
 SELECT path, package, 'class' AS first_kind, CAST(2 AS BIGINT) AS n_types FROM f UNION ALL SELECT path, 'com.api', 'interface', 6 FROM s""",

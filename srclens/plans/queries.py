@@ -666,6 +666,21 @@ def search_documents(spark, sf_dir):
     return found.select("item_id", F.col("rank").cast("long").alias("rank"), "doc_key", "distance", "text", F.col("metadata")["type"].alias("type"))
 
 
+@query
+def pruned_nearest(spark, sf_dir):
+    """V6 exact with pruning: the five nearest of every vector from a stored index, reading only the lists
+    that the radius of each list and the distance to its centre cannot rule out (ids are not negative)."""
+    emb = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    key = F.lpad(F.col("vec_id").cast("string"), 20, "0")
+    path = new_path(spark, "vector-store")
+    docs = emb.select(key.alias("doc_key"), F.lit(None).cast("string").alias("text"), F.create_map().cast("map<string,string>").alias("metadata"), "embedding")
+    vector_store.build(docs, path, None)
+    found = vector_store.search(spark, path, emb.select(F.col("vec_id").alias("query_id"), "embedding"), None)
+    return found.select(
+        "query_id", F.col("doc_key").cast("long").alias("vec_id"), F.round("distance", 6).alias("distance"), F.col("rank").cast("long").alias("rank")
+    )
+
+
 @query
 def list_nearest_all_probed(spark, sf_dir):
     """V6: with every list probed the approximate search is exact."""

@@ -40,12 +40,15 @@ FIRST_READ = 2
 """Lists a query reads at first, more when they hold fewer than k documents."""
 
 
-def build(docs: DataFrame, path: str, embed_texts: Callable[[DataFrame, str], DataFrame], lists: int | None = None, seed: int = 7) -> None:
-    """Write the store of ``docs`` (``doc_key, text, metadata``) to ``path``."""
+def build(docs: DataFrame, path: str, embed_texts: Callable[[DataFrame, str], DataFrame] | None, lists: int | None = None, seed: int = 7) -> None:
+    """Write the store of ``docs`` (``doc_key, text, metadata``) to ``path``; without ``embed_texts`` they bring ``embedding``."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    embedded = embed_texts(docs.select("doc_key", "text", "metadata"), "text")
+    if embed_texts is None:
+        embedded = docs.select("doc_key", "text", "metadata", "embedding")
+    else:
+        embedded = embed_texts(docs.select("doc_key", "text", "metadata"), "text")
     embedded = written(embedded.filter(F.col("embedding").isNotNull()).withColumn("embedding", F.col("embedding").cast("array<float>")), "store-embedded")
     n = embedded.count()
     if n == 0:
@@ -103,17 +106,21 @@ def search(
     spark: SparkSession,
     path: str,
     queries: DataFrame,
-    embed_texts: Callable[[DataFrame, str], DataFrame],
+    embed_texts: Callable[[DataFrame, str], DataFrame] | None,
     k: int = 5,
     query_id_col: str = "query_id",
 ) -> DataFrame:
-    """Exact ``<query_id_col>, rank, doc_key, distance, text, metadata`` of ``queries`` (id and ``text``) over the store."""
+    """Exact ``<query_id_col>, rank, doc_key, distance, text, metadata`` of ``queries`` (id and ``text``) over the store.
+
+    Without ``embed_texts`` the queries bring their ``embedding``.
+    """
     ids, centres, radii, sizes = _lists_of(spark, path)
     shape = f"{query_id_col} {queries.schema[query_id_col].dataType.simpleString()}"
     empty = spark.createDataFrame([], f"{shape}, rank int, doc_key string, distance double, text string, metadata map<string,string>")
     if not len(ids):
         return empty
-    asked = embed_texts(queries.select(query_id_col, "text"), "text").select(F.col(query_id_col).alias("id"), F.col("embedding").cast("array<float>").alias("vec"))
+    given = queries.select(query_id_col, "embedding") if embed_texts is None else embed_texts(queries.select(query_id_col, "text"), "text")
+    asked = given.select(F.col(query_id_col).alias("id"), F.col("embedding").cast("array<float>").alias("vec"))
     asked = written(asked.filter(F.col("vec").isNotNull()), "store-queries")
     shared = spark.sparkContext.broadcast((ids, centres, radii, sizes))
     id_type = asked.schema["id"].dataType.simpleString()
