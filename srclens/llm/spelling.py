@@ -41,6 +41,10 @@ from srclens.session import written
 
 # Fixed values of the operator's contract.
 LETTERS = "[A-Za-z\\u00C0-\\u00FF]+"
+LONG_RUNS = "[A-Za-z\\u00C0-\\u00FF]{%d,}"
+"""Maximal runs of at least so many letters: a search resumes after a run, and a run that long matches whole from its
+first letter, so these are exactly the maximal runs not shorter than that. A shorter run never becomes a word, since a
+deletion only shortens it."""
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 DROP_EVERY = 97
 MIN_CHARS, MIN_COUNT, RATIO = 5, 3, 2
@@ -49,10 +53,11 @@ LOOKUP_BYTES = 64 << 20
 """Largest measured vocabulary that every task holds whole to look one-edit ends up; beyond it they are joined by shuffle."""
 
 
-def words_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``word`` for every letter run of the op12 contract, after its hashed deletion, one row each."""
+def words_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
+    """``word`` for every letter run of the op12 contract that can give a word of ``min_chars``, after its hashed deletion."""
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    runs = docs.select(F.col(f"`{id_col}`").cast("string").alias("id"), F.explode(F.regexp_extract_all(text, F.lit(LETTERS), 0)).alias("run"))
+    long_runs = F.lit(LONG_RUNS % min_chars)
+    runs = docs.select(F.col(f"`{id_col}`").cast("string").alias("id"), F.explode(F.regexp_extract_all(text, long_runs, 0)).alias("run"))
     lowered = runs.select("id", F.translate("run", UPPER, LOWER).alias("w"))
     hashed = lowered.select("w", F.crc32(F.concat("id", F.lit(":"), "w")).alias("h"))
     return hashed.selectExpr(
