@@ -494,3 +494,20 @@ def test_stage_keeps_the_least_row_of_each_simhash_group(spark):
     want = sorted([(False, i) for i in least.values()] + [(True, 0) for i, _ in rows if i is None])
     assert got == want
     assert neardup.keep_least(docs.limit(0)).count() == 0
+
+
+def test_leaks_of_items_whose_shingles_repeat(spark):
+    """Period-two items with the last word changed share 8 of 10 shingles: exactly 0.8, all found."""
+    rng = random.Random(9)
+    words = [f"x{i}" for i in range(5000)]
+    bench, rows = [], []
+    for i in range(300):
+        a, b, other = rng.sample(words, 3)
+        item = [a, b] * 6 + [a]
+        bench.append((i, " ".join(item)))
+        rows.append((1000 + i, "lead words here " + " ".join(item[:-1] + [other]) + " and the end"))
+    rows.append((5000, "nothing of the sort at all in this text"))
+    got = decontaminate.leaks(documents(spark, rows), spark.createDataFrame(bench, "item_id long, text string")).drop("rk").distinct().collect()
+    want = brute_leaks(rows, bench)
+    assert len(want) == 300
+    assert {tuple(r)[:5] for r in got} == want
