@@ -11,7 +11,10 @@ in a block become one space, blocks of content are joined in page order by one l
 
 Defined results: a null or empty page has the empty text; so has a page without content blocks.
 A tag, comment or quoted value that never closes reaches to the end of the page, as in
-browsers, and so does a script. Repeated rows get equal results, null ids and urls are kept; an empty
+browsers, and so does a script. A quote in a tag opens a value only right after ``=``; other quotes
+are plain characters. Only raw-text elements (script, style, textarea, title and the like) hide
+their content as text; svg, math, media and forms are skipped up to their end tag, and end at once
+when they close themselves (``<svg/>``). Repeated rows get equal results, null ids and urls are kept; an empty
 table gives an empty result. Only the id, url and page columns are read.
 """
 
@@ -29,10 +32,14 @@ from pyspark.sql.functions import pandas_udf
 from srclens.llm.common import bounded_batches, table
 from srclens.llm.html_labels import LABELLED
 
+# Inside a tag a quote opens a value only right after "=" (as browsers read it); any other quote is a
+# plain character, and a "/" just before ">" closes the element at once.
+_ATTRS = r"""(?:=\s*+(?:"[^"]*(?:"|\Z)|'[^']*(?:'|\Z))?|/(?!>)|[^>=/])*+"""
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|textarea|title|iframe|svg|math|object|select|canvas|video|audio)\b(?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*+(?:>|\Z).*?(?:</(?P=raw)\s*+>|\Z)"
-    r"|<(?P<close>/?)(?P<name>[a-z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*+)(?:>|\Z)"
+    r"|<(?P<raw>script|style|noscript|template|textarea|title|iframe|xmp|noembed|noframes)\b" + _ATTRS + r"(?:/?>|\Z).*?(?:</(?P=raw)\s*+>|\Z)"
+    r"|<(?P<skip>svg|math|object|select|canvas|video|audio)\b" + _ATTRS + r"(?:/>|>.*?(?:</(?P=skip)\s*+>|\Z)|\Z)"
+    r"|<(?P<close>/?)(?P<name>[a-z][^\s/>]*)(?P<attrs>" + _ATTRS + r")/?(?:>|\Z)"
     r"|<[!?/][^>]*(?:>|\Z)",
     re.S | re.I,
 )

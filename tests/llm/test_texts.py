@@ -31,6 +31,16 @@ def test_main_text_cases():
     assert html_text.main_text(many, tree) == "\n".join(["w"] * 20_000)
 
 
+def test_tags_are_read_as_browsers_read_them():
+    tree = html_text.train()
+    body = "<p>Five six seven eight nine ten eleven twelve.</p><p>Nine ten eleven twelve thirteen fourteen fifteen.</p>"
+    want = "One two three four five six seven.\nFive six seven eight nine ten eleven twelve.\nNine ten eleven twelve thirteen fourteen fifteen."
+    for head in ("<p title=don't>", '<p class="a"">', "<p data-x=a\"b>", "<p title='it\"s'>"):
+        assert html_text.main_text(f"<article>{head}One two three four five six seven.</p>{body}</article>", tree) == want
+    icons = f"<article><p>One two three four five six seven.</p><svg/>{body}<svg viewBox='0 0 1 1'><text>not text</text></svg></article>"
+    assert html_text.main_text(icons, tree) == want
+
+
 def test_pages_against_a_plain_reading(spark):
     import html
 
