@@ -13,6 +13,9 @@ failure is an error. Equal payloads are combined before the shuffle, so a payloa
 pages share is no large group, and joins against payload facts have one row per key, which the
 skew join can split. Texts are shuffled once.
 
+``op7_warc`` reads its result from the records put together again (``read_records``), not from
+the stored facts: body after the header block, checked against Content-Length and the digest.
+
 Defined results: a null payload counts as empty; a null url has no target header; line breaks in
 a url are percent-encoded; rows that repeat the largest id are all responses; null ids
 are smaller than all others and responses when no other row has the payload; an empty
@@ -141,22 +144,46 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     return joined.select(F.concat("header", body, F.lit("\r\n\r\n").cast("binary")).alias("record"))
 
 
+def record_facts(records: DataFrame) -> DataFrame:
+    """``page_id, record_type, refers_to, payload_digest, payload_bytes`` read from whole records.
+
+    The header block ends at the first empty line; the body is the next Content-Length bytes and the
+    record ends with an empty line after it (else an error). A response's body must hash to the
+    digest its header names (else an error). A revisit has no body: its payload facts are those of
+    the response it refers to, met by that page id and the digest, which both records name.
+    """
+    head = F.substring_index(F.col("record").cast("string"), "\r\n\r\n", 1)
+    read = records.select("record", F.concat(head, F.lit("\r\n")).alias("head"))
+    parsed = read.select(
+        _page(_field("WARC-Record-ID")).alias("page_id"),
+        _field("WARC-Type").alias("record_type"),
+        _page(_field("WARC-Refers-To")).alias("refers_to"),
+        F.replace(_field("WARC-Payload-Digest"), F.lit("sha1:"), F.lit("")).alias("payload_digest"),
+        _field("Content-Length").cast("long").alias("length"),
+        (F.octet_length("head") + 2).alias("start"),
+        "record",
+    )
+    body = F.expr("substring(record, start + 1, length)")
+    whole = F.octet_length("record") == F.col("start") + F.col("length") + 4
+    bodied = parsed.select(
+        "*", F.when(whole, body).otherwise(F.raise_error(F.lit("a record is not as long as its header says"))).alias("body")
+    ).drop("record")
+    responses = bodied.filter(F.col("record_type") == "response").select(
+        "page_id",
+        "record_type",
+        "refers_to",
+        F.when(base32(F.sha1("body")) == F.col("payload_digest"), F.col("payload_digest")).otherwise(F.raise_error(F.lit("a body does not match its digest"))).alias("payload_digest"),
+        F.octet_length("body").cast("long").alias("payload_bytes"),
+    )
+    revisits = bodied.filter(F.col("record_type") == "revisit").select("page_id", "record_type", "refers_to", "payload_digest")
+    targets = responses.select(F.col("page_id").alias("refers_to"), "payload_digest", "payload_bytes").dropDuplicates(["refers_to", "payload_digest"])
+    return responses.unionByName(revisits.join(targets, ["refers_to", "payload_digest"], "left"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
     write_archive(table(spark, sf_dir, "pages"), path)
-    facts = read_payloads(spark, path).select("digest", "payload_bytes", "sha1")
-    sound = F.col("sha1") == F.col("payload_digest")
-    return (
-        read_headers(spark, path)
-        .join(facts, "digest")
-        .select(
-            "page_id",
-            "payload_bytes",
-            F.when(sound, F.col("payload_digest")).otherwise(F.raise_error(F.lit("header and payload disagree"))).alias("payload_digest"),
-            "record_type",
-            "refers_to",
-        )
-    )
+    return record_facts(read_records(spark, path)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 OP7_SQL = f"""
