@@ -324,16 +324,22 @@ def project_request(spark, sf_dir):
     """The project prompt, its statistics parsed back."""
     types = written(D.types(_decls(spark, sf_dir)), "types")
     per_package = written(stats.package_stats(types), "package-stats")
-    prompt = F.element_at("messages", 2)["content"]
-    parts = records.joined_prompt(records.project_prompt(types, per_package)).select(
-        F.regexp_extract(prompt, r"(?s)(\{.*?\})\n\nClass names: ", 1).alias("j"),
-        F.regexp_extract(prompt, r"Class names: ([^\n]*)", 1).alias("class_names"),
-    )
-    return parts.select(
-        F.get_json_object("j", "$.total_classes").cast("long").alias("total_classes"),
-        F.get_json_object("j", "$.total_methods").cast("long").alias("total_methods"),
-        F.json_array_length(F.get_json_object("j", "$.packages")).cast("long").alias("n_packages"),
-        F.round(F.get_json_object("j", "$.avg_complexity").cast("double"), 6).alias("avg_complexity"),
+    parts = records.project_prompt(types, per_package)
+    # Read from the ordered parts with one aggregate: no value holds all packages, no task all parts.
+    first, last = F.col("part") == 0, F.col("part") == 2**62
+    listed = F.json_array_length(F.concat(F.lit("["), F.regexp_replace("content", "^,", ""), F.lit("]")))
+    found = parts.agg(
+        F.max(F.when(first, F.regexp_extract("content", r'"total_classes":(-?[0-9]+)', 1))).alias("tc"),
+        F.max(F.when(first, F.regexp_extract("content", r'"total_methods":(-?[0-9]+)', 1))).alias("tm"),
+        F.coalesce(F.sum(F.when(~first & ~last, listed)), F.lit(0)).alias("n_packages"),
+        F.max(F.when(last, F.regexp_extract("content", r'"avg_complexity":([^}]*)\}', 1))).alias("avg"),
+        F.max(F.when(last, F.regexp_extract("content", r"Class names: ([^\n]*)", 1))).alias("class_names"),
+    )
+    return found.select(
+        F.col("tc").cast("long").alias("total_classes"),
+        F.col("tm").cast("long").alias("total_methods"),
+        F.col("n_packages").cast("long").alias("n_packages"),
+        F.round(F.col("avg").cast("double"), 6).alias("avg_complexity"),
         "class_names",
     )
 
