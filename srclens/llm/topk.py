@@ -3,7 +3,8 @@
 Vectors become whole numbers, ``floor(SCALE * x)``, so a score is an exact integer inner product.
 Candidates are dealt to shards of at most ``SHARD_BYTES`` of vectors by a hash of id and vector;
 every shard is one ball tree, built in the task that searches it. Queries are cut into blocks of
-``QUERY_BLOCK``; a task takes one block of queries and one shard, so no group grows with the table.
+``QUERY_BLOCK``, or more and smaller ones when shards are fewer than the cores; a task takes one
+block of queries and one shard, so no group grows with the table.
 
 Branch and bound: a node holds a centre ``c``, a radius ``r`` and its least id; no vector in it
 scores above ``q . c + |q| r``. A query walks its tree best bound first and scores whole leaves at
@@ -177,7 +178,9 @@ def top_k(
         "topk-vectors",
     )
     asked = written(asked.filter(F.size("v") == dim).select(F.col("id").alias("query_id"), whole_numbers(F.col("v"), scale).alias("ivec"), digest.alias("digest")), "topk-queries")
-    blocks = max(1, math.ceil(asked.count() / QUERY_BLOCK))
+    n_asked = asked.count()
+    # Enough blocks for every core even when there are few shards; at scale the block size decides.
+    blocks = max(1, min(n_asked, max(math.ceil(n_asked / QUERY_BLOCK), math.ceil(spark.sparkContext.defaultParallelism / shards))))
     asked = asked.withColumn("qblock", F.pmod(F.xxhash64("query_id", "digest"), F.lit(blocks)))
     search = _searcher(k, leaf)
 
