@@ -14,7 +14,9 @@ that depth. A replacement (an edge other than the next code point) moves ``i`` o
 may only follow the unread rest of its word, so the terminal it can reach is named by its node
 and that rest: it is looked up among the words at once instead of being walked edge by edge
 (walking them, measured on 0.1 GB, wrote 85 to 130 million states at a level). Levels run one
-after another, as many as the longest word has code points plus one; each level is written.
+band after another: consecutive levels whose edges are counted few enough to ship are one join, in
+which each state meets the edges of its own depth; each band is written. (One job for each level
+cost more in fixed time than in work at 0.1 GB.)
 
 The edges of a depth are shipped whole to every task when they are few (counted, at most
 ``HINT_ROWS``); this matters at the top of the trie, where every state meets the root or one of
@@ -88,23 +90,33 @@ def neighbours(vocab: DataFrame, most: int = HINT_ROWS, lookup_bytes: int = LOOK
     terminals = words.select(F.col("word").alias("near"))
     if measured["n"] and measured["bytes"] <= lookup_bytes:
         terminals = F.broadcast(terminals)
-    found = []
+    # Levels go in bands: consecutive levels whose edges together are counted few enough to ship are one join,
+    # each state meeting the edges of its own depth; a level with more edges is a band of its own, joined by shuffle.
+    bands: list[list[int]] = []
     for depth in range(0, max(sizes, default=0) + 1):
-        # Unedited states of this level: the word read up to ``depth``, standing at the node of that prefix.
-        at = words.filter(F.col("size") >= depth).select(
-            "word", "size", F.expr(f"left(word, {depth})").alias("node"), F.expr(f"substring(word, {depth + 1}, 1)").alias("next"),
-            F.expr(f"substring(word, {depth + 2})").alias("after"), F.expr(f"substring(word, {depth + 1})").alias("rest"),
+        n = sizes.get(depth + 1, 0)
+        if bands and sum(sizes.get(d + 1, 0) for d in bands[-1]) + n <= most:
+            bands[-1].append(depth)
+        else:
+            bands.append([depth])
+    found = []
+    for band in bands:
+        low, high = band[0], band[-1]
+        # Unedited states of these levels: the word read up to ``depth``, standing at the node of that prefix.
+        at = words.select("word", "size", F.explode(F.sequence(F.lit(low), F.least(F.col("size"), F.lit(high)))).alias("depth")).selectExpr(
+            "word", "size", "depth", "left(word, depth) node", "substring(word, depth + 1, 1) next", "substring(word, depth + 2) after", "substring(word, depth + 1) rest"
         )
-        level = counted_broadcast(edges.filter(F.col("depth") == depth + 1).select("parent", "c", "child"), sizes.get(depth + 1, 0), most)
-        grown = at.join(level, F.col("node") == F.col("parent"))
+        level = edges.filter(F.col("depth").between(low + 1, high + 1)).select((F.col("depth") - 1).alias("from"), "parent", "c", "child")
+        level = counted_broadcast(level, sum(sizes.get(d + 1, 0) for d in band), most)
+        grown = at.join(level, (F.col("depth") == F.col("from")) & (F.col("node") == F.col("parent")))
         # One-edit states: a deletion stays at the node, a replacement or an insertion takes an edge. From
         # there only the unread rest of the word may follow, so the state ends at the terminal that node and rest name.
         ends = (
-            at.filter(F.col("size") > depth).select("word", F.concat("node", "after").alias("near"))
-            .unionByName(grown.filter((F.col("size") > depth) & (F.col("c") != F.col("next"))).select("word", F.concat("child", "after").alias("near")))
+            at.filter(F.col("size") > F.col("depth")).select("word", F.concat("node", "after").alias("near"))
+            .unionByName(grown.filter((F.col("size") > F.col("depth")) & (F.col("c") != F.col("next"))).select("word", F.concat("child", "after").alias("near")))
             .unionByName(grown.select("word", F.concat("child", "rest").alias("near")))
         )
-        found.append(written(ends.join(terminals, "near").select("word", "near"), f"trie-level-{depth}"))
+        found.append(written(ends.join(terminals, "near").select("word", "near"), f"trie-levels-{low}-{high}"))
     if not found:
         return spark.createDataFrame([], "word string, near string")
     pairs = found[0]
