@@ -173,7 +173,7 @@ def top_k(
     digest = F.xxhash64(F.col("v"))
     cands = written(
         cands.filter(F.size("v") == dim).select(
-            F.col("id").alias("vec_id"), whole_numbers(F.col("v"), scale).alias("ivec"), digest.alias("digest"), F.pmod(F.xxhash64("id", digest), F.lit(shards)).alias("shard")
+            F.col("id").alias("vec_id"), whole_numbers(F.col("v"), scale).alias("ivec"), digest.alias("digest"), F.pmod(F.xxhash64("id", digest), F.lit(shards)).cast("int").alias("shard")
         ),
         "topk-vectors",
     )
@@ -181,7 +181,8 @@ def top_k(
     n_asked = asked.count()
     # Enough blocks for every core even when there are few shards; at scale the block size decides.
     blocks = max(1, min(n_asked, max(math.ceil(n_asked / QUERY_BLOCK), math.ceil(spark.sparkContext.defaultParallelism / shards))))
-    asked = asked.withColumn("qblock", F.pmod(F.xxhash64("query_id", "digest"), F.lit(blocks)))
+    # Group keys of both sides of the cogroup are ints alike: keys of other types would be dealt apart.
+    asked = asked.withColumn("qblock", F.pmod(F.xxhash64("query_id", "digest"), F.lit(blocks)).cast("int"))
     search = _searcher(k, leaf)
 
     def run(shard_filter: Column, with_bars: DataFrame) -> DataFrame:

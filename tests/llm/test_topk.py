@@ -34,7 +34,8 @@ def test_op13_against_sql(spark, sf):
     assert difference(spark, duck(sf), topk.op13_top_k, topk.OP13_SQL, sf) is None
 
 
-def test_many_shards_and_query_blocks_against_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("spread", [False, True])
+def test_many_shards_and_query_blocks_against_brute_force(spark, monkeypatch, spread):
     rng = np.random.default_rng(4)
     centres = rng.normal(size=(6, 8))
     rows = [(i, [float(x) for x in centres[i % 6] + 0.05 * rng.normal(size=8)]) for i in range(1500)]
@@ -44,7 +45,14 @@ def test_many_shards_and_query_blocks_against_brute_force(spark, monkeypatch):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     monkeypatch.setattr(topk, "SHARD_BYTES", 64 * 8 * 100)
     monkeypatch.setattr(topk, "QUERY_BLOCK", 4)
-    got = sorted(tuple(r) for r in topk.top_k(df, df.filter(F.col("vec_id") % 20 == 0)).collect())
+    if spread:  # groups dealt over many partitions, as on a cluster: keys of both sides must meet
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        spark.conf.set("spark.sql.shuffle.partitions", "97")
+    try:
+        got = sorted(tuple(r) for r in topk.top_k(df, df.filter(F.col("vec_id") % 20 == 0)).collect())
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
     assert got == brute(rows, step=20)
 
 
