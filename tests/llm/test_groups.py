@@ -165,7 +165,8 @@ def test_near_copies_stage_on_whole_tables(spark):
     for sf in (SF, "/root/testdata/sf0.01"):
         docs = spark.read.parquet(f"{sf}/documents.parquet")
         kept = dict(corpus_pipeline.STAGES)["near_copies"](spark, docs, sf)
-        want = brute_kept([tuple(r) for r in docs.select("doc_id", "text").collect()])
+        # The stage keeps the least id of each component of operator 5 (three words, two bits); ids are unique here.
+        want = sorted({c for _, _, c in brute_components([tuple(r) for r in docs.select("doc_id", "text").collect()])})
         assert sorted(r["doc_id"] for r in kept.collect()) == want and kept.columns == docs.columns
 
 
