@@ -218,3 +218,35 @@ def test_one_shuffle(spark):
     plan = D.types(D.declarations(df))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
     assert "Join" not in plan and "InPandas" not in plan and "PythonUDF" not in plan
+
+
+BLOCKS = {
+    "Deep.java": "class A { int f(int a) { if (a > 1) { while (b && c) { { x(); } } } else { y(z -> { return q ? 1 : 2; }); } return 1; } int g; }",
+    "Live.java": "class A { int f() { if (x) { run(new B(1) { void h() { for (;;) { } } int k; }, y -> { }); } class L { void m() { if (z) { } } } } int[] q = {1, 2}, r = { {3} }; }",
+    "Enum.java": "enum E { A(1) { int f() { if (x) { } return 1; } }, B { int g() { return 2; } }; class In { } int h() { new C() { int i() { return 3; } }; } }",
+    "Notes.java": "class A { @S({1, 2}) @T(x = {3}) int f(@U({4}) int a) throws X { if (a) { } } static { if (b) { } } A(int q) { if (c) { } } int a = new int[] {1}.length, b; }",
+    "Crossed.java": "class A { void f( { if (x) { } ) } int g() { while (y) { } } }",
+    "Marks.java": "class A { int \x03 x; void f() { if (a) { \x03 } } }",
+}
+
+
+def test_whole_blocks_are_read_as_run_by_run(spark, monkeypatch):
+    df = spark.createDataFrame([*FILES.items(), *BLOCKS.items()], "path string, content string")
+
+    def read():
+        decls = D.declarations(df)
+        out = [D.types(decls, nested=True).drop("type_pos"), D.types(decls, recursive=False).drop("type_pos"), D.methods(decls).drop("pos", "type_pos")]
+        out += [D.fields(decls).drop("pos", "type_pos"), D.packages(decls), D.imports(decls), D.rejects(df)]
+        return [sorted(str(r) for r in rows.collect()) for rows in out]
+
+    whole = read()
+    monkeypatch.setattr(D, "NESTING", 0)  # no text with brackets is then known to nest
+    assert read() == whole
+
+
+def test_blocks_without_bodies_make_no_rows(spark):
+    """A class of one method is three runs' work, however many blocks the method holds."""
+    text = "class A { void f() { " + "if (a) { while (b) { x -> { }; } } " * 50 + "} }"
+    df = spark.createDataFrame([("a", text)], "path string, content string")
+    assert D.brace_runs(df).count() <= 3
+    assert [r["complexity"] for r in D.methods(D.declarations(df)).collect()] == [101]
