@@ -22,6 +22,9 @@ BROADCAST_BYTES = 32 * 1024 * 1024
 QUERY_BLOCK = 1024
 VECTOR_BLOCK = 8192
 MOST_LISTS = 1024
+# Bytes of vectors on either side of one group of a list search; queries are cut further while tasks are few.
+GROUP_BYTES = 16 * 1024 * 1024
+LEAST_QUERIES = 256
 
 
 def embed(docs: DataFrame, text: str, call: Callable[[list[str]], np.ndarray], out: str = "embedding") -> DataFrame:
@@ -214,9 +217,8 @@ def list_nearest(
     """Approximate top k: vectors in k-means lists, each query looks into ``probe`` lists.
 
     By default there are as many lists as the square root of the number of vectors, at most ``MOST_LISTS``, and half of
-    them are probed; with ``probe == lists`` the result is exact. A list is cut by its measured size into
-    blocks of vectors, and its queries into blocks of queries: a vector is copied only to the query
-    blocks of its own list, and a list that holds most vectors is still many groups.
+    them are probed; with ``probe == lists`` the result is exact. Queries meet the lists in groups of
+    bounded size (``probed_pairs``); a list that holds most vectors is still many groups.
     """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
@@ -231,21 +233,98 @@ def list_nearest(
     )
     placed = written(model.transform(v.withColumn("f", array_to_vector("vec"))).drop("f"), "placed")
     probes = batch_nearest(centers, q, probe, "id", "vec").select(F.col("query_id").alias("id"), F.col("vec_id").alias("list"))
-    asked = written(q.join(probes, "id"), "asked")
+    asked = written(q.join(probes.groupBy("id").agg(F.collect_list("list").alias("lists")), "id"), "asked")
     return _ranked(probed_pairs(placed, asked, k), k)
 
 
+def _grouped(sizes: dict[int, int], rows: int) -> list[list[int]]:
+    """Lists put together to groups of up to ``rows`` vectors; a longer list is a group of its own."""
+    groups, held = [], rows + 1
+    for name, n in sorted(sizes.items()):
+        if held + n > rows:
+            groups.append([])
+            held = 0
+        groups[-1].append(name)
+        held += n
+    return groups
+
+
+def _best_in_lists(q_ids: np.ndarray, q: np.ndarray, wanted: list[np.ndarray], v_ids: np.ndarray, v: np.ndarray, lists: np.ndarray, k: int) -> pd.DataFrame:
+    """The k best per query among the vectors of the lists it wants; ``lists`` holds the list of each vector, ascending."""
+    names, sizes = np.unique(lists, return_counts=True)
+    starts = np.cumsum(sizes) - sizes
+    asks = np.zeros((len(q), len(names)), dtype=bool)
+    for i, own in enumerate(wanted):
+        at = np.searchsorted(names, own)
+        at[at == len(names)] = 0
+        asks[i, at[names[at] == own]] = True
+    v_norm = (v * v).sum(axis=1)
+    out_q, out_v, out_d = [q_ids[:0]], [v_ids[:0]], [np.zeros(0)]
+    order = np.lexsort(asks.T[::-1])  # queries of like lists share a step
+    for start in range(0, len(q), 256):
+        chunk = order[start : start + 256]
+        read = np.flatnonzero(asks[chunk].any(axis=0))
+        if not len(read):
+            continue
+        columns = np.concatenate([np.arange(starts[j], starts[j] + sizes[j]) for j in read])
+        part, block = q[chunk], v[columns]
+        d = v_norm[columns][None, :] + (part * part).sum(axis=1)[:, None] - 2.0 * (part @ block.T)
+        d[~np.repeat(asks[np.ix_(chunk, read)], sizes[read], axis=1)] = np.inf
+        top = min(k, d.shape[1]) - 1
+        bound = np.partition(d, top, axis=1)[:, top] + 1e-9 * (1.0 + np.abs(v_norm[columns]).max() + (part * part).sum(axis=1))
+        for i, target in enumerate(part):
+            near = np.flatnonzero((d[i] <= bound[i]) & (d[i] < np.inf))
+            exact = ((block[near] - target) ** 2).sum(axis=1)
+            best = np.lexsort((v_ids[columns[near]], exact))[:k]
+            out_q.append(np.full(len(best), q_ids[chunk[i]]))
+            out_v.append(v_ids[columns[near][best]])
+            out_d.append(exact[best])
+    return pd.DataFrame({"query_id": np.concatenate(out_q), "vec_id": np.concatenate(out_v), "distance": np.concatenate(out_d)})
+
+
 def probed_pairs(placed: DataFrame, asked: DataFrame, k: int) -> DataFrame:
-    """Best k of each query within the lists it probes: both sides hold ``list, id, vec``.
+    """Best k of each query within the lists it probes: ``placed`` holds ``list, id, vec``, ``asked`` ``id, vec, lists``.
 
-    A list is cut by its measured size into blocks of vectors, and its queries into blocks of
-    queries: a vector is copied only to the query blocks of its own list, and a list that holds
-    most vectors is still many groups. Hits are not ranked across lists yet.
+    Lists are put together to groups of bounded size and the queries of a group are cut into blocks of
+    bounded size. A query is sent once to a group that holds lists it probes, a vector once to each block of
+    its group's queries, and a block hands on k rows per query for all its lists: what is shuffled
+    follows the number of groups, not the number of lists probed. A list longer than a group is cut
+    by id. Hits are not ranked across groups yet.
     """
-    count = lambda df, block, name: df.groupBy("list").agg(F.ceil(F.count("*") / block).cast("int").alias(name))
-    sizes = F.broadcast(count(placed, VECTOR_BLOCK, "vs").join(count(asked, QUERY_BLOCK, "qs"), "list"))  # one row per list
-    part = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    v_side = placed.join(sizes, "list").select("list", part("vs").alias("vb"), each("qs").alias("qb"), "id", "vec")
-    q_side = asked.join(sizes, "list").select("list", each("vs").alias("vb"), part("qs").alias("qb"), "id", "vec")
-    return _pairwise(v_side, q_side, ["list", "vb", "qb"], k)
+    shape = placed.agg(F.max(F.size("vec")).alias("dim")).first()["dim"]
+    rows = max(1, GROUP_BYTES // (4 * (shape or 1)))
+    sizes = {r["list"]: r["n"] for r in placed.groupBy("list").agg(F.count("*").alias("n")).collect()}  # one row per list
+    groups = _grouped(sizes, rows)
+    if not groups:
+        return placed.sparkSession.createDataFrame([], _hits(placed, asked))
+    group_of = [-1] * (max(sizes) + 1)
+    for g, names in enumerate(groups):
+        for name in names:
+            group_of[name] = g
+    known = F.lit(group_of)
+    group = lambda name: F.coalesce(F.get(known, name.cast("int")), F.lit(-1))
+    dealt = (
+        asked.withColumn("g", F.explode(F.array_distinct(F.transform("lists", group))))
+        .filter(F.col("g") >= 0)
+        .select("g", "id", "vec", F.filter("lists", lambda name: group(name) == F.col("g")).alias("lists"))
+    )
+    n_asked = {r["g"]: r["n"] for r in dealt.groupBy("g").agg(F.count("*").alias("n")).collect()}  # one row per group
+    wide = max(1, min(rows, sum(n_asked.values()) // (4 * placed.sparkSession.sparkContext.defaultParallelism)))
+    blocks = [math.ceil(n_asked.get(g, 0) / max(wide, min(rows, LEAST_QUERIES))) for g in range(len(groups))]
+    parts = [math.ceil(sum(sizes[name] for name in names) / rows) for names in groups]
+    n_blocks, n_parts = F.get(F.lit(blocks), F.col("g")), F.get(F.lit(parts), F.col("g"))
+    each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    part = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
+    v_side = placed.withColumn("g", group(F.col("list"))).filter((F.col("g") >= 0) & (n_blocks > 0))
+    v_side = v_side.select("g", part(n_parts).alias("vb"), each(n_blocks).alias("qb"), "list", "id", "vec")
+    q_side = dealt.select("g", each(n_parts).alias("vb"), part(n_blocks).alias("qb"), "id", "vec", "lists")
+
+    def run(_key: tuple, v: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        if not len(v) or not len(q):
+            return pd.DataFrame({"query_id": q["id"][:0], "vec_id": v["id"][:0], "distance": pd.Series(dtype="float64")})
+        v = v.sort_values("list", kind="stable")
+        wanted = [np.asarray(names, dtype=np.int64) for names in q["lists"]]
+        return _best_in_lists(_ids(q["id"]), _matrix(q["vec"]), wanted, _ids(v["id"]), _matrix(v["vec"]), v["list"].to_numpy(np.int64), k)
+
+    keys = ["g", "vb", "qb"]
+    return v_side.groupBy(*keys).cogroup(q_side.groupBy(*keys)).applyInPandas(run, _hits(placed, asked))

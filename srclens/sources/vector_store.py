@@ -12,8 +12,9 @@ partitions it needs. A query first reads the nearest lists until they hold ``k``
 k-th distance found there bounds the answer. By the triangle inequality no member of a list is
 nearer than the distance to its centre less its radius, so only the lists within that bound are
 read in the second step; the others are pruned without being opened. Both steps read the store
-through a filter on the partition column, so the scan lists only probed partitions. Within a list
-the queries meet the members in blocks of bounded size (``vectors.probed_pairs``).
+through a filter on the partition column, so the scan lists only probed partitions. Queries meet
+the members of several lists at once in blocks of bounded size (``vectors.probed_pairs``): a query is
+sent to groups of lists, not to each list it needs.
 
 Distances are squared Euclidean, ties go to the smaller key, as in ``vectors``. The embedder
 is the caller's: the same function must serve build and search (``TextEmbedder`` can be saved
@@ -99,7 +100,7 @@ def _probed(spark: SparkSession, path: str, lists: list[int]) -> DataFrame:
 
 
 def _names(asked: DataFrame) -> list[int]:
-    return sorted(r["list"] for r in asked.select("list").distinct().collect())  # at most the number of lists
+    return sorted(r["list"] for r in asked.select(F.explode("lists").alias("list")).distinct().collect())  # at most the number of lists
 
 
 def search(
@@ -125,35 +126,38 @@ def search(
     shared = spark.sparkContext.broadcast((ids, centres, radii, sizes))
     id_type = asked.schema["id"].dataType.simpleString()
 
+    def at_first(d: np.ndarray, l_sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The lists of each query from the nearest on, and how many of them it reads at first."""
+        order = np.argsort(d, axis=1, kind="stable")
+        held = np.cumsum(l_sizes[order], axis=1)
+        return order, np.maximum(FIRST_READ, 1 + (held < k).sum(axis=1))
+
     def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         l_ids, l_centres, _, l_sizes = shared.value
         for batch in batches:
             for at, d, _ in _distances(batch["vec"], l_centres):
-                order = np.argsort(d, axis=1, kind="stable")
-                held = np.cumsum(l_sizes[order], axis=1)
-                reach = np.maximum(FIRST_READ, 1 + (held < k).sum(axis=1))
-                rows = [(qid, int(l_ids[j])) for qid, o, r in zip(batch["id"][at], order, reach) for j in o[:r]]
-                yield pd.DataFrame(rows, columns=["id", "list"])
-
-    probes = written(asked.select("id", "vec").mapInPandas(first, f"id {id_type}, list long"), "store-first")
-    near = asked.join(probes, "id")
+                order, reach = at_first(d, l_sizes)
+                yield pd.DataFrame({"id": batch["id"][at], "vec": batch["vec"][at], "lists": [l_ids[o[:r]] for o, r in zip(order, reach)]})
+
+    probing = f"id {id_type}, vec array<float>, lists array<long>"
+    near = written(asked.select("id", "vec").mapInPandas(first, probing), "store-first")
     read = _names(near)
     members = lambda lists: _probed(spark, path, lists).select("list", F.col("doc_key").alias("id"), F.col("embedding").alias("vec"))
     hits = written(vectors.probed_pairs(members(read), near, k), "store-first-hits")
     bar = vectors.ranked(hits, k).filter(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("distance").alias("bar"))
 
     def rest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        l_ids, l_centres, l_radii, _ = shared.value
+        l_ids, l_centres, l_radii, l_sizes = shared.value
         for batch in batches:
             limits = batch["bar"].fillna(np.inf).to_numpy(np.float64)
             for at, d, slack in _distances(batch["vec"], l_centres):
                 gap = np.maximum(0.0, np.sqrt(d) - l_radii[None, :] - slack)
                 within = gap * gap <= limits[at][:, None]
-                rows = [(qid, int(l_ids[j])) for qid, w in zip(batch["id"][at], within) for j in np.flatnonzero(w)]
-                yield pd.DataFrame(rows, columns=["id", "list"])
+                for w, o, r in zip(within, *at_first(d, l_sizes)):
+                    w[o[:r]] = False
+                yield pd.DataFrame({"id": batch["id"][at], "vec": batch["vec"][at], "lists": [l_ids[np.flatnonzero(w)] for w in within]})
 
-    wider = asked.join(bar, "id", "left").mapInPandas(rest, f"id {id_type}, list long").join(probes, ["id", "list"], "left_anti")
-    further = asked.join(written(wider, "store-rest"), "id")
+    further = written(asked.join(bar, "id", "left").select("id", "vec", "bar").mapInPandas(rest, probing).filter(F.size("lists") > 0), "store-rest")
     more_lists = _names(further)
     found = vectors.ranked(hits.unionByName(vectors.probed_pairs(members(more_lists), further, k)), k)
     docs = _probed(spark, path, sorted(set(read) | set(more_lists))).select("doc_key", "text", "metadata")

@@ -84,3 +84,41 @@ def test_more_than_the_store_holds_and_an_empty_store(spark):
     empty = new_path(spark, "store-empty")
     vector_store.build(docs.limit(0), empty, by_numbers)
     assert vector_store.search(spark, empty, asked, by_numbers).count() == 0
+
+
+@pytest.mark.parametrize("group_bytes", [vectors.GROUP_BYTES, 640])
+def test_groups_dealt_to_many_tasks_lose_no_hit(spark, store, monkeypatch, group_bytes):
+    """Both sides of a group meet in any number of tasks, and a list longer than a group (640 bytes: 40 vectors) is cut."""
+    path, texts, queries, asked = store
+    monkeypatch.setattr(vectors, "GROUP_BYTES", group_bytes)
+    monkeypatch.setattr(vectors, "LEAST_QUERIES", 4)
+    settings = {"spark.sql.shuffle.partitions": "97", "spark.sql.adaptive.enabled": "false"}
+    before = {name: spark.conf.get(name) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        rows = vector_store.search(spark, path, queries, by_numbers, k=5).collect()
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert {(r["query_id"], r["rank"], r["doc_key"]) for r in rows} == brute(texts, asked, 5)
+
+
+def test_a_query_is_sent_to_groups_and_not_to_lists(spark):
+    """A hundred lists that fit one group: each query and each vector goes there once."""
+    placed = spark.range(1000).selectExpr("cast(id % 100 as int) as list", "id", "array(cast(id as float), 1f) as vec")
+    asked = placed.selectExpr("id", "vec", "transform(sequence(0, 99), x -> cast(x as bigint)) as lists")
+    sent = []
+    grouped = type(asked).groupBy
+
+    def counted(df, *keys):
+        if "qb" in keys:
+            sent.append(df.count())
+        return grouped(df, *keys)
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(type(asked), "groupBy", counted)
+        patch.setattr(vectors, "LEAST_QUERIES", 1000)
+        found = vectors.ranked(vectors.probed_pairs(placed, asked, 3), 3)
+    assert sent == [1000, 1000]
+    assert {(r["query_id"], r["vec_id"]) for r in found.filter("rank = 1").collect()} == {(i, i) for i in range(1000)}
