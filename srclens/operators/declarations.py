@@ -48,12 +48,14 @@ BODY_KINDS = ["class", "interface", "enum", "record", "anonymous"]
 # Comments, text blocks, strings and characters in one alternation, so that a quote in
 # a comment or a brace in a string is never misread. Possessive groups keep the match
 # free of recursion on long literals; an unclosed comment runs to the end of the text.
+# The look at the first sign spares all other places the alternatives.
 COMMENT_OR_LITERAL = (
+    r"(?=[/\"'])(?:"
     r"/\*[\s\S]*?(?:\*/|\z)"
     r"|//[^\r\n]*+"
     r'|"""[^\\"]*+(?:(?:\\[\s\S]|"(?!""))[^\\"]*+)*+"""'
     r'|"[^"\\\r\n]*+(?:\\.[^"\\\r\n]*+)*+"'
-    r"|'[^'\\\r\n]*+(?:\\.[^'\\\r\n]*+)*+'"
+    r"|'[^'\\\r\n]*+(?:\\.[^'\\\r\n]*+)*+')"
 )
 # A block opener whose header could make its block a type or anonymous body is replaced by
 # this sign; the tests are wider than those of ``kind``, so no such block is missed.
@@ -80,11 +82,21 @@ RUN = rf"(?:[^{{}}\x03]++|{DEAD})++[{{}}\x03]?|[{{}}\x03]"
 PIECE = rf"[^;{{}}]++(?:;|{DEAD}|[{{}}])?+|;|{DEAD}|[{{}}]"
 # Passes of the bracket test; a text nested deeper is walked bracket by bracket.
 NESTING = 12
+# Most texts nest no deeper than this and are known to nest by one look.
+SHALLOW = 4
 
 _WORD = r"[A-Za-z_$\p{L}][\w$\p{L}]*"
 _MODS = "|".join(MODIFIERS)
 
 
+def _nests(depth: int) -> str:
+    """The whole text, its brackets closing each other's inside first and at most ``depth`` deep."""
+    inside = r"[^{}()]*+"
+    for _ in range(depth):
+        inside = rf"(?:[^{{}}()]++|\({inside}\)|\{{{inside}\}})*+"
+    return rf"\A{inside}\z"
+
+
 def _count(col: Column, char: str) -> Column:
     return F.octet_length(col) - F.octet_length(F.replace(col, F.lit(char), F.lit("")))
 
@@ -143,7 +155,7 @@ def clean_files(files: DataFrame) -> DataFrame:
     in_order = (_count(code, "{") == _count(code, "}")) & (_count(code, "(") == _count(code, ")")) & _in_order(code)
     return (
         files.select("path", F.regexp_replace("content", COMMENT_OR_LITERAL, " ").alias("code"))
-        .select("path", "code", (marks == "").alias("nested"))
+        .select("path", "code", F.when(code.rlike(_nests(min(SHALLOW, NESTING))), True).otherwise(marks == "").alias("nested"))
         .select(
             "path",
             "code",
@@ -168,7 +180,8 @@ def brace_runs(files: DataFrame) -> DataFrame:
     """One row per run of text up to the next brace, placed in its block.
 
     Only files whose brackets balance; ``blk`` is the position of the first run of the
-    enclosing block (its ``{`` ends the run before), ``bkind`` what that block is.
+    enclosing block (its ``{`` ends the run before), ``bkind`` what that block is; ``dec`` the decisions in
+    the block that the run opens.
     """
     # The number is set outright: merging by size would judge by the packed text, while
     # each partition goes on to hold many times that as rows.
@@ -255,11 +268,14 @@ def brace_runs(files: DataFrame) -> DataFrame:
         .alias("bkind"),
         (F.col("cpar") - F.col("par")).alias("base"),
     )
+    # the next run of the same depth follows the block that this run opens
+    after = Window.partitionBy("path", "depth").orderBy("pos")
     return placed.select(
-        "path", "pos", "seg", "brace", "kind", "head", "depth", "cdec", "cpar",
+        "path", "pos", "seg", "brace", "kind", "head", "cpar",
         F.last(F.when(fresh, start), ignorenulls=True).over(so_far).alias("block"),
+        (F.lead(F.col("cdec") - F.col("dec")).over(after) - F.col("cdec")).alias("dec"),
     ).select(
-        "path", "pos", "seg", "brace", "kind", "head", "cdec", "block.blk", "block.bkind",
+        "path", "pos", "seg", "brace", "kind", "head", "dec", "block.blk", "block.bkind",
         (F.col("cpar") - F.col("block.base")).alias("rel"),
     )
 
@@ -370,13 +386,12 @@ def _blocks_and_members(files: DataFrame) -> DataFrame:
     rel = F.when(whole, F.col("open_parens")).otherwise(F.col("rel"))
     ends = F.when(whole | opens, (rel == 0) & ~initialiser).otherwise(F.endswith(piece, F.lit(";")))
     before = in_block.rowsBetween(Window.unboundedPreceding, -1)
-    at = F.struct("pos", "sub")
-    last = F.struct(
+    parts = F.struct(
+        "pos", "sub", "piece",
         F.when(opens & is_type, F.col("kind")).alias("tkind"),
-        F.when(F.col("ends") & opens, F.col("cdec")).alias("cdec_start"),
-        F.when(F.col("last") & (F.col("brace") == "}"), F.col("cdec")).alias("cdec_end"),
-        F.when(F.col("ends"), F.col("inside")).alias("dec"),
-        "bkind", "pos", "sub",
+        F.when(F.col("ends") & whole, F.col("inside")).when(F.col("ends") & opens, F.col("dec")).alias("dec"),
+        (F.col("last") & (F.col("brace") == "}")).alias("is_end"),
+        "bkind",
     )
     return (
         cut.withColumn("open_parens", open_parens)
@@ -384,8 +399,12 @@ def _blocks_and_members(files: DataFrame) -> DataFrame:
         .withColumn("mem", F.coalesce(F.sum(F.col("ends").cast("int")).over(before), F.lit(0)))
         # the pieces of a declaration in order, once, with what its last piece says
         .groupBy("path", "blk", "mem")
-        .agg(F.array_sort(F.collect_list(F.struct("pos", "sub", "piece"))).alias("pieces"), F.max_by(last, at).alias("end"))
-        .select("path", "blk", "end.*", F.array_join(F.transform("pieces", lambda x: x["piece"]), "").alias("text"))
+        .agg(F.sort_array(F.collect_list(parts)).alias("pieces"))
+        .select("path", "pieces", F.element_at("pieces", -1).alias("end"))
+        .select(
+            "path", "end.pos", "end.sub", "end.tkind", "end.dec", "end.is_end", "end.bkind",
+            F.when(F.size("pieces") == 1, F.col("end.piece")).otherwise(F.array_join("pieces.piece", "")).alias("text"),
+        )
     )
 
 
@@ -396,22 +415,9 @@ def declarations(files: DataFrame) -> DataFrame:
     end of a class or interface; ``level`` counts the classes and interfaces around
     (for a type: itself included).
     """
-    groups = _blocks_and_members(files)
-    is_end = F.col("cdec_end").isNotNull()
-    # An opener and the end of its block become neighbours under the opener's position.
-    key = F.when(is_end, F.col("blk") - 1).otherwise(F.col("pos"))
-    pairs = Window.partitionBy("path").orderBy("key", "is_end", "sub")
-    closed = groups.withColumn("key", key).withColumn("is_end", is_end).select(
-        "path", "bkind", "tkind", "text", "pos", "sub", "is_end",
-        F.when(F.col("dec").isNotNull(), F.col("dec"))
-        .when(
-            F.col("cdec_start").isNotNull() & (F.lead("key").over(pairs) == F.col("key")),
-            F.lead("cdec_end").over(pairs) - F.col("cdec_start"),
-        ).alias("dec"),
-    )
     in_body = F.col("bkind").isin(BODY_KINDS)
     of_type = F.col("tkind").isNotNull()
-    candidates = closed.filter(
+    candidates = _blocks_and_members(files).filter(
         (~F.col("is_end") & (F.col("text") != "")) | F.col("bkind").isin("class", "interface")
     )
     head = F.col("head")
@@ -445,8 +451,9 @@ def declarations(files: DataFrame) -> DataFrame:
         F.slice(rest, F.lit(2), F.greatest(F.size(rest) - 1, F.lit(0))),
         lambda d: F.regexp_extract(d, rf"^ ?({_WORD})", 1),
     )
-    whole = Window.partitionBy("path")
-    in_order = whole.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    by_pos = Window.partitionBy("path").orderBy("pos")
+    in_order = by_pos.rowsBetween(Window.unboundedPreceding, 0)
+    whole = by_pos.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     step = F.when(kind.isin("class", "interface"), 1).when(kind == "end", -1).otherwise(0)
     parsed = named.select(
         "path",

@@ -250,3 +250,15 @@ def test_blocks_without_bodies_make_no_rows(spark):
     df = spark.createDataFrame([("a", text)], "path string, content string")
     assert D.brace_runs(df).count() <= 3
     assert [r["complexity"] for r in D.methods(D.declarations(df)).collect()] == [101]
+
+
+def test_openers_and_block_ends_meet_without_a_sort_of_their_own(spark):
+    """A method read run by run gets its decisions from the next run of its depth; texts nest as bracket by bracket."""
+    df = spark.createDataFrame([("a", BLOCKS["Live.java"])], "path string, content string")
+    decls = D.declarations(df)
+    assert {r["name"]: r["complexity"] for r in D.methods(decls, recursive=False).collect()} == {"f": 4, "m": 2}
+    plan = decls._jdf.queryExecution().executedPlan().toString()
+    assert len([line for line in plan.splitlines() if "Sort [" in line]) <= 4
+    texts = ["", "a", "({})", "({)}", "}{", "((((()))))", "{(" * 5 + ")}" * 5, "(){}(", "{" * 13 + "}" * 13, "(" * 4 + ")" * 5]
+    rows = D.clean_files(spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "path string, content string")).collect()
+    assert [r["nested"] for r in sorted(rows, key=lambda r: int(r["path"]))] == [True, True, True, False, False, True, True, False, False, False]
