@@ -6,6 +6,8 @@ block; runs in type bodies are then cut at ``;`` into declarations. A file is th
 segmented by windows alone, without a grammar.
 Where brackets nest, a block that can hold no type or anonymous body (most method bodies)
 stays whole inside its run: it adds its opener and its decision count, and no rows of its own.
+A flat file (packages, imports, classes and interfaces, no body inside an expression) passes the windows
+as one run and is cut into its declarations by one expression after them; all others are cut by the windows.
 
 One shuffle: the comment-free text is hash-partitioned by path before it is exploded.
 Every window and aggregate below has ``path`` as its first key, so all later steps
@@ -48,22 +50,21 @@ BODY_KINDS = ["class", "interface", "enum", "record", "anonymous"]
 # Comments, text blocks, strings and characters in one alternation, so that a quote in
 # a comment or a brace in a string is never misread. Possessive groups keep the match
 # free of recursion on long literals; an unclosed comment runs to the end of the text.
-# The look at the first sign spares all other places the alternatives.
+# The first sign is read before the alternatives, which spares all other places them.
 COMMENT_OR_LITERAL = (
-    r"(?=[/\"'])(?:"
-    r"/\*[\s\S]*?(?:\*/|\z)"
-    r"|//[^\r\n]*+"
-    r'|"""[^\\"]*+(?:(?:\\[\s\S]|"(?!""))[^\\"]*+)*+"""'
-    r'|"[^"\\\r\n]*+(?:\\.[^"\\\r\n]*+)*+"'
-    r"|'[^'\\\r\n]*+(?:\\.[^'\\\r\n]*+)*+')"
+    r"[/\"'](?:"
+    r"(?<=/)(?:\*[\s\S]*?(?:\*/|\z)|/[^\r\n]*+)"
+    r'|(?<=")(?:""[^\\"]*+(?:(?:\\[\s\S]|"(?!""))[^\\"]*+)*+"""'
+    r'|[^"\\\r\n]*+(?:\\.[^"\\\r\n]*+)*+")'
+    r"|(?<=')[^'\\\r\n]*+(?:\\.[^'\\\r\n]*+)*+')"
 )
 # A block opener whose header could make its block a type or anonymous body is replaced by
 # this sign; the tests are wider than those of ``kind``, so no such block is missed.
 LIVE = "\x03"
 _BODY_WORDS = "class|interface|enum|record|new"
 OPENS_BODY = (
-    rf"((?=[ceinr,])(?:(?:{_BODY_WORDS})(?![A-Za-z0-9_])(?<![A-Za-z0-9_](?:{_BODY_WORDS}))"
-    r"|,(?<=(?:^|[;{}])\s{0,9},|\s{10},)\s*+[A-Za-z_$\p{L}])[^;{}]*+)\{"
+    rf"([ceinr,](?:(?:(?<=c)lass|(?<=i)nterface|(?<=e)num|(?<=r)ecord|(?<=n)ew)(?![A-Za-z0-9_])(?<![A-Za-z0-9_](?:{_BODY_WORDS}))"
+    r"|(?<=[\s;{}],|^,)(?<=(?:^|[;{}])\s{0,9},|\s{10},)\s*+[A-Za-z_$\p{L}])[^;{}]*+)\{"
 )
 # The first block in an enum can be the body of a constant.
 AFTER_ENUM = r"(enum(?![A-Za-z0-9_])(?<![A-Za-z0-9_]enum)[^;{}\x03]*+\x03[^;{}\x03]*+)\{"
@@ -80,6 +81,40 @@ def _dead_block(depth: int) -> str:
 DEAD = _dead_block(7)
 RUN = rf"(?:[^{{}}\x03]++|{DEAD})++[{{}}\x03]?|[{{}}\x03]"
 PIECE = rf"[^;{{}}]++(?:;|{DEAD}|[{{}}])?+|;|{DEAD}|[{{}}]"
+
+
+def _parens(depth: int, inside: str) -> str:
+    """Balanced parentheses without ``;`` and live openers, ``inside`` allowed in them."""
+    group = rf"\((?:[^(){{}};\x03]++|{inside})*+\)"
+    for _ in range(depth):
+        group = rf"\((?:[^(){{}};\x03]++|{inside}|{group})*+\)"
+    return group
+
+
+# A flat file holds packages, imports, classes and interfaces only, and no body opens in an
+# initialiser or in parentheses: each match of ``DECLARATION`` is then one whole declaration or
+# the end of a type. Files that are not flat are read run by run.
+_PLAIN = r"[^;{}()=\x03]++"
+_PAREN, _BARE_PAREN = _parens(5, DEAD), _parens(5, r"(?!)")
+_HEADER = rf"(?:{_PLAIN}|{_PAREN})*+"
+# the block of an initialiser has an '=' before it, and no other block between them
+_VALUES = rf"(?:=(?:{_PLAIN}|{_BARE_PAREN})*+(?:{DEAD})?+(?:{_PLAIN}|{_PAREN})*+)++;"
+_TYPE_END = r"[^;{}()\x03]*+\}"
+DECLARATION = rf"{_HEADER}(?:;|{DEAD}|\x03|{_VALUES})|{_TYPE_END}"
+_AT_FILE = r"\s*+(?:package|import)(?![\w$\p{L}])"
+# the opener of a class or interface: one of these words is not far before it
+_OPENS_TYPE = r"\x03(?<=(?<![\w$.])(?:class|interface)\s{1,9}[A-Za-z_$\p{L}][^;{}\x03]{0,400}\x03)"
+
+
+def _flat_file(depth: int) -> str:
+    """A whole flat file, its types at most ``depth`` inside each other."""
+    member = rf"(?!{_AT_FILE}){_HEADER}(?:;|{DEAD}|{_VALUES})"
+    for _ in range(depth - 1):
+        member = rf"(?!{_AT_FILE}){_HEADER}(?:;|{DEAD}|{_VALUES}|{_OPENS_TYPE}(?:{member})*+{_TYPE_END})"
+    return rf"\A(?:{_AT_FILE}{_PLAIN};|\s*+;|(?!{_AT_FILE}){_HEADER}{_OPENS_TYPE}(?:{member})*+{_TYPE_END})*+\s*+\z"
+
+
+FLAT_FILE = _flat_file(4)
 # Passes of the bracket test; a text nested deeper is walked bracket by bracket.
 NESTING = 12
 # Most texts nest no deeper than this and are known to nest by one look.
@@ -173,7 +208,12 @@ def _decisions(text: Column) -> Column:
     """Decision words and operators of a text."""
     words = "|".join(DECISION_WORDS)
     signs = "|".join("".join("\\" + c for c in o) for o in DECISION_OPERATORS)
-    return F.regexp_count(F.lower(text), F.lit(rf"(?:{words})(?<![\w$](?:{words}))(?![\w$])|{signs}"))
+    return F.regexp_count(F.lower(text), F.lit(rf"(?=[cfiw&|?])(?:(?:{words})(?<![\w$](?:{words}))(?![\w$])|{signs})"))
+
+
+def _is_flat(marked: Column) -> Column:
+    """Does a nested text hold only what ``DECLARATION`` reads: all live openers are those of classes and interfaces?"""
+    return ~(F.contains(marked, F.lit("interface")) & marked.rlike(r"@\s*interface")) & marked.rlike(FLAT_FILE)
 
 
 def brace_runs(files: DataFrame) -> DataFrame:
@@ -181,7 +221,7 @@ def brace_runs(files: DataFrame) -> DataFrame:
 
     Only files whose brackets balance; ``blk`` is the position of the first run of the
     enclosing block (its ``{`` ends the run before), ``bkind`` what that block is; ``dec`` the decisions in
-    the block that the run opens.
+    the block that the run opens. A flat file is a single run (``flat``): its declarations need no windows.
     """
     # The number is set outright: merging by size would judge by the packed text, while
     # each partition goes on to hold many times that as rows.
@@ -197,18 +237,25 @@ def brace_runs(files: DataFrame) -> DataFrame:
         .repartition(partitions, "path")
         .withColumn("code", F.when(F.col("nested"), marked).otherwise(F.replace(code, F.lit("{"), F.lit(LIVE))))
         .withColumn("code", F.when(F.contains(code, F.lit("enum")), F.regexp_replace(code, AFTER_ENUM, "$1" + LIVE)).otherwise(code))
-        .select("path", F.posexplode(F.regexp_extract_all("code", F.lit(RUN), F.lit(0))).alias("pos", "seg"))
+        .withColumn("flat", F.col("nested") & _is_flat(code))
+        .select(
+            "path",
+            "flat",
+            F.posexplode(F.when(F.col("flat"), F.array("code")).otherwise(F.regexp_extract_all("code", F.lit(RUN), F.lit(0)))).alias("pos", "seg"),
+        )
     )
-    last = F.right("seg", F.lit(1))
+    flat = F.col("flat")
+    last = F.when(flat, "").otherwise(F.right("seg", F.lit(1)))
     front = F.left("seg", F.char_length("seg") - 1)
     # the part after the last ';' or whole block is what a '{' belongs to
     pieces = exploded.select(
         "path",
+        "flat",
         "pos",
         F.when(last.isin("{", LIVE), F.concat(front, F.lit("{"))).otherwise(F.col("seg")).alias("seg"),
         F.when(last.isin("{", LIVE), "{").when(last == "}", "}").otherwise("").alias("brace"),
         F.when(last.isin("{", LIVE), F.concat(F.substring_index(F.substring_index(front, "}", -1), ";", -1), F.lit("{"))).alias("head"),
-        F.contains(front, F.lit("{")).alias("blocks"),
+        F.when(~flat, F.contains(front, F.lit("{"))).alias("blocks"),
     )
     head = F.col("head")
 
@@ -235,10 +282,11 @@ def brace_runs(files: DataFrame) -> DataFrame:
     )
     rows = pieces.select(
         "path",
+        "flat",
         "pos",
         "seg",
         "brace",
-        (_count(F.col("seg"), "(") - _count(F.col("seg"), ")")).alias("par"),
+        F.when(flat, 0).otherwise(_count(F.col("seg"), "(") - _count(F.col("seg"), ")")).alias("par"),
         kind.alias("kind"),
         "head",
     )
@@ -271,11 +319,11 @@ def brace_runs(files: DataFrame) -> DataFrame:
     # the next run of the same depth follows the block that this run opens
     after = Window.partitionBy("path", "depth").orderBy("pos")
     return placed.select(
-        "path", "pos", "seg", "brace", "kind", "head", "cpar",
+        "path", "flat", "pos", "seg", "brace", "kind", "head", "cpar",
         F.last(F.when(fresh, start), ignorenulls=True).over(so_far).alias("block"),
         (F.lead(F.col("cdec") - F.col("dec")).over(after) - F.col("cdec")).alias("dec"),
     ).select(
-        "path", "pos", "seg", "brace", "kind", "head", "dec", "block.blk", "block.bkind",
+        "path", "flat", "pos", "seg", "brace", "kind", "head", "dec", "block.blk", "block.bkind",
         (F.col("cpar") - F.col("block.base")).alias("rel"),
     )
 
@@ -300,13 +348,17 @@ def _with_flat_header(df: DataFrame, text: Column) -> DataFrame:
             .alias("s"),
         ),
     )["s"]
-    arguments = r"<[\w\s.,?&\[\]$\p{L}]*>"
+    inside = r"[\w\s.,?&\[\]$\p{L}]"
+    arguments = f"<{inside}*>"
+    nested_arguments = f"<(?:{inside}++|<(?:{inside}++|<{inside}*+>)*+>)*+>"
     for step in (
         F.trim(F.regexp_replace(text, r"[{};\s]+", " ")),
-        F.when(_count(head, "(") > 1, folded).otherwise(head),
+        F.when((_count(head, "(") > 1) & head.rlike(r"\([^()]*+\("), folded).otherwise(head),
         F.when(
             F.contains(head, F.lit("@")), F.regexp_replace(head, r"@(?! ?interface\b) ?[\w$.]+( ?\([^()]*\))?", " ")
         ).otherwise(head),
+        # most are no deeper than this; the rest goes from the innermost on
+        F.when(F.contains(head, F.lit("<")), F.regexp_replace(head, nested_arguments, " ")).otherwise(head),
         _repeat(_passes(head, "<", ">"), head, lambda t: F.regexp_replace(t, arguments, " ")),
         F.replace(head, F.lit("..."), F.lit(" [] ")),
         # most headers have neither a dot nor a double space
@@ -322,13 +374,17 @@ def _bare(col: Column) -> Column:
     return F.substring_index(F.trim(col), ".", -1)
 
 
+def _none() -> Column:
+    return F.array().cast("array<string>")
+
+
 def _names(text: Column) -> Column:
     """Bare names of a comma list; an empty text gives an empty array."""
-    return F.filter(F.transform(F.split(text, ","), _bare), lambda n: n != "")
+    return F.when(text == "", _none()).otherwise(F.filter(F.transform(F.split(text, ","), _bare), lambda n: n != ""))
 
 
 def _mods(prefix: Column) -> Column:
-    return F.filter(F.split(F.trim(prefix), " "), lambda w: w.isin(MODIFIERS))
+    return F.when(prefix == "", _none()).otherwise(F.filter(F.split(F.trim(prefix), " "), lambda w: w.isin(MODIFIERS)))
 
 
 # Each pattern covers a whole header; its groups are read as fields parted by ';'.
@@ -357,10 +413,12 @@ def _blocks_and_members(files: DataFrame) -> DataFrame:
     """One row per declaration or block end, with the text of declarations."""
     in_body = F.col("bkind").isin("file", *BODY_KINDS)
     is_type = F.col("kind").isin(TYPE_KINDS)
+    flat = F.col("flat")
     # Only type bodies are cut at ';'. Elsewhere a type is the last piece of its run,
     # and a block end needs no text.
     pieces = (
-        F.when(in_body, F.regexp_extract_all("seg", F.lit(PIECE), F.lit(0)))
+        F.when(flat, F.array("seg"))
+        .when(in_body, F.regexp_extract_all("seg", F.lit(PIECE), F.lit(0)))
         .when(is_type, F.array("head"))
         .otherwise(F.array(F.lit("")))
     )
@@ -368,11 +426,11 @@ def _blocks_and_members(files: DataFrame) -> DataFrame:
         brace_runs(files)
         .filter(in_body | is_type | (F.col("brace") == "}"))
         .select("*", pieces.alias("pieces"))
-        .select("*", F.posexplode("pieces").alias("sub", "piece"))
+        .select("*", F.posexplode_outer("pieces").alias("sub", "piece"))
         .withColumn("last", F.col("sub") == F.size("pieces") - 1)
         .drop("seg", "head", "pieces")
         # a whole block is read here as its opener and the decisions in it
-        .withColumn("whole", F.endswith("piece", F.lit("}")) & F.contains("piece", F.lit("{")))
+        .withColumn("whole", ~flat & F.endswith("piece", F.lit("}")) & F.contains("piece", F.lit("{")))
         .withColumn("inside", F.when(F.col("whole"), _decisions(F.substr("piece", F.instr("piece", F.lit("{"))))))
         .withColumn("piece", F.when(F.col("whole"), F.concat(F.substring_index("piece", "{", 1), F.lit("{"))).otherwise(F.col("piece")))
     )
@@ -382,9 +440,9 @@ def _blocks_and_members(files: DataFrame) -> DataFrame:
     # (an '=' before it) or within parentheses does not end it.
     initialiser = F.contains(piece, F.lit("=")) & F.contains(_without_parens(piece), F.lit("="))
     in_block = Window.partitionBy("path", "blk").orderBy("pos", "sub")
-    open_parens = F.sum(_count(piece, "(") - _count(piece, ")")).over(in_block.rowsBetween(Window.unboundedPreceding, 0))
+    open_parens = F.sum(F.when(~flat, _count(piece, "(") - _count(piece, ")"))).over(in_block.rowsBetween(Window.unboundedPreceding, 0))
     rel = F.when(whole, F.col("open_parens")).otherwise(F.col("rel"))
-    ends = F.when(whole | opens, (rel == 0) & ~initialiser).otherwise(F.endswith(piece, F.lit(";")))
+    ends = F.when(flat, True).when(whole | opens, (rel == 0) & ~initialiser).otherwise(F.endswith(piece, F.lit(";")))
     before = in_block.rowsBetween(Window.unboundedPreceding, -1)
     parts = F.struct(
         "pos", "sub", "piece",
@@ -392,8 +450,9 @@ def _blocks_and_members(files: DataFrame) -> DataFrame:
         F.when(F.col("ends") & whole, F.col("inside")).when(F.col("ends") & opens, F.col("dec")).alias("dec"),
         (F.col("last") & (F.col("brace") == "}")).alias("is_end"),
         "bkind",
+        "flat",
     )
-    return (
+    gathered = (
         cut.withColumn("open_parens", open_parens)
         .withColumn("ends", ends)
         .withColumn("mem", F.coalesce(F.sum(F.col("ends").cast("int")).over(before), F.lit(0)))
@@ -402,10 +461,39 @@ def _blocks_and_members(files: DataFrame) -> DataFrame:
         .agg(F.sort_array(F.collect_list(parts)).alias("pieces"))
         .select("path", "pieces", F.element_at("pieces", -1).alias("end"))
         .select(
-            "path", "end.pos", "end.sub", "end.tkind", "end.dec", "end.is_end", "end.bkind",
+            "path", "end.*",
             F.when(F.size("pieces") == 1, F.col("end.piece")).otherwise(F.array_join("pieces.piece", "")).alias("text"),
         )
     )
+    has_text = ~F.col("is_end") & (F.col("text") != "")
+    return _with_flat_files(gathered.filter(has_text | F.col("bkind").isin("class", "interface")))
+
+
+def _with_flat_files(gathered: DataFrame) -> DataFrame:
+    """Cut the texts of flat files into their declarations and type ends; other rows stay."""
+    flat, text = F.col("flat"), F.col("text")
+    each = F.when(flat, F.regexp_extract_all("text", F.lit(DECLARATION), F.lit(0))).otherwise(F.array("text"))
+    opens_type, block = F.endswith(text, F.lit(LIVE)), F.contains(text, F.lit("{"))
+    closes = F.endswith(text, F.lit("}"))
+    # what a type is stands after the last block of its annotations
+    head = F.substring_index(text, "}", -1)
+    is_interface = F.contains(head, F.lit("interface")) & head.rlike(rf"(?<![\w$.])interface\s+{_WORD}")
+    at_file = (F.contains(text, F.lit("import")) | F.contains(text, F.lit("package"))) & text.rlike(rf"\A{_AT_FILE}")
+    body = F.element_at(F.regexp_extract_all("text", F.lit(DEAD), F.lit(0)), -1)
+    return gathered.select(
+        "path", "pos", "sub", "tkind", "dec", "is_end", "bkind", "flat", F.posexplode_outer(each).alias("nth", "text")
+    ).select(
+        "path",
+        "pos",
+        F.when(flat, F.col("nth")).otherwise(F.col("sub")).alias("sub"),
+        F.when(~flat, F.col("tkind")).when(opens_type, F.when(is_interface, "interface").otherwise("class")).alias("tkind"),
+        F.when(~flat, F.col("dec")).when(closes & block, _decisions(body)).alias("dec"),
+        F.when(~flat, F.col("is_end")).otherwise(closes & ~block).alias("is_end"),
+        F.when(~flat, F.col("bkind")).when(at_file, "file").otherwise("class").alias("bkind"),
+        F.when(~flat, text)
+        .otherwise(F.replace(F.when(block, F.regexp_replace(text, DEAD, "{")).otherwise(text), F.lit(LIVE), F.lit("{")))
+        .alias("text"),
+    )
 
 
 def declarations(files: DataFrame) -> DataFrame:
@@ -413,13 +501,11 @@ def declarations(files: DataFrame) -> DataFrame:
 
     ``kind`` is package, import, class, interface, method, field, or ``end`` for the
     end of a class or interface; ``level`` counts the classes and interfaces around
-    (for a type: itself included).
+    (for a type: itself included). ``bkind`` tells apart the blocks that members stand in; in flat files
+    it is file for packages and imports and class for all else.
     """
     in_body = F.col("bkind").isin(BODY_KINDS)
     of_type = F.col("tkind").isNotNull()
-    candidates = _blocks_and_members(files).filter(
-        (~F.col("is_end") & (F.col("text") != "")) | F.col("bkind").isin("class", "interface")
-    )
     head = F.col("head")
     fields_of = (
         F.when(F.col("is_end"), None)
@@ -430,7 +516,7 @@ def declarations(files: DataFrame) -> DataFrame:
     text = F.when(~F.col("is_end"), F.col("text"))
     part = F.col("part")
     named = (
-        _with_flat_header(candidates, text)
+        _with_flat_header(_blocks_and_members(files), text)
         # one row each: the generator keeps filters on ``kind`` from running the header steps anew
         .withColumn("part", F.explode(F.array(F.split(fields_of, ";", -1))))
         .withColumn(
@@ -445,7 +531,8 @@ def declarations(files: DataFrame) -> DataFrame:
     kind = F.col("kind")
     tail = part[2]
     # initialisers go, then every declarator after the first begins at a comma
-    plain = F.when(F.contains(part[4], F.lit("(")), F.regexp_replace(part[4], r"\([^()]*\)", " ")).otherwise(part[4])
+    end = F.get(part, F.lit(4))
+    plain = F.when(F.contains(end, F.lit("(")), F.regexp_replace(end, r"\([^()]*\)", " ")).otherwise(end)
     rest = F.split(plain, ",")
     others = F.transform(
         F.slice(rest, F.lit(2), F.greatest(F.size(rest) - 1, F.lit(0))),
@@ -464,14 +551,19 @@ def declarations(files: DataFrame) -> DataFrame:
         F.when(kind.isin("package", "import", "class", "interface"), part[1])
         .when(kind.isin("method", "field"), part[2])
         .alias("name"),
-        F.when(kind.isin("class", "interface", "method", "field"), _mods(part[0])).alias("modifiers"),
+        # what stands before a member is modifiers only
+        F.when(kind.isin("class", "interface"), _mods(part[0]))
+        .when(kind.isin("method", "field"), F.when(part[0] == "", _none()).otherwise(F.split(F.rtrim(part[0]), " ")))
+        .alias("modifiers"),
         F.when(kind == "class", _names(F.regexp_extract(tail, r"\bextends ([\w$.\p{L}]+)", 1)))
         .when(kind == "interface", _names(F.regexp_extract(tail, r"\bextends (.*?)(?: permits .*)?$", 1)))
         .alias("extends"),
         F.when(kind == "class", _names(F.regexp_extract(tail, r"\bimplements (.*?)(?: permits .*)?$", 1))).alias("implements"),
         F.when(kind.isin("method", "field"), _bare(part[1])).alias("type"),
         F.when(kind == "method", _parameters(F.translate(part[3], "()", ""))).alias("parameters"),
-        F.when(kind == "field", F.filter(F.concat(F.array(part[2]), others), lambda n: n != "")).alias("declarators"),
+        F.when((kind == "field") & ~F.contains(plain, F.lit(",")), F.array(part[2]))
+        .when(kind == "field", F.filter(F.concat(F.array(part[2]), others), lambda n: n != ""))
+        .alias("declarators"),
         F.when(kind == "method", 1 + F.coalesce("dec", F.lit(0))).alias("complexity"),
     )
     return (

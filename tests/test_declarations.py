@@ -262,3 +262,35 @@ def test_openers_and_block_ends_meet_without_a_sort_of_their_own(spark):
     texts = ["", "a", "({})", "({)}", "}{", "((((()))))", "{(" * 5 + ")}" * 5, "(){}(", "{" * 13 + "}" * 13, "(" * 4 + ")" * 5]
     rows = D.clean_files(spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "path string, content string")).collect()
     assert [r["nested"] for r in sorted(rows, key=lambda r: int(r["path"]))] == [True, True, True, False, False, True, True, False, False, False]
+
+
+FLAT = {
+    "Plain.java": "package p; import a.b; class A extends B { @S({1}) int f(@U(x = {4}) int a) throws X { if (a) { } } int[] q = {1, 2}; int[][] r = { {3} }; static { b(); } };",
+    "Nested.java": "interface I<T> extends J, K.L<T> { default void d() { while (a && b) { } } class C { class D { int x = f(y -> { if (z) { } }), w; } void c(); } }",
+    "After.java": "@T({1}) public final class A { A(int q) { for (;;) { } } } ; interface B { ; }",
+}
+RUNWISE = {
+    "Comma.java": "class A { int[] q = {1, 2}, r = {3}; }",
+    "Values.java": "class A { int a = {1} {2}; int[] b = g({1}) {2}; int c; }",
+    "Body.java": "class A { Object o = new B() { int f() { return 1; } }, p = q(new C(1) { int g; }); }",
+    "Inside.java": "class A { import x.y; int f(a; b); } int top; import z;",
+    "Kinds.java": "@interface N { int v() default 1; } enum E { A { int f() { return 1; } }, B; class In { int i; } }",
+}
+
+
+def test_flat_files_are_one_run_and_read_as_run_by_run(spark, monkeypatch):
+    """Files of packages, imports, classes and interfaces need no windows to be cut; all others are cut by them."""
+    df = spark.createDataFrame([*FLAT.items(), *RUNWISE.items()], "path string, content string")
+    runs = {r["path"]: r["count"] for r in D.brace_runs(df).groupBy("path").count().collect()}
+    assert {p for p, n in runs.items() if n == 1} == set(FLAT)
+
+    def read():
+        decls = D.declarations(df)
+        out = [D.types(decls, nested=True).drop("type_pos"), D.types(decls, recursive=False).drop("type_pos"), D.methods(decls).drop("pos", "type_pos")]
+        out += [D.fields(decls).drop("pos", "type_pos"), D.packages(decls), D.imports(decls)]
+        return [sorted(str(r) for r in rows.collect()) for rows in out]
+
+    flat = read()
+    monkeypatch.setattr(D, "FLAT_FILE", "(?!)")
+    assert D.brace_runs(df).count() > sum(runs.values())
+    assert read() == flat
