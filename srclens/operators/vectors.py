@@ -19,12 +19,16 @@ from srclens.session import written
 
 # Queries up to this many bytes are shipped to every task; more are joined in blocks.
 BROADCAST_BYTES = 32 * 1024 * 1024
-QUERY_BLOCK = 1024
-VECTOR_BLOCK = 8192
+# Most queries and vectors of one group of a batch search, however short they are.
+QUERY_BLOCK = VECTOR_BLOCK = 65_536
+# Queries and vectors whose products are held at a time.
+QUERIES_AT_ONCE = 256
+SLICE = 2048
 MOST_LISTS = 1024
-# Bytes of vectors on either side of one group of a list search; queries are cut further while tasks are few.
+# Bytes of vectors on either side of one group of a search; queries are cut further while tasks are few.
 GROUP_BYTES = 16 * 1024 * 1024
 LEAST_QUERIES = 256
+LEAST_VECTORS = 8192
 
 
 def embed(docs: DataFrame, text: str, call: Callable[[list[str]], np.ndarray], out: str = "embedding") -> DataFrame:
@@ -87,24 +91,43 @@ def nearest(vectors: DataFrame, query: list[float], k: int = 5, id_col: str = "v
 def _best(q_ids: np.ndarray, q: np.ndarray, v_ids: np.ndarray, v: np.ndarray, k: int) -> pd.DataFrame:
     """The k best vectors per query of one block pair.
 
-    A matrix product finds the candidates, everything within rounding of the k-th best;
-    their distances are then computed by difference, so equal vectors tie exactly.
+    A matrix product finds the candidates, everything within rounding of the k-th best so far;
+    their distances are then computed by difference, so equal vectors tie exactly. The vectors are
+    walked in slices, so no more than ``QUERIES_AT_ONCE`` by ``SLICE`` products are held.
     """
-    out_q, out_v, out_d = [], [], []
+    found = []
     v_norm = (v * v).sum(axis=1)
-    for start in range(0, len(q), 256):
-        part = q[start : start + 256]
-        d = v_norm[None, :] + (part * part).sum(axis=1)[:, None] - 2.0 * (part @ v.T)
-        top = min(k, d.shape[1]) - 1
-        bound = np.partition(d, top, axis=1)[:, top] + 1e-9 * (1.0 + np.abs(v_norm).max() + (part * part).sum(axis=1))
-        for i, target in enumerate(part):
-            near = np.flatnonzero(d[i] <= bound[i])
-            exact = ((v[near] - target) ** 2).sum(axis=1)
-            order = np.lexsort((v_ids[near], exact))[:k]
-            out_q.append(np.full(len(order), q_ids[start + i]))
-            out_v.append(v_ids[near][order])
-            out_d.append(exact[order])
-    return pd.DataFrame({"query_id": np.concatenate(out_q), "vec_id": np.concatenate(out_v), "distance": np.concatenate(out_d)})
+    # product with a query, less half the square of the vector: the nearer, the greater
+    sides = np.concatenate([v, -0.5 * v_norm[:, None]], axis=1)
+    for start in range(0, len(q), QUERIES_AT_ONCE):
+        part = q[start : start + QUERIES_AT_ONCE]
+        norm = (part * part).sum(axis=1)
+        slack = 1e-9 * (1.0 + np.abs(v_norm).max() + norm)
+        asked = np.concatenate([part, np.ones((len(part), 1))], axis=1)
+        bound = np.full(len(part), np.inf)  # distance of the k-th best so far
+        rows, at, exact = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0)
+        for first in range(0, len(v), SLICE):
+            near_to = asked @ sides[first : first + SLICE].T
+            width = near_to.shape[1]
+            least = 0.5 * (norm - bound - slack)
+            open_end = ~np.isfinite(bound)
+            if open_end.any() and width >= k:
+                least[open_end] = np.partition(near_to[open_end], width - k, axis=1)[:, width - k] - slack[open_end]
+            row, column = np.divmod(np.flatnonzero(near_to >= least[:, None]), width)
+            if not len(row):
+                continue
+            apart = [((v[first + column[i : i + 65_536]] - part[row[i : i + 65_536]]) ** 2).sum(axis=1) for i in range(0, len(row), 65_536)]
+            rows, at, exact = np.concatenate([rows, row]), np.concatenate([at, first + column]), np.concatenate([exact, *apart])
+            order = np.lexsort((v_ids[at], exact, rows))
+            begins = np.searchsorted(rows[order], np.arange(len(part)))
+            order = order[np.arange(len(order)) - begins[rows[order]] < k]
+            rows, at, exact = rows[order], at[order], exact[order]
+            last = np.full(len(part), -np.inf)
+            np.maximum.at(last, rows, exact)
+            bound = np.where(np.bincount(rows, minlength=len(part)) >= k, last, np.inf)
+        found.append((q_ids[start + rows], v_ids[at], exact))
+    ids, hits, distances = zip(*found)
+    return pd.DataFrame({"query_id": np.concatenate(ids), "vec_id": np.concatenate(hits), "distance": np.concatenate(distances)})
 
 
 def _matrix(col: pd.Series) -> np.ndarray:
@@ -145,6 +168,18 @@ def _standard(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return df.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<float>").alias("vec"))
 
 
+def _blocks(n_queries: int, n_vectors: int, dim: int, cores: int) -> tuple[int, int]:
+    """Blocks of queries and of vectors: as few as groups of bounded size allow, but some four groups for each core.
+
+    Vectors are sent to each block of queries and queries to each block of vectors, so what is shuffled
+    follows ``n_vectors * q_blocks + n_queries * v_blocks``.
+    """
+    fit = max(1, GROUP_BYTES // (4 * max(dim, 1)))
+    v_blocks = max(1, math.ceil(n_vectors / min(fit, VECTOR_BLOCK)), min(math.ceil(n_vectors / LEAST_VECTORS), round(cores**0.5)))
+    q_blocks = max(1, math.ceil(n_queries / min(fit, QUERY_BLOCK)), min(math.ceil(n_queries / LEAST_QUERIES), math.ceil(4 * cores / v_blocks)))
+    return q_blocks, v_blocks
+
+
 def batch_nearest(
     vectors: DataFrame,
     queries: DataFrame,
@@ -158,10 +193,11 @@ def batch_nearest(
 
     The size of the query side is measured first. A small one goes to every task and
     the vectors are streamed past it without a shuffle. A larger one is split, like the
-    vectors, into blocks by id hash; each pair of blocks is one group of bounded size.
+    vectors, into blocks by id hash; each pair of blocks is one group of bounded size. The blocks
+    are as large as a group may be, since a vector is sent once to each block of the other side.
     """
     v, q = _standard(vectors, id_col, vec_col), _standard(queries, query_id_col or id_col, vec_col)
-    size = q.agg(F.count("*").alias("n"), F.sum(8 * F.size("vec") + 8).alias("bytes")).first()
+    size = q.agg(F.count("*").alias("n"), F.sum(8 * F.size("vec") + 8).alias("bytes"), F.max(F.size("vec")).alias("dim")).first()
     if not size["n"]:
         return _ranked(v.sparkSession.createDataFrame([], _hits(v, q)), k)
     if size["bytes"] <= broadcast_bytes:
@@ -183,12 +219,14 @@ def batch_nearest(
                 yield kept
 
         return _ranked(v.mapInPandas(run, _hits(v, q)), k)
-    n_vectors = v.count()
-    q_blocks, v_blocks = math.ceil(size["n"] / QUERY_BLOCK), math.ceil(n_vectors / VECTOR_BLOCK)
+    q_blocks, v_blocks = _blocks(size["n"], v.count(), size["dim"], v.sparkSession.sparkContext.defaultParallelism)
     block = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
     v_side = v.withColumn("vb", block(v_blocks)).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
     q_side = q.withColumn("qb", block(q_blocks)).withColumn("vb", F.explode(F.sequence(F.lit(0), F.lit(v_blocks - 1))))
-    return _ranked(_pairwise(v_side, q_side, ["qb", "vb"], k), k)
+    # Few heavy groups: dealt to more tasks than there are groups, which are not put together by their size.
+    cores, keys = v.sparkSession.sparkContext.defaultParallelism, ["qb", "vb"]
+    tasks = min(2 * q_blocks * v_blocks, max(int(v.sparkSession.conf.get("spark.sql.shuffle.partitions")), 16 * cores))
+    return _ranked(_pairwise(v_side.repartition(tasks, *keys), q_side.repartition(tasks, *keys), keys, k), k)
 
 
 def search_documents(

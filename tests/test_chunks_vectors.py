@@ -95,6 +95,36 @@ def test_block_search_is_exact(cloud, monkeypatch):
     assert _rows(vectors.batch_nearest(df, df, 5, broadcast_bytes=0)) == _brute(mat, 5)
 
 
+def test_slices_of_a_block_give_the_same_hits(cloud, monkeypatch):
+    """A block walked in slices, the nearest in the last one, copies in all of them."""
+    mat, _ = cloud
+    far_first = mat[np.argsort(-((mat - mat[1]) ** 2).sum(axis=1), kind="stable")].astype("float64")
+    ids = np.arange(len(mat))
+    whole = {(r.query_id, r.vec_id) for r in vectors._best(ids, far_first, ids, far_first, 5).itertuples()}
+    monkeypatch.setattr(vectors, "SLICE", 7)
+    sliced = vectors._best(ids, far_first, ids, far_first, 5)
+    assert {(r.query_id, r.vec_id) for r in sliced.itertuples()} == whole == {(q, v) for q, v, _ in _brute(far_first, 5)}
+    assert len(sliced) == 5 * len(ids)
+    monkeypatch.setattr(vectors, "SLICE", 2)  # slices shorter than k
+    assert {(r.query_id, r.vec_id) for r in vectors._best(ids, far_first, ids, far_first, 5).itertuples()} == whole
+
+
+def test_block_search_sends_a_vector_a_few_times_only(spark, monkeypatch):
+    """What is dealt to groups: each side once for each block of the other, and blocks are as large as a group may be."""
+    sent = {}
+
+    def counted(v_side, q_side, keys, k):
+        sent.update(v=v_side.count(), q=q_side.count(), groups=v_side.select(*keys).distinct().count())
+        return spark.createDataFrame([], vectors._hits(v_side, q_side))
+
+    monkeypatch.setattr(vectors, "_pairwise", counted)
+    n = 100_000
+    df = spark.range(n).select(F.col("id").alias("vec_id"), F.array(F.col("id").cast("float")).alias("embedding"))
+    vectors.batch_nearest(df, df, 5, broadcast_bytes=0)
+    assert sent["v"] + sent["q"] <= 20 * n  # 111 n with blocks of 1,024 queries and 8,192 vectors
+    assert sent["groups"] >= 4 * spark.sparkContext.defaultParallelism
+
+
 def test_list_search_is_exact_when_all_lists_are_probed(cloud, monkeypatch):
     monkeypatch.setattr(vectors, "VECTOR_BLOCK", 20)
     mat, df = cloud
